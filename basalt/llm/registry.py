@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from basalt.llm import quality_rules, simhash_dedup
+from basalt.llm import quality_rules, simhash_dedup, substring_dedup
 
 QUERIES = {
     "op2_quality_rules": quality_rules.query,
     "op5_simhash_dedup": simhash_dedup.query,
+    "op8_substring_dedup": substring_dedup.query,
 }
 ORACLE_SQL: dict[str, str] = {}
