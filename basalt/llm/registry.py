@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from basalt.llm import quality_rules, simhash_dedup, substring_dedup
+from basalt.llm import quality_rules, simhash_dedup, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op2_quality_rules": quality_rules.query,
     "op5_simhash_dedup": simhash_dedup.query,
     "op8_substring_dedup": substring_dedup.query,
+    "op10_suffix_dedup": suffix_dedup.query,
 }
 ORACLE_SQL: dict[str, str] = {}
