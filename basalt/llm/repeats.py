@@ -103,17 +103,17 @@ def placed(texts: DataFrame, unit: str, length: int, seed: int, across: bool) ->
     """
     found = seeds(texts, unit, length, seed)
     some = found.groupBy("seed").agg(F.min("id").alias("lo"), F.max("id").alias("hi")) if across else found.groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
-    some = some.where("lo < hi" if across else "n > 1").select("seed")
+    # written tables on both sides of a join let Spark split a seed that very many documents share
+    some = cut(some.where("lo < hi" if across else "n > 1").select("seed"), "shared")
     mine = cut(found.join(some, "seed", "left_semi"), "segments")
     earliest = F.min("id") if across else F.min(F.struct("id", "first"))
     classes = mine.groupBy("seed", "segment").agg(earliest.alias("least"))
     several = classes.groupBy("seed").agg(F.count(F.lit(1)).alias("kinds"), F.min("least").alias("origin"), F.max("least").alias("latest"))
-    classes = classes.join(several, "seed")
+    classes = cut(classes.join(cut(several.where("kinds > 1"), "several"), "seed", "left"), "classes")
     own = F.col("id") if across else F.struct("id", "first")
     marked = mine.join(classes, ["seed", "segment"]).select(
         "seed", "segment", "id", "tag", "first", "windows",
-        (own > F.col("least")).alias("whole"), ((own == F.col("least")) & (F.col("kinds") > 1) & (F.col("origin") < F.col("latest"))).alias("contested"),
-        (own == F.col("origin")).alias("origin"),
+        (own > F.col("least")).alias("whole"), ((own == F.col("least")) & (F.col("origin") < F.col("latest"))).alias("contested"),
     )
     return cut(marked.where("whole or contested"), "placed")
 
@@ -161,10 +161,11 @@ def windows_of(found: DataFrame, unit: str, length: int, n_out: str = "seed long
 
 def repeated_windows(found: DataFrame, unit: str, length: int, across: bool) -> DataFrame:
     """Contested segments window by window: (id, tag, first, until) of those windows that an earlier one equals."""
-    every = windows_of(found, unit, length)
+    every = cut(windows_of(found, unit, length), "windows")
     earliest = F.min("id") if across else F.min(F.struct("id", "at"))
     least = every.groupBy("seed", "window").agg(earliest.alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     own = F.col("id") if across else F.struct("id", "at")
+    least = cut(least, "least")
     return (
         every.join(least, ["seed", "window"]).where(own > F.col("least")).select("id", "tag", F.col("at").alias("first"), (F.col("at") + length).alias("until"))
     )
