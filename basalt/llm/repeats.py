@@ -118,9 +118,9 @@ def placed(texts: DataFrame, unit: str, length: int, seed: int, across: bool) ->
     return cut(marked.where("whole or contested"), "placed")
 
 
-def contested_texts(texts: DataFrame, marked: DataFrame) -> DataFrame:
-    """Documents that hold contested segments: (id, tag, text, spans); marked has a column `hot` that spans keep."""
-    spans = marked.where("contested").groupBy("id", "tag").agg(F.collect_list(F.struct("seed", "first", "windows", "hot")).alias("spans"))
+def contested_texts(texts: DataFrame, marked: DataFrame, *extra: str) -> DataFrame:
+    """Documents that hold contested segments: (id, tag, text, spans); spans keep `extra` columns."""
+    spans = marked.where("contested").groupBy("id", "tag").agg(F.collect_list(F.struct("seed", "first", "windows", *extra)).alias("spans"))
     return texts.join(spans, ["id", "tag"]).select("id", "tag", "text", "spans")
 
 
@@ -133,7 +133,7 @@ def list_column(batch, i: int) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def windows_of(found: DataFrame, unit: str, length: int, n_out: str = "seed long, window long, id long, tag int, at long") -> DataFrame:
-    """(id, tag, text, spans) -> one row per window of the spans of hot seeds."""
+    """(id, tag, text, spans) -> one row per window of the spans."""
     import pyarrow as pa
 
     names = [x.split()[0] for x in n_out.split(", ")]
@@ -142,8 +142,7 @@ def windows_of(found: DataFrame, unit: str, length: int, n_out: str = "seed long
         for batch in batches:
             data, offsets = text_buffer(batch.column(2))
             ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            at, (seed_of, first_of, windows_in, hot) = list_column(batch, 3)
-            windows_in = np.where(hot.astype(bool), windows_in, 0)
+            at, (seed_of, first_of, windows_in) = list_column(batch, 3)
             for i, j in chunks(offsets):
                 values, bounds, _, _ = symbols(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], unit)
                 rolling = Rolling(values)
@@ -159,9 +158,9 @@ def windows_of(found: DataFrame, unit: str, length: int, n_out: str = "seed long
     return found.mapInArrow(run, n_out)
 
 
-def repeated_windows(found: DataFrame, unit: str, length: int, across: bool) -> DataFrame:
-    """Contested segments window by window: (id, tag, first, until) of those windows that an earlier one equals."""
-    every = cut(windows_of(found, unit, length), "windows")
+def repeated_windows(every: DataFrame, length: int, across: bool) -> DataFrame:
+    """Contested windows, one row each -> (id, tag, first, until) of those that an earlier one equals."""
+    every = cut(every, "windows")
     earliest = F.min("id") if across else F.min(F.struct("id", "at"))
     least = every.groupBy("seed", "window").agg(earliest.alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     own = F.col("id") if across else F.struct("id", "at")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basalt.llm.common import NO_ID, cut, keyed_texts, real_id
-from basalt.llm.repeats import contested_texts, placed, removed_spans, repeated_windows, without_spans
+from basalt.llm.repeats import contested_texts, placed, removed_spans, repeated_windows, windows_of, without_spans
 
 LENGTH, SEED = 50, 25
 
@@ -26,7 +26,7 @@ def substring_dedup(
     """(id, tag, n_symbols, n_removed, n_spans, kept_sha256[, kept_text]), one row per document; words joined by one space."""
     texts = keyed_texts(docs, id_col, text_col)
     marked = placed(texts, "word", length, seed, across=True)
-    resolved = repeated_windows(contested_texts(texts, marked.withColumn("hot", F.lit(True))), "word", length, across=True)
+    resolved = repeated_windows(windows_of(contested_texts(texts, marked), "word", length), length, across=True)
     return without_spans(texts, cut(removed_spans(marked, resolved, length), "spans"), "word", with_text)
 
 

@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basalt.llm.common import BYTE_VALUE, Rolling, cut, keyed_texts, real_id, text_buffer
-from basalt.llm.repeats import contested_texts, list_column, placed, removed_spans, repeated_windows, without_spans
+from basalt.llm.repeats import contested_texts, list_column, placed, removed_spans, repeated_windows, signed, without_spans
 
 LENGTH, SEED = 100, 32
-#: Contested segments of a seed beyond which its windows are compared in an aggregate.
-HOT = 1000
-#: Bytes of a collection that one index covers (a seed is never split).
-COLLECTION = 1 << 20
+#: Bytes after which a collection is closed. A seed is never split, so one index covers this and one seed's segments at most.
+COLLECTION = 1 << 16
+#: Contested segments of a seed beyond which its windows are compared in an aggregate: about 1 MB of segments.
+HOT = (1 << 20) // (2 * LENGTH - SEED)
 
 
 class RunLengthIndex:
@@ -92,7 +92,7 @@ class RunLengthIndex:
                 return order
             second = rank[np.minimum(np.arange(n) + h, n - 1)]
             key = rank * n + second
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             h *= 2
 
     def matching_statistics(self) -> np.ndarray:
@@ -128,7 +128,7 @@ class RunLengthIndex:
 
 
 def segment_texts(found: DataFrame, length: int) -> DataFrame:
-    """(id, tag, text, spans) -> (seed, id, tag, first, bytes), a row for each span of a seed that is not hot."""
+    """(id, tag, text, spans) -> (seed, id, tag, first, bytes, hot), a row for each span."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,20 +136,42 @@ def segment_texts(found: DataFrame, length: int) -> DataFrame:
             data, offsets = text_buffer(batch.column(2))
             raw = memoryview(data)
             at, (seed_of, first_of, windows_in, hot) = list_column(batch, 3)
-            few = ~hot.astype(bool)
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(at))[few]
-            seed_of, first_of, windows_in = seed_of[few], first_of[few], windows_in[few]
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(at))
             start = offsets[doc] + first_of
             end = start + windows_in + (length - 1)
             for i in range(0, len(doc), 20_000):
                 s = slice(i, i + 20_000)
                 parts = pa.array([raw[a:b].tobytes() for a, b in zip(start[s].tolist(), end[s].tolist(), strict=True)], pa.binary())
+                own = [batch.column(c).take(pa.array(doc[s])) for c in (0, 1)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(seed_of[s]), batch.column(0).take(pa.array(doc[s])), batch.column(1).take(pa.array(doc[s])), pa.array(first_of[s]), parts],
-                    names=["seed", "id", "tag", "first", "bytes"],
+                    [pa.array(seed_of[s]), *own, pa.array(first_of[s]), parts, pa.array(hot[s].astype(bool))],
+                    names=["seed", "id", "tag", "first", "bytes", "hot"],
                 )
 
-    return found.mapInArrow(run, "seed long, id long, tag int, first long, bytes binary")
+    return found.mapInArrow(run, "seed long, id long, tag int, first long, bytes binary, hot boolean")
+
+
+def segment_windows(parts: DataFrame, length: int) -> DataFrame:
+    """(seed, id, tag, first, bytes, ..) -> (seed, window, id, tag, at), a row for each window."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffer(batch.column(4))
+            for i in range(0, batch.num_rows, 5_000):
+                part, bounds = batch.slice(i, 5_000), offsets[i : i + 5_001] - offsets[i]
+                rolling = Rolling(BYTE_VALUE[data[offsets[i] : offsets[i] + bounds[-1]]])
+                many = np.diff(bounds) - (length - 1)
+                row = np.repeat(np.arange(part.num_rows), many)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                start = bounds[row] + place
+                columns = [part.column(c).to_numpy()[row] for c in (0, 1, 2, 3)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(columns[0]), signed(rolling.of(start, start + length)), pa.array(columns[1]), pa.array(columns[2]), pa.array(columns[3] + place)],
+                    names=["seed", "window", "id", "tag", "at"],
+                )
+
+    return parts.mapInArrow(run, "seed long, window long, id long, tag int, at long")
 
 
 def indexed_repeats(parts: DataFrame, length: int) -> DataFrame:
@@ -181,19 +203,15 @@ def indexed_repeats(parts: DataFrame, length: int) -> DataFrame:
             _, offsets = text_buffer(batch.column(4))
             begun = 0
             for end in ends.tolist():
-                if held and end != 0 and size >= COLLECTION and begun_new(held, begun, seed_of):
+                if size >= COLLECTION and held[-1].column(0)[-1].as_py() != int(seed_of[begun]):
                     yield search(pa.Table.from_batches(held))
                     held, size = [], 0
                 held.append(batch.slice(begun, end - begun))
                 size += int(offsets[end] - offsets[begun])
                 begun = end
-            held = [pa.Table.from_batches(held).combine_chunks().to_batches()[0]] if held else held
         if held:
             yield search(pa.Table.from_batches(held))
 
-    def begun_new(held: list[pa.RecordBatch], begun: int, seed_of: np.ndarray) -> bool:
-        return held[-1].column(0)[-1].as_py() != int(seed_of[begun])
-
     return parts.repartition("seed").sortWithinPartitions("seed").mapInArrow(run, "id long, tag int, first long, until long")
 
 
@@ -206,8 +224,9 @@ def suffix_dedup(
     contested = marked.where("contested")
     crowded = cut(contested.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("seed"), "crowded")
     flagged = contested.join(crowded.withColumn("hot", F.lit(True)), "seed", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    found = contested_texts(texts, flagged)
-    resolved = indexed_repeats(segment_texts(found, length), length).unionAll(repeated_windows(found, "byte", length, across=False))
+    parts = cut(segment_texts(contested_texts(texts, flagged, "hot"), length), "parts")
+    hot_windows = repeated_windows(segment_windows(parts.where("hot"), length), length, across=False)
+    resolved = indexed_repeats(parts.where("not hot").drop("hot"), length).unionAll(hot_windows)
     return without_spans(texts, cut(removed_spans(marked, resolved, length), "spans"), "byte", with_text)
 
 
