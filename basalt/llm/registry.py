@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from basalt.llm import quality_rules, simhash_dedup, substring_dedup, suffix_dedup
+from basalt.llm import mixing, packing, quality_rules, simhash_dedup, substring_dedup, suffix_dedup
 
 QUERIES = {
+    "op1_best_fit_packing": packing.query,
     "op2_quality_rules": quality_rules.query,
     "op5_simhash_dedup": simhash_dedup.query,
     "op8_substring_dedup": substring_dedup.query,
+    "op9_mixing": mixing.query,
     "op10_suffix_dedup": suffix_dedup.query,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op9_mixing": mixing.ORACLE_SQL}
