@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from basalt.llm import embedding_dedup, mixing, packing, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, url_filter
+from basalt.llm import embedding_dedup, language_id, mixing, packing, quality_classifier, quality_rules, simhash_dedup, substring_dedup, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_url_filter": url_filter.query,
     "op4_embedding_dedup": embedding_dedup.query,
     "op5_simhash_dedup": simhash_dedup.query,
+    "op6_language_id": language_id.query,
+    "op7_quality_classifier": quality_classifier.query,
     "op8_substring_dedup": substring_dedup.query,
     "op9_mixing": mixing.query,
     "op10_suffix_dedup": suffix_dedup.query,

@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-BUCKETS, SIZES, EPOCHS, RATE, DECAY = 1024, (3, 4, 5), 30, 2.0, 1e-4
+BUCKETS, SIZES, EPOCHS, RATE, DECAY = 4096, (3, 4, 5), 16, 2.0, 1e-4
+#: Score from which a URL without a rule is blocked.
+CUT = 0.65
 #: Hosts of the labelled table; every host stands there with every path, so that paths alone decide little.
 BLOCKED = (
     "spam-farm.example.net", "spam-links.example.com", "spamhub.example.org", "link-farm.example.org", "content-farm.example.com", "casino-bonus.example.net",
@@ -31,9 +33,9 @@ ALLOWED = (
     "maps.example.org", "shop.example.com", "trains.example.net", "farmers-market.example.org", "freedom-press.example.com", "winter-sports.example.net", "wind-energy.example.org",
 )
 PATHS = ("/en/128", "/de/305/", "/fr/47.html", "/es/9")
-#: (1 = block, host, path); www, m and blog hosts of both kinds
+#: (1 = block, host, path); bare and blog hosts of both kinds
 LABELLED = tuple(
-    (y, lead + host, PATHS[(i + k) % len(PATHS)]) for y, hosts in ((1, BLOCKED), (0, ALLOWED)) for i, host in enumerate(hosts) for k, lead in enumerate(("", "www.", "m.", "blog."))
+    (y, lead + host, PATHS[(i + k) % len(PATHS)]) for y, hosts in ((1, BLOCKED), (0, ALLOWED)) for i, host in enumerate(hosts) for k, lead in enumerate(("", "blog."))
 )
 
 
@@ -70,14 +72,19 @@ def buckets_of(host: Column, path: Column, buckets: int, sizes) -> Column:
 
 
 def train(spark: SparkSession, labelled, buckets: int = BUCKETS, sizes=SIZES, epochs: int = EPOCHS, rate: float = RATE, decay: float = DECAY) -> list[float]:
-    """Weights of the buckets and, last, the bias, from (label, host, path) rows: one row of one small table."""
+    """Weights of the buckets and, last, the bias, from (label, host, path) rows: one row of one small table.
+
+    Steps follow a hash of the row numbers, so that labels alternate however the table is ordered.
+    """
     quote = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
     rows = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({i}, {float(y)}D, {quote(h)}, {quote(p)})" for i, (y, h, p) in enumerate(labelled)) + " AS t(i, y, host, path)")
     found = rows.withColumn("at", buckets_of(F.col("host"), F.col("path"), buckets, sizes))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.size(F.filter("at", lambda g: g == b)).cast("double"))
-    found = found.select("i", "y", F.size("at").alias("n"), counts.alias("x"))
+    found = found.select("i", "y", F.size("at").alias("n"), F.explode("at").alias("b")).groupBy("i", "y", "n", "b").count()
+    found = found.groupBy("i", "y", "n").agg(F.map_from_entries(F.collect_list(F.struct("b", "count"))).alias("counts"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.coalesce(F.try_element_at("counts", b), F.lit(0)).cast("double"))
+    found = found.select("i", "y", "n", dense.alias("x"))
     found = found.select("i", "y", F.concat(F.transform("x", lambda v: v / F.sqrt("n")), F.array(F.lit(1.0))).alias("x"))
-    examples = found.agg(F.sort_array(F.collect_list(F.struct("i", "y", "x"))).alias("rows"))
+    examples = found.agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("i").alias("i"), "y", "x"))).alias("rows"))
 
     def step(w: Column, e: Column) -> Column:
         margin = F.aggregate(F.zip_with(w, e["x"], lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
@@ -96,7 +103,7 @@ def score_of(host: Column, path: Column, weights: list[float], sizes) -> Column:
 
 
 def url_filter(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, labelled=LABELLED, weights: list[float] | None = None, threshold: float = 0.5
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, labelled=LABELLED, weights: list[float] | None = None, threshold: float = CUT
 ) -> DataFrame:
     """(id_col, host, path, rule, verdict, block_score), one row per page."""
     weights = weights or train(pages.sparkSession, labelled)
