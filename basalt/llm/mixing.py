@@ -128,12 +128,15 @@ def mix(
     )
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options
+) -> DataFrame:
     """The documents of the mix with their own columns; one chosen for several epochs is there as often."""
-    names = docs.columns
-    found = mix(docs, **options)
-    again = found.select(*[F.col(f"`{c}`") for c in names], F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))).alias("__copy")) if "n_copies" not in names else found
-    return again.select(*[F.col(f"`{c}`") for c in names])
+    rows = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"), docs[source_col].alias("source")
+    )
+    found = mix(rows, "id", "text", "lang", "source", keep_columns=["row"], **options)
+    return found.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies")))).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

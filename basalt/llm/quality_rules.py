@@ -51,7 +51,7 @@ def measure(data: np.ndarray, bounds: np.ndarray, coverage: dict[int, float], li
     breaks = np.flatnonzero(data == 10)
     line_starts = np.unique(np.concatenate([bounds[:-1], breaks + 1]))
     line_starts = line_starts[line_starts < n]
-    line_ends = np.append(line_starts[1:], n)
+    line_ends = np.append(line_starts[1:], n)[: len(line_starts)]
     line_ends = line_ends - ((line_ends > line_starts) & (data[line_ends - 1] == 10))
     lo, hi = np.searchsorted(starts, line_starts), np.searchsorted(starts, line_ends)
     full = hi > lo
@@ -106,9 +106,10 @@ def quality_rules(
     return source.mapInArrow(judge, f"{own}, {SCHEMA}")
 
 
-def kept_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents that pass, with all their columns."""
-    return quality_rules(docs, keep_columns=docs.columns, **options).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+def kept_documents(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The documents that pass, with all their columns; carried as one struct, so that no name clashes."""
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
+    return quality_rules(rows, text_col="text", keep_columns=["row"], **options).where("kept").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

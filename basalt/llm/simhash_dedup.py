@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basalt.llm.common import NO_ID, cut, keyed_texts, real_id
@@ -204,13 +204,13 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = simhash_components(docs, id_col, text_col, **options)
     kept = found.where(found[id_col].eqNullSafe(found["component_id"])).select(F.coalesce(id_col, F.lit(NO_ID)).alias("__id"), "tag").distinct()
     kept = kept.groupBy("__id").agg(F.min("tag").alias("__tag"))
-    marked = docs.withColumn("__id", F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID))).withColumn(
-        "__tag", F.hash(F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    )
-    once = Window.partitionBy("__id", "__tag").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
-    return (
-        marked.join(kept, ["__id", "__tag"], "left_semi").withColumn("__n", F.row_number().over(once)).where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
-    )
+    marked = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("__id"),
+        F.hash(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("__tag"),
+    )
+    # an aggregate, not a window: rows that repeat an id are reduced before the shuffle
+    once = marked.join(kept, ["__id", "__tag"], "left_semi").groupBy("__id", "__tag").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return once.select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

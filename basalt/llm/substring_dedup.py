@@ -38,13 +38,14 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = substring_dedup(docs, id_col, text_col, **options).where("n_removed > 0").select(
         F.col("id").alias("__id"), F.col("tag").alias("__tag"), F.col("kept_text").alias("__kept")
     ).dropDuplicates(["__id", "__tag"])
-    marked = docs.withColumn("__id", F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID))).withColumn(
-        "__tag", F.hash(F.coalesce(docs[text_col].cast("string"), F.lit("")))
-    )
-    new = F.coalesce(F.col("__kept"), F.col(f"`{text_col}`").cast("string")).alias(text_col)
-    return (
-        marked.join(found, ["__id", "__tag"], "left").where("__kept is null or __kept <> ''").select(*[new if c == text_col else F.col(f"`{c}`") for c in docs.columns])
-    )
+    marked = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("__id"),
+        F.hash(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("__tag"),
+    )
+    row = F.col("row")
+    new = F.coalesce(F.col("__kept"), row[text_col].cast("string")).alias(text_col)
+    left = marked.join(found, ["__id", "__tag"], "left").where("__kept is null or __kept <> ''")
+    return left.select(*[new if c == text_col else row[c].alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

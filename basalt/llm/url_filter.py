@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-BUCKETS, SIZES, EPOCHS, RATE, DECAY = 4096, (3, 4, 5), 16, 2.0, 1e-4
+BUCKETS, SIZES, EPOCHS, RATE, DECAY = 1 << 15, (3, 4, 5), 16, 2.0, 1e-4
 #: Score from which a URL without a rule is blocked.
 CUT = 0.65
 #: Hosts of the labelled table; every host stands there with every path, so that paths alone decide little.
@@ -80,19 +80,32 @@ def train(spark: SparkSession, labelled, buckets: int = BUCKETS, sizes=SIZES, ep
     rows = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({i}, {float(y)}D, {quote(h)}, {quote(p)})" for i, (y, h, p) in enumerate(labelled)) + " AS t(i, y, host, path)")
     found = rows.withColumn("at", buckets_of(F.col("host"), F.col("path"), buckets, sizes))
     found = found.select("i", "y", F.size("at").alias("n"), F.explode("at").alias("b")).groupBy("i", "y", "n", "b").count()
-    found = found.groupBy("i", "y", "n").agg(F.map_from_entries(F.collect_list(F.struct("b", "count"))).alias("counts"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.coalesce(F.try_element_at("counts", b), F.lit(0)).cast("double"))
-    found = found.select("i", "y", "n", dense.alias("x"))
-    found = found.select("i", "y", F.concat(F.transform("x", lambda v: v / F.sqrt("n")), F.array(F.lit(1.0))).alias("x"))
-    examples = found.agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("i").alias("i"), "y", "x"))).alias("rows"))
+    found = found.groupBy("i", "y", "n").agg(F.collect_list(F.struct("b", "count")).alias("counts"))
+    # steps run over the buckets that the table uses; the others keep weight zero
+    table = found.agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("i").alias("h"), "y", "n", "counts"))).alias("rows"))
+    table = table.withColumn("used", F.array_sort(F.array_distinct(F.flatten(F.transform("rows", lambda r: r["counts"]["b"])))))
+
+    def dense(r: Column) -> Column:
+        values = F.transform(
+            F.array(F.map_from_entries(r["counts"])),
+            lambda m: F.transform("used", lambda b: F.coalesce(F.try_element_at(m, b), F.lit(0)).cast("double") / F.sqrt(r["n"].cast("double"))),
+        )[0]
+        return F.struct(r["y"].alias("y"), F.concat(values, F.array(F.lit(1.0))).alias("x"))
+
+    examples = table.select("used", F.transform("rows", dense).alias("rows"))
 
     def step(w: Column, e: Column) -> Column:
         margin = F.aggregate(F.zip_with(w, e["x"], lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
         error = F.array(e["y"] - 1 / (1 + F.exp(-margin)))  # held in an array so that it is computed once
         return F.transform(error, lambda r: F.zip_with(w, e["x"], lambda a, b: a * (1 - rate * decay) + b * r * rate))[0]
 
-    start = F.array_repeat(F.lit(0.0), buckets + 1)
-    return examples.select(F.aggregate(F.flatten(F.array_repeat("rows", epochs)), start, step).alias("w")).first()["w"]
+    start = F.transform("used", lambda b: F.lit(0.0))
+    fold = F.aggregate(F.flatten(F.array_repeat("rows", epochs)), F.concat(start, F.array(F.lit(0.0))), step)
+    got = examples.select("used", fold.alias("w")).first()
+    weights = [0.0] * buckets + [got["w"][-1]]
+    for b, w in zip(got["used"], got["w"], strict=False):
+        weights[b] = w
+    return weights
 
 
 def score_of(host: Column, path: Column, weights: list[float], sizes) -> Column:
