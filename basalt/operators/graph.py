@@ -17,7 +17,9 @@ from basalt.functions.staging import staged
 def levels(roots: DataFrame, links: DataFrame, most: int | None = None, stop: DataFrame | None = None) -> DataFrame:
     """(sha, depth) of everything reachable from roots(sha), depth 1 first; ids in stop(sha) are not entered."""
     start = roots.select("sha").distinct()
+    links = staged(links.select("src", "dst"))  # read in every round: derived links would be derived in every round
     if stop is not None:
+        stop = staged(stop.select("sha"))
         start = start.join(stop.select("sha"), "sha", "left_anti")
     found, depth = [staged(start.withColumn("depth", F.lit(1)))], 1
     while not found[-1].isEmpty() and (most is None or depth < most):
@@ -41,7 +43,7 @@ def reachable(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 def fast_forward(pairs: DataFrame, parents: DataFrame) -> DataFrame:
     """pairs(old, new) -> is_ff: true if old is an ancestor of new or new itself; null if an unrecorded commit was met; else false."""
-    links, found = parent_links(parents), []
+    links, found = staged(parent_links(parents)), []
     frontier = staged(pairs.select("old", "new", F.col("new").alias("sha")).distinct())
     while not frontier.isEmpty():
         found.append(frontier)
@@ -85,7 +87,7 @@ def time_cut(tips: DataFrame, parents: DataFrame, times: DataFrame, since: int)
 def generations(parents: DataFrame, commits: DataFrame) -> DataFrame:
     """gen = 1 + largest parent gen, by peeling commits whose parents all have one."""
     links = parent_links(parents).join(commits.select(F.col("sha").alias("dst")), "dst", "left_semi")
-    links = links.join(commits.select(F.col("sha").alias("src")), "src", "left_semi").distinct()
+    links = staged(links.join(commits.select(F.col("sha").alias("src")), "src", "left_semi").distinct())
     done = staged(commits.join(links.select(F.col("src").alias("sha")), "sha", "left_anti").select("sha", F.lit(1).alias("gen")))
     while True:
         ready = links.join(done.select(F.col("sha").alias("dst"), "gen"), "dst", "left").groupBy("src").agg(F.max("gen").alias("g"), F.count_if(F.col("gen").isNull()).alias("open")).where("open = 0")
@@ -111,10 +113,10 @@ def first_parents(tip: DataFrame, parents: DataFrame) -> DataFrame:
 def delta_levels(entries: DataFrame, most: int = 64) -> DataFrame:
     """entries(id, base) -> (id, level): full entries are 0, a delta one above its base; null for missing bases, cycles and long chains."""
     level = staged(entries.where("base is null").select("id", F.lit(0).alias("level")))
-    found, n = [level], 0
+    deltas, found, n = staged(entries.where("base is not null").select("id", "base")), [level], 0
     while not found[-1].isEmpty() and n < most:
         n += 1
-        found.append(staged(entries.where("base is not null").join(found[-1].select(F.col("id").alias("base")), "base", "left_semi").select("id", F.lit(n).alias("level"))))
+        found.append(staged(deltas.join(found[-1].select(F.col("id").alias("base")), "base", "left_semi").select("id", F.lit(n).alias("level"))))
     return entries.select("id").join(reduce(DataFrame.unionAll, found), "id", "left").select("id", "level")
 
 
