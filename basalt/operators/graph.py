@@ -25,10 +25,10 @@ def levels(roots: DataFrame, links: DataFrame, most: int | None = None, stop: Da
     while not found[-1].isEmpty() and (most is None or depth < most):
         depth += 1
         new = found[-1].select(F.col("sha").alias("src")).join(links, "src").select(F.col("dst").alias("sha")).distinct()
-        for old in [*found, *([stop] if stop is not None else [])]:
-            new = new.join(old.select("sha"), "sha", "left_anti")
+        seen = reduce(DataFrame.unionAll, [x.select("sha") for x in [*found, *([stop] if stop is not None else [])]])
+        new = new.join(seen, "sha", "left_anti")
         found.append(staged(new.withColumn("depth", F.lit(depth))))
-        if len(found) % 8 == 0:  # few large anti-joins in place of many small ones
+        if len(found) % 8 == 0:  # few large tables in place of many small ones
             found = [staged(reduce(DataFrame.unionAll, found[:-1])), found[-1]]
     return reduce(DataFrame.unionAll, found)
 
@@ -48,9 +48,7 @@ def fast_forward(pairs: DataFrame, parents: DataFrame) -> DataFrame:
     while not frontier.isEmpty():
         found.append(frontier)
         ahead = frontier.where("sha <> old").join(links, F.col("sha") == F.col("src")).select("old", "new", F.col("dst").alias("sha")).distinct()
-        for old in found:
-            ahead = ahead.join(old, ["old", "new", "sha"], "left_anti")
-        frontier = staged(ahead)
+        frontier = staged(ahead.join(reduce(DataFrame.unionAll, found), ["old", "new", "sha"], "left_anti"))
     recorded = parents.where("n = -1").select("sha", F.lit(1).alias("recorded")).distinct()
     seen = reduce(DataFrame.unionAll, found).join(recorded, "sha", "left") if found else frontier.withColumn("recorded", F.lit(1))
     hit, gap = F.max(F.col("sha") == F.col("old")), F.max(F.col("recorded").isNull())
