@@ -149,10 +149,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             langs = np.array([number[x] for x in batch.column(1).to_pylist()], dtype=np.int64)
             for begun, texts in text_groups(batch.column(0)):
                 grams, doc, _ = gram_hashes(texts)
-                once = np.unique(np.stack([grams, doc.astype(np.uint64)]), axis=1)
-                pair = np.unique(np.stack([once[0], langs[begun + once[1].astype(np.int64)].astype(np.uint64)]), axis=1, return_counts=True)
+                lang = langs[begun + doc]
+                once = np.unique(grams ^ mix(doc.astype(np.uint64) + np.uint64(1)), return_index=True)[1]  # a gram counts once a document
+                grams, lang = grams[once], lang[once]
+                _, first, n = np.unique(grams ^ mix(lang.astype(np.uint64) + np.uint64(1)), return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(pair[0][1].astype(np.int32)), pa.array(pair[0][0].view(np.int64)), pa.array(pair[1].astype(np.int64))], names=["lang", "gram", "docs"]
+                    [pa.array(lang[first].astype(np.int32)), pa.array(grams[first].view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "docs"]
                 )
 
     found = sample.select("text", "lang").mapInArrow(count, "lang int, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs")).where(f"docs >= {LEAST_DOCS}")
