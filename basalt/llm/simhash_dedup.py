@@ -189,7 +189,9 @@ def simhash_components(
     reach = classes.join(grouped.withColumnRenamed("vertex", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("component")
     )
-    smallest = reach.groupBy("component").agg(F.min("least").alias("component_id"))
+    reach = cut(reach, "reach")
+    # written tables on both sides of a join let Spark split a component that very many fingerprints share
+    smallest = cut(reach.groupBy("component").agg(F.min("least").alias("component_id")), "smallest")
     found = reach.join(smallest, "component").select("fp", "component_id")
     return prints.join(found, "fp").select(
         real_id().alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), real_id("component_id").alias("component_id"), "tag"
