@@ -190,29 +190,32 @@ def without_spans(texts: DataFrame, spans: DataFrame, unit: str, with_text: bool
     gap = b" " if unit == "word" else b""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_buffer(batch.column(2))
-            raw = data.tobytes()
-            column = batch.column(3)
-            spans_at, (first_of, until_of) = list_column(batch, 3) if column.null_count < len(column) else (np.zeros(batch.num_rows + 1, np.int64), (np.zeros(0, np.int64),) * 2)
-            out: list[list] = [[] for _ in names[2:]]
-            for i in range(batch.num_rows):
-                text, lo, hi = raw[offsets[i] : offsets[i + 1]], spans_at[i], spans_at[i + 1]
-                parts = text.split() if unit == "word" else text
-                n, gone, runs, kept = len(parts), 0, 0, parts
-                if hi > lo:
-                    order = np.argsort(first_of[lo:hi])
-                    first, until = first_of[lo:hi][order], np.maximum.accumulate(until_of[lo:hi][order])
-                    head = np.concatenate([[True], first[1:] > until[:-1]])
-                    starts, ends = first[head].tolist(), until[np.append(head[1:], True)].tolist()
-                    gone, runs = sum(ends) - sum(starts), len(starts)
-                    pieces = [parts[a:b] for a, b in zip([0, *ends], [*starts, n], strict=True)]
-                    kept = [w for p in pieces for w in p] if unit == "word" else b"".join(pieces)
-                kept = gap.join(kept) if unit == "word" else kept
-                for o, v in zip(out, [n, gone, runs, sha256(kept).hexdigest(), *[kept.decode("utf-8", "replace")] * with_text], strict=True):
-                    o.append(v)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(o, t) for o, t in zip(out, types, strict=False)]], names=names)
+        for whole in batches:
+            for i in range(0, whole.num_rows, 500):
+                yield cut_out(whole.slice(i, 500))
+
+    def cut_out(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, offsets = text_buffer(batch.column(2))
+        column = batch.column(3)
+        spans_at, (first_of, until_of) = list_column(batch, 3) if column.null_count < len(column) else (np.zeros(batch.num_rows + 1, np.int64), (np.zeros(0, np.int64),) * 2)
+        out: list[list] = [[] for _ in names[2:]]
+        for i in range(batch.num_rows):
+            text, lo, hi = data[offsets[i] : offsets[i + 1]].tobytes(), spans_at[i], spans_at[i + 1]
+            parts = text.split() if unit == "word" else text
+            n, gone, runs, kept = len(parts), 0, 0, parts
+            if hi > lo:
+                order = np.argsort(first_of[lo:hi])
+                first, until = first_of[lo:hi][order], np.maximum.accumulate(until_of[lo:hi][order])
+                head = np.concatenate([[True], first[1:] > until[:-1]])
+                starts, ends = first[head].tolist(), until[np.append(head[1:], True)].tolist()
+                gone, runs = sum(ends) - sum(starts), len(starts)
+                pieces = [parts[a:b] for a, b in zip([0, *ends], [*starts, n], strict=True)]
+                kept = [w for p in pieces for w in p] if unit == "word" else b"".join(pieces)
+            kept = gap.join(kept) if unit == "word" else kept
+            for o, v in zip(out, [n, gone, runs, sha256(kept).hexdigest(), *[kept.decode("utf-8", "replace")] * with_text], strict=True):
+                o.append(v)
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(o, t) for o, t in zip(out, types, strict=False)]], names=names)
 
     schema = "id long, tag int, n_symbols long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
     return texts.join(spans, ["id", "tag"], "left").select("id", "tag", "text", "spans").mapInArrow(run, schema)
