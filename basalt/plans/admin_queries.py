@@ -139,23 +139,23 @@ QUERIES: dict[str, tuple[Callable[[Views], DataFrame], str]] = {
             SELECT sha, peeled, nesting FROM p WHERE peeled NOT IN (SELECT sha FROM {_TAGS} t)""",
     ),
     "tag_ride_along": (
-        lambda v: history.riding_tags(v.sql(f"SELECT * FROM {_TAGREFS} t"), v.sql("SELECT CAST(o_orderkey AS STRING) AS sha FROM {orders} WHERE o_orderkey % 4 <> 2")),
-        f"SELECT DISTINCT target AS sha FROM {_TAGREFS} t WHERE name LIKE 'refs/tags/%' AND peeled IS NOT NULL AND CAST(peeled AS BIGINT) % 4 <> 2",
+        lambda v: history.riding_tags(v.sql(f"SELECT * FROM {_TAGREFS} t"), v.sql("SELECT CAST(o_orderkey AS STRING) AS sha FROM {orders} WHERE o_orderkey % 7 <> 3")),
+        f"SELECT DISTINCT target AS sha FROM {_TAGREFS} t WHERE name LIKE 'refs/tags/%' AND peeled IS NOT NULL AND CAST(peeled AS BIGINT) % 7 <> 3",
     ),
     "sparse_tree_diff": (
         lambda v: history.sparse_new(v.g_tree_b, v.g_tree_a),
         """SELECT DISTINCT b.oid FROM {g_tree_b} b WHERE NOT EXISTS (SELECT 1 FROM {g_tree_a} a WHERE a.oid = b.oid AND regexp_replace(a.path, '[^/]*$', '') = regexp_replace(b.path, '[^/]*$', ''))""",
     ),
     "history_horizon": (
-        lambda v: history.horizon(_ids_of(v, [1440, 1296]), v.g_commit_parents, v.times, 788_918_400_000),
-        f"""WITH RECURSIVE d AS (SELECT sha FROM {_TIPS} t WHERE sha NOT IN (SELECT sha FROM {_TIMES} x WHERE at < 788918400000) UNION SELECT l.dst FROM d JOIN {_UP} l ON l.src = d.sha WHERE l.dst NOT IN (SELECT sha FROM {_TIMES} x WHERE at < 788918400000))
-            SELECT DISTINCT l.dst AS sha FROM d JOIN {_UP} l ON l.src = d.sha WHERE l.dst IN (SELECT sha FROM {_TIMES} x WHERE at < 788918400000)""",
+        lambda v: history.horizon(_ids_of(v, [1440, 1296]), v.g_commit_parents, v.times, 830_000_000_000),
+        f"""WITH RECURSIVE d AS (SELECT sha FROM {_TIPS} t WHERE sha NOT IN (SELECT sha FROM {_TIMES} x WHERE at < 830000000000) UNION SELECT l.dst FROM d JOIN {_UP} l ON l.src = d.sha WHERE l.dst NOT IN (SELECT sha FROM {_TIMES} x WHERE at < 830000000000))
+            SELECT DISTINCT l.dst AS sha FROM d JOIN {_UP} l ON l.src = d.sha WHERE l.dst IN (SELECT sha FROM {_TIMES} x WHERE at < 830000000000)""",
     ),
     "mark_oracle": (
-        lambda v: history.unmarked(v.g_objects, v.g_packs, v.cohort, v.g_objects.where("size % 2 = 0").select("sha"), v.roots, v.sql("SELECT '100' AS sha"), v.g_links),
+        lambda v: history.unmarked(v.g_objects, v.g_packs, v.sql("SELECT id FROM {g_packs} WHERE state = 'live' AND id % 50 <> 0"), v.g_objects.where("size % 97 = 0").select("sha"), v.roots, v.sql("SELECT '100' AS sha"), v.g_links),
         f"""WITH RECURSIVE r AS (SELECT sha FROM {_ROOTS} t UNION SELECT l.dst FROM r JOIN {{g_links}} l ON l.src = r.sha), f AS (SELECT '100' AS sha UNION SELECT l.dst FROM f JOIN {{g_links}} l ON l.src = f.sha)
-            SELECT sha FROM {_LIVE} o WHERE sha IN (SELECT sha FROM r) AND sha NOT IN (SELECT sha FROM f) AND sha NOT IN (SELECT sha FROM {{g_objects}} WHERE size % 2 = 0)
-            GROUP BY sha HAVING max(CASE WHEN pack_id IN (SELECT id FROM {_COHORT} c) THEN 0 ELSE 1 END) = 0""",
+            SELECT sha FROM {_LIVE} o WHERE sha IN (SELECT sha FROM r) AND sha NOT IN (SELECT sha FROM f) AND sha NOT IN (SELECT sha FROM {{g_objects}} WHERE size % 97 = 0)
+            GROUP BY sha HAVING max(CASE WHEN pack_id % 50 <> 0 THEN 0 ELSE 1 END) = 0""",
     ),
 }
 

@@ -254,8 +254,8 @@ QUERIES: dict[str, tuple[Callable[[Views], DataFrame], str]] = {
             SELECT sha, depth, EXISTS (SELECT 1 FROM {_UP} l WHERE l.src = s.sha AND l.dst NOT IN (SELECT sha FROM s)) AS shallow FROM s""",
     ),
     "time_cut": (
-        lambda v: graph.time_cut(_ids_of(v, [1440, 1296]), v.g_commit_parents, v.times, 788_918_400_000),
-        f"""WITH RECURSIVE d AS (SELECT sha FROM {_TIPS} t UNION SELECT l.dst FROM d JOIN {_UP} l ON l.src = d.sha WHERE l.dst NOT IN (SELECT sha FROM {_TIMES} x WHERE at < 788918400000)) SELECT sha FROM d""",
+        lambda v: graph.time_cut(_ids_of(v, [1440, 1296]), v.g_commit_parents, v.times, 830_000_000_000),
+        f"""WITH RECURSIVE d AS (SELECT sha FROM {_TIPS} t UNION SELECT l.dst FROM d JOIN {_UP} l ON l.src = d.sha WHERE l.dst NOT IN (SELECT sha FROM {_TIMES} x WHERE at < 830000000000)) SELECT sha FROM d""",
     ),
     "garbage_set": (
         lambda v: graph.garbage(v.g_objects, v.g_packs, v.roots, v.g_links, 820_000_000_000),
