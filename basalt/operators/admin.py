@@ -183,3 +183,47 @@ def upsert_least(old: DataFrame, new: DataFrame) -> DataFrame:
 def held_leases(leases: DataFrame, now: int) -> DataFrame:
     """leases(name, id, holder, until): the newest unexpired lease of each name."""
     return leases.where(F.col("until") > now).groupBy("name").agg(F.max(F.struct("id", "holder", "until")).alias("l")).select("name", "l.holder", "l.until")
+
+
+def heads(repos: DataFrame, refs: DataFrame) -> DataFrame:
+    """repos(repo, head) and refs(repo, name): the head, or the first branch where it names nothing."""
+    first = refs.where(F.startswith("name", F.lit("refs/heads/"))).groupBy("repo").agg(F.min("name").alias("first"))
+    real = refs.select("repo", F.col("name").alias("head"), F.lit(True).alias("real")).distinct()
+    return repos.join(real, ["repo", "head"], "left").join(first, "repo", "left").select("repo", F.when(F.col("real"), F.col("head")).otherwise(F.col("first")).alias("head"))
+
+
+def purged(rows: DataFrame, repos: DataFrame, now: int) -> DataFrame:
+    """rows(repo, ..) of repositories that are neither deleted nor expired."""
+    gone = repos.where(F.coalesce("deleted", F.lit(False)) | F.coalesce(F.col("expires_at") <= now, F.lit(False))).select("repo")
+    return rows.join(gone, "repo", "left_anti")
+
+
+def gossiped(events: DataFrame, hops: int) -> DataFrame:
+    """events(origin, seq, hop, body): each event once, by its shortest way, within a hop limit."""
+    return events.where(F.col("hop") <= hops).groupBy("origin", "seq").agg(F.min(F.struct("hop", "body")).alias("e")).select("origin", "seq", "e.hop", "e.body")
+
+
+def hook_outcomes(outbox: DataFrame, hooks: DataFrame) -> DataFrame:
+    """outbox(id, repo) with each hook(repo, url) of its repository, or null where it has none."""
+    return outbox.join(hooks.select("repo", "url"), "repo", "left").select("id", "repo", "url")
+
+
+def inclusion_paths(entries: DataFrame, wanted: DataFrame) -> DataFrame:
+    """entries(folder, name, oid) and wanted(root, path): the object at a path, one join per level of the deepest path; null if none.
+
+    A path's length is bounded by the name rules, so the levels are few.
+    """
+    at = wanted.select("root", "path", F.col("root").alias("oid"), F.split("path", "/").alias("parts"))
+    deepest = wanted.agg(F.max(F.size(F.split("path", "/"))).alias("n")).first()["n"] or 0
+    step = entries.select(F.col("folder").alias("oid"), F.col("name").alias("part"), F.col("oid").alias("below"))
+    for i in range(deepest):
+        here = at.withColumn("part", F.get("parts", F.lit(i)))
+        moved = here.join(step, ["oid", "part"], "left")
+        at = moved.select("root", "path", F.when(F.col("part").isNull(), F.col("oid")).otherwise(F.col("below")).alias("oid"), "parts")
+    return at.select("root", "path", "oid")
+
+
+def set_digest(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Row count and an order-free digest: the sum of 60-bit row hashes."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns])
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.conv(F.substring(F.sha1(text), 1, 15), 16, 10).cast("decimal(20,0)")).cast("string").alias("digest"))

@@ -64,17 +64,32 @@ def cas_fold(commands: DataFrame) -> DataFrame:
     return log.select("name", F.explode(F.aggregate("log", start, step)["out"]).alias("o")).select("name", "o.seq", "o.accepted")
 
 
-def refusal(commands: DataFrame, refs: DataFrame, known: DataFrame, scope: str) -> DataFrame:
-    """First reason that refuses each command, in the fixed order, or null: name, scope, nothing to do, missing object, stale."""
+def refusal(
+    commands: DataFrame, refs: DataFrame, known: DataFrame, scope: str, pins: DataFrame | None = None, head: str | None = None, protected: list[str] | None = None, full: bool = False
+) -> DataFrame:
+    """First reason that refuses each command, in the fixed order, or null: name, scope, nothing to do, pinned, head deletion, protected,
+    missing object, too many refs (where the table is full), stale.
+
+    protected: patterns; commands then have `forward`, the proof that an update keeps the old commit (null: unknown).
+    """
     now = refs.select("name", F.col("target").alias("now"))
     have = known.select(F.col("sha").alias("new")).distinct().withColumn("have", F.lit(True))
     seen = commands.join(now, "name", "left").join(have, "new", "left")
-    reason = F.coalesce(
-        F.when(~ref_name_valid(F.col("name")), "bad name"), F.when(~in_scope(F.lit(scope), F.col("name")), "out of scope"),
-        F.when(F.col("old").isNull() & F.col("new").isNull(), "nothing to do"), F.when(F.col("new").isNotNull() & F.col("have").isNull(), "missing object"),
-        F.when(~F.col("old").eqNullSafe(F.col("now")), "stale"),
-    )
-    return seen.select("seq", "name", reason.alias("reason"))
+    old, new, name = F.col("old"), F.col("new"), F.col("name")
+    reasons = [F.when(~ref_name_valid(name), "bad name"), F.when(~in_scope(F.lit(scope), name), "out of scope"), F.when(old.isNull() & new.isNull(), "nothing to do")]
+    if pins is not None:
+        seen = seen.join(pins.select("name", F.lit(True).alias("pin")).distinct(), "name", "left")
+        reasons.append(F.when(F.col("pin"), "pinned"))
+    if head is not None:
+        reasons.append(F.when(new.isNull() & (name == head), "current branch"))
+    if protected:
+        verdict = protected_verdict(old, new, F.col("forward"))
+        reasons.append(F.when(in_scope(F.lit(",".join(protected)), name) & (verdict != "allow"), F.concat(F.lit("protected: "), verdict)))
+    reasons.append(F.when(new.isNotNull() & F.col("have").isNull(), "missing object"))
+    if full:
+        reasons.append(F.when(new.isNotNull() & old.isNull(), "too many refs"))
+    reasons.append(F.when(~old.eqNullSafe(F.col("now")), "stale"))
+    return seen.select("seq", "name", F.coalesce(*reasons).alias("reason"))
 
 
 def all_or_nothing(verdicts: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.operators import admin, history
+from basalt.operators import admin, history, refs
 from basalt.plans.fixtures import duck
 from basalt.plans.queries import _COHORT, _LIVE, _PUSHES, _ROOTS, _TIMES, _TIPS, _UP, Views, _ids_of
 
@@ -128,6 +128,45 @@ QUERIES: dict[str, tuple[Callable[[Views], DataFrame], str]] = {
         lambda v: admin.held_leases(v.sql(f"SELECT * FROM {_LEASES} t"), 1_706_000_000_000),
         f"SELECT name, holder, until FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY id DESC) AS r FROM {_LEASES} t WHERE until > 1706000000000) u WHERE r = 1",
     ),
+    "policy_cascade_full": (
+        lambda v: refs.refusal(
+            v.g_commands.withColumn("forward", F.when(F.col("seq") % 3 > 0, F.col("seq") % 3 == 1)), refs.as_of(v.g_reflog, 10**15), v.g_reflog.select(F.col("new").alias("sha")).where("sha < 'c'"), "refs/heads/u1*",
+            pins=v.sql("SELECT 'refs/heads/u10' AS name"), head="refs/heads/u11", protected=["refs/heads/u12*"], full=True,
+        ),
+        """SELECT c.seq, c.name, CASE WHEN c.name NOT LIKE 'refs/heads/u1%' THEN 'out of scope' WHEN c.old IS NULL AND c.new IS NULL THEN 'nothing to do' WHEN c.name = 'refs/heads/u10' THEN 'pinned'
+             WHEN c.new IS NULL AND c.name = 'refs/heads/u11' THEN 'current branch' WHEN c.name LIKE 'refs/heads/u12%' AND c.new IS NULL THEN 'protected: refuse'
+             WHEN c.name LIKE 'refs/heads/u12%' AND c.old IS NOT NULL AND c.seq % 3 = 0 THEN 'protected: unknown' WHEN c.name LIKE 'refs/heads/u12%' AND c.old IS NOT NULL AND c.seq % 3 = 2 THEN 'protected: refuse'
+             WHEN c.new IS NOT NULL AND NOT (c.new < 'c') THEN 'missing object' WHEN c.new IS NOT NULL AND c.old IS NULL THEN 'too many refs' WHEN c.old IS DISTINCT FROM r.target THEN 'stale' END AS reason
+           FROM {g_commands} c LEFT JOIN (SELECT name, target FROM (SELECT name, new AS target, row_number() OVER (PARTITION BY name ORDER BY at DESC, id DESC) AS n FROM {g_reflog}) t WHERE n = 1) r ON r.name = c.name""",
+    ),
+    "head_fallback": (
+        lambda v: admin.heads(v.sql("SELECT r_regionkey AS repo, CASE WHEN r_regionkey % 2 = 0 THEN 'refs/heads/main' ELSE concat('refs/heads/', CAST(r_regionkey + 5 AS STRING)) END AS head FROM {region}"), v.sql("SELECT n_regionkey AS repo, concat('refs/heads/', CAST(n_nationkey AS STRING)) AS name FROM {nation}")),
+        """SELECT r_regionkey AS repo, CASE WHEN r_regionkey % 2 = 1 AND EXISTS (SELECT 1 FROM {nation} WHERE n_regionkey = r_regionkey AND n_nationkey = r_regionkey + 5) THEN concat('refs/heads/', CAST(r_regionkey + 5 AS STRING))
+           ELSE (SELECT min(concat('refs/heads/', CAST(n_nationkey AS STRING))) FROM {nation} WHERE n_regionkey = r_regionkey) END AS head FROM {region}""",
+    ),
+    "purge": (
+        lambda v: admin.purged(v.sql("SELECT o_custkey AS repo, o_orderkey AS id FROM {orders}"), v.sql("SELECT c_custkey AS repo, c_custkey % 5 = 0 AS deleted, CASE WHEN c_custkey % 2 = 0 THEN c_custkey END AS expires_at FROM {customer}"), 50),
+        "SELECT o_custkey AS repo, o_orderkey AS id FROM {orders} WHERE o_custkey NOT IN (SELECT c_custkey FROM {customer} WHERE c_custkey % 5 = 0 OR (c_custkey % 2 = 0 AND c_custkey <= 50))",
+    ),
+    "gossip_dedup": (
+        lambda v: admin.gossiped(v.sql("SELECT push_id % 10 AS origin, push_id AS seq, CAST(id % 9 AS INT) AS hop, name AS body FROM {g_reflog}"), 5),
+        """SELECT origin, seq, hop, body FROM (SELECT push_id % 10 AS origin, push_id AS seq, CAST(id % 9 AS INT) AS hop, name AS body, row_number() OVER (PARTITION BY push_id ORDER BY id % 9, name) AS r FROM {g_reflog} WHERE id % 9 <= 5) t WHERE r = 1""",
+    ),
+    "hook_outer_join": (
+        lambda v: admin.hook_outcomes(v.sql("SELECT o_orderkey AS id, o_custkey AS repo FROM {orders}"), v.sql("SELECT c_custkey AS repo, c_name AS url FROM {customer} WHERE c_custkey % 4 = 0")),
+        "SELECT o_orderkey AS id, o_custkey AS repo, c_name AS url FROM {orders} LEFT JOIN {customer} ON c_custkey = o_custkey AND c_custkey % 4 = 0",
+    ),
+    "path_lookup": (
+        lambda v: admin.inclusion_paths(
+            v.sql("SELECT DISTINCT 'root' AS folder, source AS name, source AS oid FROM {documents} UNION SELECT source, lang, concat(source, lang) FROM {documents} UNION SELECT concat(source, lang), CAST(doc_id AS STRING), sha1(text) FROM {documents}"),
+            v.sql("SELECT 'root' AS root, concat(source, '/', lang, '/', CAST(doc_id + doc_id % 2 AS STRING)) AS path FROM {documents}"),
+        ),
+        """SELECT 'root' AS root, concat(d.source, '/', d.lang, '/', CAST(d.doc_id + d.doc_id % 2 AS STRING)) AS path, sha1(e.text) AS oid FROM {documents} d LEFT JOIN {documents} e ON e.doc_id = d.doc_id + d.doc_id % 2 AND e.source = d.source AND e.lang = d.lang""",
+    ),
+    "row_digest": (
+        lambda v: admin.set_digest(v.g_refs, ["name", "target"]),
+        "SELECT count(*) AS n, CAST(CAST(sum(CAST(concat('0x', substr(sha1(concat_ws('|', name, target)), 1, 15)) AS HUGEINT)) AS HUGEINT) AS STRING) AS digest FROM {g_refs}",
+    ),
     "ref_exclusion": (
         lambda v: history.without(_ids_of(v, [1440, 1296]), v.g_commit_parents, v.sql("SELECT '360' AS sha UNION ALL SELECT 'nowhere'")),
         f"""WITH RECURSIVE x AS (SELECT '360' AS sha UNION SELECT l.dst FROM x JOIN {_UP} l ON l.src = x.sha), d AS (SELECT sha FROM {_TIPS} t UNION SELECT l.dst FROM d JOIN {_UP} l ON l.src = d.sha WHERE l.dst NOT IN (SELECT sha FROM x))
