@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.operators import admin, history, refs
+from basalt.operators import admin, graph, history, refs
 from basalt.plans.fixtures import duck
 from basalt.plans.queries import _COHORT, _LIVE, _PUSHES, _ROOTS, _TIMES, _TIPS, _UP, Views, _ids_of
 
@@ -199,7 +199,9 @@ QUERIES: dict[str, tuple[Callable[[Views], DataFrame], str]] = {
 }
 
 #: Which visit of a commit counts depends on the walk so far, which one recursive query cannot say; tests compare with a plain walk.
+#: all_generation_numbers is generation_numbers without the bound that its SQL has; a test compares it with brute force.
 UNSPOKEN: dict[str, Callable[[Views], DataFrame]] = {
+    "all_generation_numbers": lambda v: graph.generations(v.g_commit_parents, v.sql("SELECT CAST(o_orderkey AS STRING) AS sha FROM {orders}")),
     "relative_depth": lambda v: history.deepened(_ids_of(v, [1440, 1296]), v.g_commit_parents, _ids_of(v, [360, 162, 144]), 2, relative=True, acks=_ids_of(v, [720])),
     "deepen_shallow": lambda v: history.deepened(_ids_of(v, [1440, 1296]), v.g_commit_parents, _ids_of(v, [360, 162, 144]), 5, acks=_ids_of(v, [720])),
 }
