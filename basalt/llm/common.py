@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Stands for a null id inside an operator; it sorts after every id and becomes null again in results.
@@ -32,11 +32,17 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tag_of(text: Column) -> Column:
+    """Tells apart texts under one id; a null text is the empty text."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return F.xxhash64(text, F.length(text))
+
+
 def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, tag, text): id is never null, tag separates rows that repeat an id with another text; null texts are empty."""
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    text = docs[text_col]
     return docs.select(
-        F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), F.hash(text).alias("tag"), text.alias("text")
+        F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("id"), tag_of(text).alias("tag"), F.coalesce(text.cast("string"), F.lit("")).alias("text")
     )
 
 
@@ -65,8 +71,12 @@ def chunks(offsets: np.ndarray, most: int = 1 << 20):
         i = j
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_powers: dict[str, np.ndarray] = {}
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: The prime 2**31 - 1 and two bases below it: hashes are pairs of polynomials over its field. A modulus of 2**64 would be
+#: faster, but Thue-Morse strings collide there whatever the base.
+_PRIME = np.uint64(2**31 - 1)
+_BASES = (1_487_136_523, 1_967_224_919)
+_powers: list[np.ndarray] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -79,38 +89,60 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
+BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * _GOLDEN)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x below 2**62 modulo the prime."""
+    x = (x & _PRIME) + (x >> np.uint64(31))
+    x -= _PRIME * (x >= _PRIME)
+    return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse mod 2**64 for i <= n, kept and grown by doubling."""
-    if len(_powers.get("up", ())) <= n:
+def powers(n: int) -> list[np.ndarray]:
+    """For each base, base**i and its inverse modulo the prime for i <= n, kept and grown by doubling."""
+    if not _powers or len(_powers[0]) <= n:
         size = 1 << max(16, int(n).bit_length())
-        for name, base in (("up", int(_BASE)), ("down", pow(int(_BASE), -1, 1 << 64))):
-            with np.errstate(over="ignore"):
-                step = np.full(size, base, dtype=np.uint64)
-                step[0] = 1
-                _powers[name] = np.multiply.accumulate(step)
-    return _powers["up"], _powers["down"]
+        made = []
+        for base in _BASES:
+            for b in (base, pow(base, -1, int(_PRIME))):
+                table = np.ones(size, dtype=np.uint64)
+                have = 1
+                while have < size:
+                    table[have : 2 * have] = _reduced(table[:have] * np.uint64(pow(b, have, int(_PRIME))))
+                    have *= 2
+                made.append(table)
+        _powers[:] = made
+    return _powers
 
 
 class Rolling:
-    """Prefix sums of a polynomial over 64-bit symbols; of(s, e) hashes any range [s, e) in constant time."""
+    """Prefix sums of two polynomials over 64-bit symbols; of(s, e) hashes any range [s, e) in constant time.
+
+    Two unlike ranges of n symbols have equal hashes with a probability of at most about (n / 2**31)**2.
+    """
 
     def __init__(self, values: np.ndarray):
-        up, self.down = powers(len(values))
-        self.sums = np.zeros(len(values) + 1, dtype=np.uint64)
-        np.cumsum(values * up[: len(values)], out=self.sums[1:])
+        self.tables = powers(len(values))
+        self.sums = []
+        for half, up in ((values & _PRIME, self.tables[0]), (values >> np.uint64(33), self.tables[2])):
+            sums = np.zeros(len(values) + 1, dtype=np.uint64)
+            np.cumsum(_reduced(half * up[: len(values)]), out=sums[1:])
+            self.sums.append(_reduced(sums))
+
+    def _joined(self, ends: list[np.ndarray], starts: list[np.ndarray], at, salt) -> np.ndarray:
+        a, b = (_reduced(_reduced(e + _PRIME - s) * down[at]) for e, s, down in zip(ends, starts, self.tables[1::2], strict=True))
+        return mix((a << np.uint64(32) | b) + salt)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+        return self._joined([s[end] for s in self.sums], [s[start] for s in self.sums], start, (end - start).astype(np.uint64) * _GOLDEN)
 
     def every(self, n: int) -> np.ndarray:
         """Hashes of all ranges of n symbols."""
-        m = len(self.sums) - n
+        m = len(self.sums[0]) - n
         if m <= 0:
             return np.zeros(0, np.uint64)
-        return mix((self.sums[n:] - self.sums[:-n]) * self.down[:m] + np.uint64(n))
+        return self._joined([s[n:] for s in self.sums], [s[:-n] for s in self.sums], slice(0, m), np.uint64(n * int(_GOLDEN) % (1 << 64)))
 
 
 _BLANK = np.zeros(256, dtype=bool)

@@ -1,16 +1,11 @@
-"""Repeats of at least `length` symbols across documents, found from winnowed seeds (Schleimer et al., 2003).
+"""Places where repeats of at least `length` symbols can lie, found from winnowed seeds (Schleimer et al., 2003).
 
 A symbol is a byte or a word. Of the seed hashes inside each window of `length` symbols the smallest (leftmost if tied) is
 the window's seed. Equal windows choose equal seeds at equal offsets, so every window is looked for only among the windows of
 its own seed, and the windows that chose one occurrence of a seed are neighbours: a *segment*, the widest stretch to which
 this occurrence has to be extended.
 
-    seeds     one row per segment: seed hash, segment hash, document, place
-    shared    seeds that occur again (an aggregate of the narrow table)
-    placed    segments of shared seeds, compared by segment hash: all but the first of equal segments repeat as a whole
-    contested first segments of seeds that have several different ones: their windows are compared one by one
-
-The callers differ in how contested segments are resolved. No step pairs the members of a group.
+The callers differ in how they compare segments. No step pairs the members of a group.
 """
 
 from __future__ import annotations
@@ -19,9 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from basalt.llm.common import BYTE_VALUE, Rolling, chunks, cut, mix, text_buffer, words_of
+from basalt.llm.common import BYTE_VALUE, Rolling, chunks, mix, text_buffer, words_of
 
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -76,10 +70,13 @@ def signed(x: np.ndarray):
 
 
 def seeds(texts: DataFrame, unit: str, length: int, seed: int) -> DataFrame:
-    """(id, tag, text) -> (seed, segment, id, tag, first, windows), first counted in the document's own symbols."""
+    """(id, tag, text) -> (key, segment, id, tag, place, first, windows): a row per segment, with the hashes of its seed and of itself.
+
+    The seed is at `place`, the first of the `windows` windows that chose it at `first`, counted in the document's own symbols.
+    """
     import pyarrow as pa
 
-    names = ["seed", "segment", "id", "tag", "first", "windows"]
+    names = ["key", "segment", "id", "tag", "place", "first", "windows"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,38 +87,11 @@ def seeds(texts: DataFrame, unit: str, length: int, seed: int) -> DataFrame:
                 rolling = Rolling(values)
                 doc, place, first, windows, hashed = segments(rolling, bounds, length, seed)
                 whole = mix(rolling.of(first, first + windows + (length - 1)) ^ mix((place - first).astype(np.uint64)))
-                columns = [hashed, whole, ids[i:j][doc], tags[i:j][doc], first - bounds[doc], windows.astype(np.int32)]
+                base = bounds[doc]
+                columns = [hashed, whole, ids[i:j][doc], tags[i:j][doc], place - base, first - base, windows.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([signed(c) for c in columns], names=names)
 
-    return texts.mapInArrow(run, "seed long, segment long, id long, tag int, first long, windows int")
-
-
-def placed(texts: DataFrame, unit: str, length: int, seed: int, across: bool) -> DataFrame:
-    """Segments of shared seeds, each with `whole` (it repeats an earlier equal segment) and `contested`.
-
-    across: only another document of smaller id counts as earlier; else an earlier place of the same document does as well.
-    """
-    found = seeds(texts, unit, length, seed)
-    some = found.groupBy("seed").agg(F.min("id").alias("lo"), F.max("id").alias("hi")) if across else found.groupBy("seed").agg(F.count(F.lit(1)).alias("n"))
-    # written tables on both sides of a join let Spark split a seed that very many documents share
-    some = cut(some.where("lo < hi" if across else "n > 1").select("seed"), "shared")
-    mine = cut(found.join(some, "seed", "left_semi"), "segments")
-    earliest = F.min("id") if across else F.min(F.struct("id", "first"))
-    classes = mine.groupBy("seed", "segment").agg(earliest.alias("least"))
-    several = classes.groupBy("seed").agg(F.count(F.lit(1)).alias("kinds"), F.min("least").alias("origin"), F.max("least").alias("latest"))
-    classes = cut(classes.join(cut(several.where("kinds > 1"), "several"), "seed", "left"), "classes")
-    own = F.col("id") if across else F.struct("id", "first")
-    marked = mine.join(classes, ["seed", "segment"]).select(
-        "seed", "segment", "id", "tag", "first", "windows",
-        (own > F.col("least")).alias("whole"), ((own == F.col("least")) & (F.col("origin") < F.col("latest"))).alias("contested"),
-    )
-    return cut(marked.where("whole or contested"), "placed")
-
-
-def contested_texts(texts: DataFrame, marked: DataFrame, *extra: str) -> DataFrame:
-    """Documents that hold contested segments: (id, tag, text, spans); spans keep `extra` columns."""
-    spans = marked.where("contested").groupBy("id", "tag").agg(F.collect_list(F.struct("seed", "first", "windows", *extra)).alias("spans"))
-    return texts.join(spans, ["id", "tag"]).select("id", "tag", "text", "spans")
+    return texts.mapInArrow(run, "key long, segment long, id long, tag long, place long, first long, windows int")
 
 
 def list_column(batch, i: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -132,50 +102,6 @@ def list_column(batch, i: int) -> tuple[np.ndarray, list[np.ndarray]]:
     return offsets - offsets[0], [c.to_numpy(zero_copy_only=False) for c in flat.flatten()]
 
 
-def windows_of(found: DataFrame, unit: str, length: int, n_out: str = "seed long, window long, id long, tag int, at long") -> DataFrame:
-    """(id, tag, text, spans) -> one row per window of the spans."""
-    import pyarrow as pa
-
-    names = [x.split()[0] for x in n_out.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_buffer(batch.column(2))
-            ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            at, (seed_of, first_of, windows_in) = list_column(batch, 3)
-            for i, j in chunks(offsets):
-                values, bounds, _, _ = symbols(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], unit)
-                rolling = Rolling(values)
-                doc = np.repeat(np.arange(j - i), np.diff(at[i : j + 1]))
-                lo, hi = at[i], at[j]
-                many = windows_in[lo:hi].astype(np.int64)
-                row = np.repeat(np.arange(hi - lo), many)
-                start = first_of[lo:hi][row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-                base = bounds[doc[row]] + start
-                columns = [seed_of[lo:hi][row], rolling.of(base, base + length), ids[i:j][doc[row]], tags[i:j][doc[row]], start]
-                yield pa.RecordBatch.from_arrays([signed(c) for c in columns], names=names)
-
-    return found.mapInArrow(run, n_out)
-
-
-def repeated_windows(every: DataFrame, length: int, across: bool) -> DataFrame:
-    """Contested windows, one row each -> (id, tag, first, until) of those that an earlier one equals."""
-    every = cut(every, "windows")
-    earliest = F.min("id") if across else F.min(F.struct("id", "at"))
-    least = every.groupBy("seed", "window").agg(earliest.alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    own = F.col("id") if across else F.struct("id", "at")
-    least = cut(least, "least")
-    return (
-        every.join(least, ["seed", "window"]).where(own > F.col("least")).select("id", "tag", F.col("at").alias("first"), (F.col("at") + length).alias("until"))
-    )
-
-
-def removed_spans(marked: DataFrame, resolved: DataFrame, length: int) -> DataFrame:
-    """(id, tag, spans): all ranges of symbols to remove from a document, not yet merged."""
-    whole = marked.where("whole").select("id", "tag", "first", (F.col("first") + F.col("windows") + (length - 1)).alias("until"))
-    return whole.unionAll(resolved).groupBy("id", "tag").agg(F.collect_set(F.struct("first", "until")).alias("spans"))
-
-
 def without_spans(texts: DataFrame, spans: DataFrame, unit: str, with_text: bool) -> DataFrame:
     """(id, tag, n_symbols, n_removed, n_spans, kept_sha256[, kept_text]) for every document.
 
@@ -217,5 +143,5 @@ def without_spans(texts: DataFrame, spans: DataFrame, unit: str, with_text: bool
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(o, t) for o, t in zip(out, types, strict=False)]], names=names)
 
-    schema = "id long, tag int, n_symbols long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
+    schema = "id long, tag long, n_symbols long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
     return texts.join(spans, ["id", "tag"], "left").select("id", "tag", "text", "spans").mapInArrow(run, schema)

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import NO_ID, cut, keyed_texts, real_id
+from basalt.llm.common import NO_ID, cut, keyed_texts, real_id, tag_of
 from basalt.llm.components import components
 
 TREE = 256
@@ -110,7 +110,7 @@ def with_fingerprints(texts: DataFrame, shingle: int) -> DataFrame:
             fp = np.fromiter((fingerprint(t.as_py(), shingle, xxh64_intdigest) for t in batch.column(2)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], names=["id", "tag", "fp"])
 
-    return texts.mapInArrow(run, "id long, tag int, fp long")
+    return texts.mapInArrow(run, "id long, tag long, fp long")
 
 
 def fingerprint_links(distinct: DataFrame, radius: int) -> DataFrame:
@@ -208,7 +208,7 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kept = kept.groupBy("__id").agg(F.min("tag").alias("__tag"))
     marked = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("__id"),
-        F.hash(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("__tag"),
+        tag_of(docs[text_col]).alias("__tag"),
     )
     # an aggregate, not a window: rows that repeat an id are reduced before the shuffle
     once = marked.join(kept, ["__id", "__tag"], "left_semi").groupBy("__id", "__tag").agg(F.min_by("row", F.to_json("row")).alias("row"))

@@ -1,8 +1,19 @@
 """Substring dedup by seed and extend, over words.
 
-Documents meet on winnowed anchors (see repeats.py); each shared anchor is extended both ways over the windows that chose it,
-by rolling hashes of the growing context, and what is covered by matched windows of `length` words or more - the maximal
-repeats - is removed from every document but the one of smallest id.
+1. Anchors: each document's winnowed seeds (see repeats.py), with the windows of `length` words that chose them.
+2. Join: every anchor meets the earliest occurrence of the same anchor - its origin - and no other one, so that an anchor which
+   very many documents share costs one row for each of them.
+3. Extend: anchors of one document and origin on one diagonal form chains. The origin's words along a chain come to the
+   document, and both are compared word by word, on bytes, to the left and right of each anchor until they differ or no window
+   that chose the anchor reaches further. Matches of `length` words or more are maximal repeats; if the origin's
+   id is smaller they are removed.
+4. Windows that do not lie in the match hold the word where it broke off. They may still equal a window of another document
+   that broke off there with the same word: anchor, direction, extent and that word are the key of a longer anchor, with which
+   steps 2 and 3 are repeated. Keys grow by a word at least, so there are at most 2 * (length - seed) rounds; text that is
+   not repeated leaves after the first.
+
+Hashes choose what is compared; nothing is removed that has not been compared word by word. Two unlike anchors with equal
+62-bit hashes could only hide a repeat.
 
 Defined cases: null and blank texts have no words and lose none; texts of fewer than `length` words lose none; rows of one
 id never remove words from each other, so repeated rows have equal results; a null id counts as larger than every other;
@@ -11,13 +22,172 @@ an empty table gives an empty result; other columns are not read and clash with
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from operator import eq
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import NO_ID, cut, keyed_texts, real_id
-from basalt.llm.repeats import contested_texts, placed, removed_spans, repeated_windows, windows_of, without_spans
+from basalt.llm.common import NO_ID, cut, keyed_texts, real_id, tag_of
+from basalt.llm.repeats import seeds, without_spans
+
+#: Words of a window, of a seed, and of a block in which an origin's words travel.
+LENGTH, SEED, BLOCK = 50, 25, 256
+_PAIR = ["id", "tag", "origin", "origin_tag", "shift"]
+
+
+def met_anchors(anchors: DataFrame) -> DataFrame:
+    """(key, id, tag, place, first, windows) -> the anchors of each document and origin on a diagonal, a row per diagonal.
+
+    shift: how much further to the right the anchors lie in the origin.
+    """
+    own = F.struct("id", "tag", "place")
+    groups = anchors.groupBy("key").agg(F.min(own).alias("least"), F.max("id").alias("last")).where("least.id < last")
+    # written tables on both sides of the join let Spark split an anchor that very many documents share
+    shared = cut(groups.select("key", "least"), "shared")
+    mine = cut(anchors.join(shared, "key").where(own > F.col("least")), "met")
+    at = mine.select("id", "tag", F.col("least.id").alias("origin"), F.col("least.tag").alias("origin_tag"), (F.col("least.place") - F.col("place")).alias("shift"), "first", "windows", "place", "key")
+    return cut(at.groupBy(*_PAIR).agg(F.sort_array(F.collect_set(F.struct("first", "windows", "place", "key"))).alias("anchors")), "diagonals")
+
+
+def wanted_ranges(diagonals: DataFrame, length: int, block: int) -> DataFrame:
+    """The chains of each diagonal, cut where a block of the origin ends: (.., number of the block, first word in it, words)."""
+    import pyarrow as pa
+
+    names = [*_PAIR, "block", "begin", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(5).offsets.to_numpy()
+            first, windows = (batch.column(5).values.field(i).to_numpy() for i in (0, 1))
+            shift, out = batch.column(4).to_numpy(), []
+            for row in range(batch.num_rows):
+                lo = first[at[row] : at[row + 1]]
+                hi = np.maximum.accumulate(lo + windows[at[row] : at[row + 1]] + (length - 1))
+                head = np.flatnonzero(np.concatenate([[True], lo[1:] > hi[:-1]]))
+                for a, b in zip(lo[head].tolist(), hi[np.append(head[1:], len(lo)) - 1].tolist(), strict=True):
+                    a, b = max(0, a + int(shift[row])), b + int(shift[row])
+                    while a < b:
+                        end = min(b, a - a % block + block)
+                        out.append((row, a // block, a % block, end - a))
+                        a = end
+            made = np.array(out, dtype=np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i).take(pa.array(made[:, 0])) for i in range(5)], *[pa.array(made[:, i]) for i in (1, 2, 3)]], names=names)
+
+    return diagonals.mapInArrow(run, "id long, tag long, origin long, origin_tag long, shift long, block long, begin long, n long")
+
+
+def blocks_of(texts: DataFrame, wanted: DataFrame, block: int) -> DataFrame:
+    """(origin, origin_tag, block, words): the wanted blocks of the origins' texts, words joined by one space."""
+    import pyarrow as pa
+
+    names = ["origin", "origin_tag", "block", "words"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, numbers, held = [], [], []
+            for i in range(batch.num_rows):
+                words = batch.column(2)[i].as_py().encode().split()
+                for b in batch.column(3)[i].as_py():
+                    if b * block < len(words):
+                        rows.append(i)
+                        numbers.append(b)
+                        held.append(b" ".join(words[b * block : (b + 1) * block]))
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int64()), pa.array(held, pa.binary()).cast(pa.string())], names=names)
+
+    numbers = wanted.groupBy(F.col("origin").alias("id"), F.col("origin_tag").alias("tag")).agg(F.collect_set("block").alias("numbers"))
+    found = texts.join(numbers, ["id", "tag"]).select("id", "tag", "text", "numbers").mapInArrow(run, "origin long, origin_tag long, block long, words string")
+    return found.dropDuplicates(["origin", "origin_tag", "block"])  # rows may repeat
+
+
+def equal_runs(words: list[bytes], pieces: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal ranges of a document's words that equal the origin's; pieces: (place in the document, the origin's words)."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for at, piece in sorted(pieces):
+        other = piece.split()
+        same = np.fromiter(map(eq, words[at : at + len(other)], other), bool, min(len(other), len(words) - at))
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8)))
+        for a, b in zip((edge[::2] + at).tolist(), (edge[1::2] + at).tolist(), strict=True):
+            if ends and ends[-1] == a:
+                ends[-1] = b
+            else:
+                starts.append(a)
+                ends.append(b)
+    return np.array(starts, dtype=np.int64), np.array(ends, dtype=np.int64)
+
+
+def longer_key(key: int, right: bool, extent: int, word: bytes) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(b"%d %d %d " % (key, right, extent) + word) - (1 << 63)
+
+
+def extended(texts: DataFrame, diagonals: DataFrame, length: int, block: int) -> DataFrame:
+    """Repeats (id, tag, first, until) and longer anchors (key, id, tag, place, first, windows, until null)."""
+    import pyarrow as pa
+
+    wanted = wanted_ranges(diagonals, length, block)
+    blocks = cut(blocks_of(texts, wanted, block), "blocks")
+    words = F.array_join(F.slice(F.split("words", " "), (F.col("begin") + 1).cast("int"), F.col("n").cast("int")), " ")
+    place = F.col("block") * block + F.col("begin") - F.col("shift")
+    pieces = cut(wanted, "wanted").join(blocks, ["origin", "origin_tag", "block"]).select("id", "tag", "origin", "origin_tag", "shift", place.alias("at"), words.alias("words"))
+    pieces = pieces.groupBy("id", "tag").agg(F.collect_set(F.struct("origin", "origin_tag", "shift", "at", "words")).alias("pieces"))
+    mine = diagonals.groupBy("id", "tag").agg(F.collect_set(F.struct("origin", "origin_tag", "shift", "anchors")).alias("diagonals"))
+    both = texts.join(mine, ["id", "tag"]).join(pieces, ["id", "tag"], "left").select("id", "tag", "text", "diagonals", "pieces")
+    kinds = {"key": pa.int64(), "id": pa.int64(), "tag": pa.int64(), "place": pa.int64(), "first": pa.int64(), "windows": pa.int32(), "until": pa.int64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own, tag = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                found = extend(own, batch.column(2)[i].as_py().encode().split(), batch.column(3)[i].values, batch.column(4)[i].as_py() or [])
+                if found:
+                    key, place, first, windows, until = zip(*found, strict=True)
+                    columns = [key, [own] * len(key), [tag] * len(key), place, first, windows, until]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+
+    def extend(own: int, words: list[bytes], mine: pa.StructArray, pieces: list[dict]) -> list[tuple]:
+        held: dict[tuple, list] = {}
+        for p in pieces:
+            held.setdefault((p["origin"], p["origin_tag"], p["shift"]), []).append((p["at"], p["words"].encode()))
+        out: set[tuple] = set()
+        for k in range(len(mine)):
+            at = tuple(mine.field(i)[k].as_py() for i in range(3))
+            starts, ends = equal_runs(words, held.get(at, []))
+            first, windows, place, keys = (mine.field(3)[k].values.field(i).to_numpy() for i in range(4))
+            stop = first + windows + (length - 1)
+            run = np.searchsorted(starts, place, "right") - 1
+            inside = (run >= 0) & (ends[run] > place) if len(starts) else np.zeros(len(place), bool)
+            left = np.where(inside, np.maximum(starts[run] if len(starts) else 0, first), place)
+            right = np.where(inside, np.minimum(ends[run] if len(starts) else 0, stop), place)
+            long = right - left >= length
+            if at[0] < own:
+                out.update((None, None, a, None, b) for a, b in zip(left[long].tolist(), right[long].tolist(), strict=True))
+            for j in np.flatnonzero(inside & ((left > first) | (right < stop))).tolist():
+                a, b, f, n, p = int(left[j]), int(right[j]), int(first[j]), int(windows[j]), int(place[j])
+                if a > f:  # windows that hold the word on which the match breaks off to the left
+                    out.add((longer_key(int(keys[j]), False, p - a, words[a - 1]), p, f, min(a, f + n) - f, None))
+                begin = max(a, b - length + 1)
+                if begin < f + n:  # the others that hold the word on which it breaks off to the right
+                    out.add((longer_key(int(keys[j]), True, b - p, words[b]), p, begin, f + n - begin, None))
+        return list(out)
+
+    return both.mapInArrow(run, ", ".join(f"{n} {'int' if t == pa.int32() else 'long'}" for n, t in kinds.items()))
+
 
-LENGTH, SEED = 50, 25
+def repeats(texts: DataFrame, length: int = LENGTH, seed: int = SEED, block: int = BLOCK) -> DataFrame:
+    """(id, tag, first, until): maximal repeats, each found from one anchor, of a document of smaller id."""
+    anchors, found = seeds(texts, "word", length, seed).drop("segment"), None
+    while True:
+        got = cut(extended(texts, met_anchors(anchors), length, block), "extended")
+        spans = got.where("until is not null").select("id", "tag", "first", "until")
+        found = spans if found is None else found.unionAll(spans)
+        anchors = got.where("until is null").drop("until")
+        if anchors.isEmpty():
+            return found
 
 
 def substring_dedup(
@@ -25,9 +195,8 @@ def substring_dedup(
 ) -> DataFrame:
     """(id, tag, n_symbols, n_removed, n_spans, kept_sha256[, kept_text]), one row per document; words joined by one space."""
     texts = keyed_texts(docs, id_col, text_col)
-    marked = placed(texts, "word", length, seed, across=True)
-    resolved = repeated_windows(windows_of(contested_texts(texts, marked), "word", length), length, across=True)
-    return without_spans(texts, cut(removed_spans(marked, resolved, length), "spans"), "word", with_text)
+    spans = repeats(texts, length, seed).groupBy("id", "tag").agg(F.collect_set(F.struct("first", "until")).alias("spans"))
+    return without_spans(texts, cut(spans, "spans"), "word", with_text)
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -39,9 +208,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col("id").alias("__id"), F.col("tag").alias("__tag"), F.col("kept_text").alias("__kept")
     ).dropDuplicates(["__id", "__tag"])
     marked = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("__id"),
-        F.hash(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("__tag"),
-    )
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("__id"), tag_of(docs[text_col]).alias("__tag")
+    )
     row = F.col("row")
     new = F.coalesce(F.col("__kept"), row[text_col].cast("string")).alias(text_col)
     left = marked.join(found, ["__id", "__tag"], "left").where("__kept is null or __kept <> ''")

@@ -1,17 +1,19 @@
 """Suffix-array dedup of byte ranges with run-length Burrows-Wheeler indexes.
 
 Every byte covered by a string of `length` bytes that also starts earlier (smaller id, or same document and earlier place) is
-removed. Winnowed seeds (repeats.py) route to one index all places where equal strings can start, so that indexes stay
-small while together they cover the corpus:
-
-1. Equal segments need no index: all but the first repeat as a whole.
-2. Contested segments are gathered by seed into collections of bounded size. Each gets a run-compressed Burrows-Wheeler
-   transform; suffix samples are kept at run ends alone, and only there are match lengths computed. In text order a match
-   loses exactly one byte a step until the next run head, so matching statistics stream from those samples; in
-   repetitive collections runs are few.
-3. Suffixes whose match reaches `length` form classes; all of a class but its earliest member are marked.
-4. A seed with more than HOT contested segments would make one collection grow with the corpus; its windows are
-   compared by hash in an aggregate instead, which Spark pre-aggregates. Both ways are exact and find the same.
+removed. Which strings do is read from indexes alone. Winnowed seeds (repeats.py) route all places where equal strings can
+start to one index, so that indexes stay small while together they cover the corpus:
+
+1. Every seed that occurs twice brings its segments. Equal segments are one class, which carries its earliest place; copies
+   of a class cost a narrow row each.
+2. The classes of a seed lie in one collection. A collection gets a run-compressed Burrows-Wheeler transform; suffix samples
+   are kept at run ends alone, and only there are match lengths computed. In text order a match loses exactly one byte a step
+   until the next run head, so matching statistics stream from those samples; in repetitive collections runs are few.
+3. Neighbouring suffixes whose match reaches `length` form a group; the earliest place of its members goes back to each of
+   them, and from a class to its copies. A place later than the earliest one is removed.
+4. A seed of more than MOST classes would make one collection grow with the corpus. It is deepened: each of its segments is split in
+   two, windows that reach far right of the seed and the others, each with a longer seed that all of its windows hold. Longer seeds
+   have fewer classes; one of `length` bytes has a single class.
 
 Defined cases: null text is empty; texts under `length` bytes lose nothing; matches never cross documents; rows that repeat id
 and text are equal places, neither earlier, so both lose the same; null ids sort last; an empty table gives an empty
@@ -26,14 +28,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import BYTE_VALUE, Rolling, cut, keyed_texts, real_id, text_buffer
-from basalt.llm.repeats import contested_texts, list_column, placed, removed_spans, repeated_windows, signed, without_spans
+from basalt.llm.common import BYTE_VALUE, Rolling, cut, keyed_texts, mix, real_id, text_buffer
+from basalt.llm.repeats import list_column, seeds, signed, without_spans
 
 LENGTH, SEED = 100, 32
-#: Bytes after which a collection is closed. A seed is never split, so one index covers this and one seed's segments at most.
+#: Bytes after which a collection is closed. A seed is never split, so one index covers this and one seed's classes at most.
 COLLECTION = 1 << 16
-#: Contested segments of a seed beyond which its windows are compared in an aggregate: about 1 MB of segments.
-HOT = (1 << 20) // (2 * LENGTH - SEED)
+#: Classes of a seed beyond which it is deepened: about 1 MB of segments.
+MOST = 6000
+_PLACE = 40  # bits of a place in `when`
 
 
 class RunLengthIndex:
@@ -110,100 +113,134 @@ class RunLengthIndex:
         at = np.maximum.accumulate(at)
         return np.maximum(known[at] - (np.arange(self.n) - at), 0)
 
-    def marked(self, length: int, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(string, place in it) of every string of `length` bytes that an earlier place holds too.
+    def earliest(self, length: int, when: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(string, place in it, earliest `when` of the string of `length` bytes there) for every such place.
 
-        rank: per string, its document order; strings of equal rank hold equal places, neither being earlier.
+        when: for each string, the order of its first byte among all places; the following bytes count on from it.
         """
         string = np.repeat(np.arange(len(self.starts)), self.ends - self.starts + 1)
         place = np.arange(self.n) - self.starts[string]
-        when = rank[string] * (int(place.max(initial=0)) + 1) + place
+        order_of = (when[string] + place)[self.order]
         long = self.matching_statistics()[self.order] >= length
         long[0] = False
         heads = np.flatnonzero(~long)
-        earliest = np.repeat(np.minimum.reduceat(when[self.order], heads), np.diff(np.append(heads, self.n)))
-        later = self.order[earliest < when[self.order]]
-        later = np.sort(later[self.left[later] >= length])
-        return string[later], place[later]
+        least = np.empty(self.n, dtype=np.int64)
+        least[self.order] = np.repeat(np.minimum.reduceat(order_of, heads), np.diff(np.append(heads, self.n)))
+        whole = np.flatnonzero(self.left >= length)
+        return string[whole], place[whole], least[whole]
+
+
+def span_columns(batch) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(row of each span, the spans' fields) of the list column of a batch."""
+    at, fields = list_column(batch, 3)
+    return np.repeat(np.arange(batch.num_rows), np.diff(at)), fields
 
 
 def segment_texts(found: DataFrame, length: int) -> DataFrame:
-    """(id, tag, text, spans) -> (seed, id, tag, first, bytes, hot), a row for each span."""
+    """(id, tag, text, spans of key, segment, first, windows) -> (key, segment, id, first, bytes), a row for each span."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column(2))
             raw = memoryview(data)
-            at, (seed_of, first_of, windows_in, hot) = list_column(batch, 3)
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(at))
-            start = offsets[doc] + first_of
-            end = start + windows_in + (length - 1)
+            doc, (key, segment, first, windows) = span_columns(batch)
+            start = offsets[doc] + first
+            end = start + windows + (length - 1)
             for i in range(0, len(doc), 20_000):
                 s = slice(i, i + 20_000)
                 parts = pa.array([raw[a:b].tobytes() for a, b in zip(start[s].tolist(), end[s].tolist(), strict=True)], pa.binary())
-                own = [batch.column(c).take(pa.array(doc[s])) for c in (0, 1)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(seed_of[s]), *own, pa.array(first_of[s]), parts, pa.array(hot[s].astype(bool))],
-                    names=["seed", "id", "tag", "first", "bytes", "hot"],
-                )
+                own = batch.column(0).take(pa.array(doc[s]))
+                yield pa.RecordBatch.from_arrays([pa.array(key[s]), pa.array(segment[s]), own, pa.array(first[s]), parts], names=["key", "segment", "id", "first", "bytes"])
 
-    return found.mapInArrow(run, "seed long, id long, tag int, first long, bytes binary, hot boolean")
+    return found.mapInArrow(run, "key long, segment long, id long, first long, bytes binary")
 
 
-def segment_windows(parts: DataFrame, length: int) -> DataFrame:
-    """(seed, id, tag, first, bytes, ..) -> (seed, window, id, tag, at), a row for each window."""
+def deepened(found: DataFrame, length: int) -> DataFrame:
+    """(id, tag, text, spans of key, place, first, windows, size) -> the spans' two halves under longer seeds."""
     import pyarrow as pa
 
+    names = ["key", "segment", "id", "tag", "place", "first", "windows", "size"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffer(batch.column(4))
-            for i in range(0, batch.num_rows, 5_000):
-                part, bounds = batch.slice(i, 5_000), offsets[i : i + 5_001] - offsets[i]
-                rolling = Rolling(BYTE_VALUE[data[offsets[i] : offsets[i] + bounds[-1]]])
-                many = np.diff(bounds) - (length - 1)
-                row = np.repeat(np.arange(part.num_rows), many)
-                place = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-                start = bounds[row] + place
-                columns = [part.column(c).to_numpy()[row] for c in (0, 1, 2, 3)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0]), signed(rolling.of(start, start + length)), pa.array(columns[1]), pa.array(columns[2]), pa.array(columns[3] + place)],
-                    names=["seed", "window", "id", "tag", "at"],
-                )
-
-    return parts.mapInArrow(run, "seed long, window long, id long, tag int, at long")
-
-
-def indexed_repeats(parts: DataFrame, length: int) -> DataFrame:
-    """(seed, id, tag, first, bytes) -> (id, tag, first, until): repeats within each seed's segments, by run-length indexes."""
+            data, offsets = text_buffer(batch.column(2))
+            rolling = Rolling(BYTE_VALUE[data])
+            ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            doc, (key, place, first, windows, size) = span_columns(batch)
+            stop, spare = first + windows, length - size
+            reach = (spare + 1) // 2  # windows from `turn` on hold that many bytes behind the seed, the others more than the rest before it
+            turn = np.clip(place + size + reach - length, first, stop)
+            for begin, end, seed_at, seed_size in ((turn, stop, place, size + reach), (first, turn, place - (spare - reach + 1), size + spare - reach + 1)):
+                some = np.flatnonzero(end > begin)
+                base, at, n = offsets[doc[some]], seed_at[some], seed_size[some]
+                left = key[some].view(np.uint64) ^ mix(n.astype(np.uint64))
+                made = mix(left ^ rolling.of(base + at, base + at + n))
+                whole = mix(rolling.of(base + begin[some], base + end[some] + (length - 1)) ^ mix((at - begin[some]).astype(np.uint64)))
+                columns = [made, whole, ids[doc[some]], tags[doc[some]], at, begin[some], (end - begin)[some].astype(np.int32), n.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([signed(c) for c in columns], names=names)
+
+    return found.mapInArrow(run, "key long, segment long, id long, tag long, place long, first long, windows int, size int")
+
+
+def with_texts(texts: DataFrame, spans: DataFrame, *fields: str) -> DataFrame:
+    """(id, tag, text, spans): each document's spans, as a set, since rows may repeat."""
+    per_text = spans.groupBy("id", "tag").agg(F.collect_set(F.struct(*fields)).alias("spans"))
+    return texts.join(per_text, ["id", "tag"]).select("id", "tag", "text", "spans")
+
+
+def routed(texts: DataFrame, length: int, seed: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Places (key, segment, id, tag, first, windows) of all segments whose seed occurs twice, and their classes with the earliest place."""
+    found = seeds(texts, "byte", length, seed).withColumn("size", F.lit(seed))
+    places = classes = None
+    while True:
+        shared = cut(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared")
+        # written tables on both sides of a join let Spark split a seed that very many documents share
+        mine = cut(found.join(shared, "key", "left_semi"), "segments")
+        kinds = cut(mine.groupBy("key", "segment").agg(F.min(F.struct("id", "first", "tag", "windows")).alias("lead")).select("key", "segment", "lead.*"), "classes")
+        crowded = cut(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("key"), "crowded")
+        here, own = mine.join(crowded, "key", "left_anti"), kinds.join(crowded, "key", "left_anti")
+        places, classes = (here, own) if places is None else (places.unionByName(here), classes.unionByName(own))
+        if crowded.isEmpty():
+            return places, classes
+        found = deepened(with_texts(texts, mine.join(crowded, "key", "left_semi"), "key", "place", "first", "windows", "size"), length)
+
+
+def indexed(parts: DataFrame, length: int) -> DataFrame:
+    """(key, segment, id, first, bytes) -> (key, segment, offset, n, early_id, early): windows of a class that start earliest elsewhere or here.
+
+    Window `offset` and the n - 1 after it start earliest in document early_id, from place `early` on.
+    """
     import pyarrow as pa
 
-    names = ["id", "tag", "first", "until"]
+    names = ["key", "segment", "offset", "n", "early_id", "early"]
 
     def search(table: pa.Table) -> pa.RecordBatch:
+        key, segment, ids, firsts = (table.column(i).to_numpy() for i in range(4))
+        once = np.concatenate([[True], (key[1:] != key[:-1]) | (segment[1:] != segment[:-1])])  # rows that repeat bring a class again
+        if not once.all():
+            table, key, segment, ids, firsts = table.filter(pa.array(once)), key[once], segment[once], ids[once], firsts[once]
         data, offsets = text_buffer(table.column(4))
         data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
-        ids, tags, firsts = (table.column(i).to_numpy() for i in (1, 2, 3))
-        order = np.lexsort((firsts, ids))
-        rank = np.zeros(len(ids), dtype=np.int64)
-        rank[order[1:]] = np.cumsum((ids[order][1:] != ids[order][:-1]) | (firsts[order][1:] != firsts[order][:-1]))
-        string, place = RunLengthIndex(data, offsets).marked(length, rank)
-        head = np.flatnonzero(np.concatenate([[True], (string[1:] != string[:-1]) | (place[1:] != place[:-1] + 1)])) if len(string) else np.zeros(0, np.int64)
-        last = np.append(head[1:], len(string)) - 1 if len(string) else head
-        s = string[head]
-        return pa.RecordBatch.from_arrays([pa.array(ids[s]), pa.array(tags[s]), pa.array(firsts[s] + place[head]), pa.array(firsts[s] + place[last] + length)], names=names)
+        known, rank = np.unique(ids, return_inverse=True)
+        string, place, least = RunLengthIndex(data, offsets).earliest(length, (rank.astype(np.int64) << _PLACE) + firsts)
+        head = np.flatnonzero(np.concatenate([[True], (string[1:] != string[:-1]) | (least[1:] != least[:-1] + 1)]))
+        n = np.diff(np.append(head, len(string)))
+        s, early = string[head], least[head]
+        columns = [key[s], segment[s], place[head], n, known[early >> _PLACE], early & ((1 << _PLACE) - 1)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come ordered by seed; whole seeds are gathered until a collection is full."""
+        """Rows come ordered by key; whole keys are gathered until a collection is full."""
         held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
-            seed_of = batch.column(0).to_numpy()
-            ends = np.append(np.flatnonzero(seed_of[1:] != seed_of[:-1]) + 1, len(seed_of))
+            keys = batch.column(0).to_numpy()
+            ends = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys))
             _, offsets = text_buffer(batch.column(4))
             begun = 0
             for end in ends.tolist():
-                if size >= COLLECTION and held[-1].column(0)[-1].as_py() != int(seed_of[begun]):
+                if size >= COLLECTION and held[-1].column(0)[-1].as_py() != int(keys[begun]):
                     yield search(pa.Table.from_batches(held))
                     held, size = [], 0
                 held.append(batch.slice(begun, end - begun))
@@ -212,22 +249,27 @@ def indexed_repeats(parts: DataFrame, length: int) -> DataFrame:
         if held:
             yield search(pa.Table.from_batches(held))
 
-    return parts.repartition("seed").sortWithinPartitions("seed").mapInArrow(run, "id long, tag int, first long, until long")
+    ordered = parts.repartition("key").sortWithinPartitions("key", "segment")
+    return ordered.mapInArrow(run, "key long, segment long, offset long, n long, early_id long, early long")
+
+
+def repeats(texts: DataFrame, length: int = LENGTH, seed: int = SEED, most: int = MOST) -> DataFrame:
+    """(id, tag, first, until): ranges of bytes that start earlier, found by the indexes."""
+    places, classes = routed(texts, length, seed, most)
+    parts = segment_texts(with_texts(texts, classes, "key", "segment", "first", "windows"), length)
+    earliest = cut(indexed(parts, length), "indexed")
+    first = F.col("first") + F.col("offset")
+    late = F.struct("early_id", "early") < F.struct(F.col("id").alias("early_id"), first.alias("early"))
+    return places.join(earliest, ["key", "segment"]).where(late).select("id", "tag", first.alias("first"), (first + F.col("n") + (length - 1)).alias("until"))
 
 
 def suffix_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED, with_text: bool = True, hot: int = HOT
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED, with_text: bool = True, most: int = MOST
 ) -> DataFrame:
     """(id, tag, n_symbols, n_removed, n_spans, kept_sha256[, kept_text]), one row per document; symbols are bytes."""
     texts = keyed_texts(docs, id_col, text_col)
-    marked = placed(texts, "byte", length, seed, across=False)
-    contested = marked.where("contested")
-    crowded = cut(contested.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("seed"), "crowded")
-    flagged = contested.join(crowded.withColumn("hot", F.lit(True)), "seed", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    parts = cut(segment_texts(contested_texts(texts, flagged, "hot"), length), "parts")
-    hot_windows = repeated_windows(segment_windows(parts.where("hot"), length), length, across=False)
-    resolved = indexed_repeats(parts.where("not hot").drop("hot"), length).unionAll(hot_windows)
-    return without_spans(texts, cut(removed_spans(marked, resolved, length), "spans"), "byte", with_text)
+    spans = repeats(texts, length, seed, most).groupBy("id", "tag").agg(F.collect_set(F.struct("first", "until")).alias("spans"))
+    return without_spans(texts, cut(spans, "spans"), "byte", with_text)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -103,8 +103,8 @@ def test_substring_dedup(docs, corpus, empty):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 2])
-def test_suffix_dedup(docs, corpus, empty, hot):
+@pytest.mark.parametrize("most", [suffix_dedup.MOST, 1])
+def test_suffix_dedup(docs, corpus, empty, most):
     first = {}
     for r in corpus:
         b = (r[1] or "").encode()
@@ -116,7 +116,7 @@ def test_suffix_dedup(docs, corpus, empty, hot):
         gone = {j for i in range(len(b) - 99) if first[b[i : i + 100]] < (key(r), i) for j in range(i, i + 100)}
         runs = sum(j - 1 not in gone for j in gone)
         want[(key(r), len(b), len(gone), runs, sha256(bytes(x for j, x in enumerate(b) if j not in gone)).hexdigest())] += 1
-    got = suffix_dedup.suffix_dedup(docs, with_text=False, hot=hot).select("id", "n_symbols", "n_removed", "n_spans", "kept_sha256")
+    got = suffix_dedup.suffix_dedup(docs, with_text=False, most=most).select("id", "n_symbols", "n_removed", "n_spans", "kept_sha256")
     assert bag(got) == want
     assert suffix_dedup.suffix_dedup(empty, with_text=False).count() == 0
 
@@ -128,9 +128,9 @@ def test_run_length_index_orders_suffixes_and_matches():
     index = suffix_dedup.RunLengthIndex(np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)]))
     suffixes = sorted((p[i:] + b"\0", n, i) for n, p in enumerate(parts) for i in range(len(p) + 1))
     assert [(n, i) for _, n, i in suffixes] == [(int(np.searchsorted(index.starts, o, "right") - 1), int(o - index.starts[np.searchsorted(index.starts, o, "right") - 1])) for o in index.order]
-    string, place = index.marked(4, np.arange(len(parts)))
-    brute = [(n, i) for n, p in enumerate(parts) for i in range(len(p) - 3) if any((m, j) < (n, i) and q[j : j + 4] == p[i : i + 4] for m, q in enumerate(parts) for j in range(len(q) - 3))]
-    assert sorted(zip(string.tolist(), place.tolist(), strict=True)) == brute
+    string, place, least = index.earliest(4, np.arange(len(parts)) * 100)
+    brute = [(n, i, min(100 * m + j for m, q in enumerate(parts) for j in range(len(q) - 3) if q[j : j + 4] == p[i : i + 4])) for n, p in enumerate(parts) for i in range(len(p) - 3)]
+    assert sorted(zip(string.tolist(), place.tolist(), least.tolist(), strict=True)) == brute
 
 
 def test_packing(docs, corpus, empty):
