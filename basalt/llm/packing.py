@@ -2,10 +2,12 @@
 
 A document is its token ids and a closing id 0. Only documents longer than a sequence are cut: into full pieces behind a
 first piece that takes the rest, so at most one piece of a document is not full. Full pieces are sequences of their own. The
-others are dealt at random to islands of bounded size, which evolve groupings (Falkenauer, 1996): a crossover injects whole
-well-filled bins of one parent into the other, removes bins that now hold a document twice, and best-fits the
-displaced documents. After each epoch an island's elite - its well-filled bins - is final and leaves; what lies in
-worse bins migrates to new islands, mixed with that of other islands, and evolves again. The last epoch accepts all bins.
+others are dealt at random to shards of bounded size. Each shard is packed by a grouping genetic algorithm (Falkenauer, 1996) on
+several islands that evolve apart, each from its own random groupings: a crossover injects whole well-filled bins of one parent
+into the other, removes bins that now hold a document twice, and best-fits the displaced documents. Between epochs
+each island's elite - its best groupings - migrates to the next island of the shard and breeds there. The best grouping of
+all islands wins; its well-filled bins are final, and the documents of its other bins are dealt to new shards with those
+of other shards, where they are packed again. The last deal accepts all bins.
 
 Defined cases: null text is empty, and an empty document is the single id 0; repeated rows are packed each on its own; ties in
 length do not matter; null ids are packed like others; an empty table gives an empty result; other columns are not read.
@@ -25,22 +27,24 @@ from pyspark.sql import functions as F
 from basalt.llm.common import cut
 
 LENGTH, END = 2048, 0
-#: Mean pieces of an island, groupings kept on it, generations, and the share of a sequence that an elite bin fills.
-ISLAND, POPULATION, GENERATIONS, ELITE = 2000, 4, 6, 0.998
-EPOCHS = 3
+#: Mean pieces of a shard, its islands, groupings kept on an island, generations of an epoch, epochs, and elites that migrate.
+SHARD, ISLANDS, POPULATION, GENERATIONS, EPOCHS, ELITES = 2000, 3, 4, 12, 2, 2
+#: Times that pieces are dealt to shards, and the share of a sequence that a bin has to fill to be final before the last of them.
+DEALS, FULL = 3, 0.998
+
 
 class Tokens:
-    """Token ids as `tokenizers` gives them for a tokenizer file, without special tokens.
+    """Token ids as `tokenizers` gives them for a tokenizer file with add_special_tokens=False.
 
-    A byte-level BPE whose ids follow its merges is the same function in `tiktoken`, which encodes several times faster; any other
-    file, and a text that library gives up on, goes to `tokenizers` itself.
+    A byte-level BPE whose ids follow its merges is the same function in `tiktoken`, which encodes several times faster. Texts that
+    hold an added token's string, any other file, and a text that library gives up on go to `tokenizers` itself.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.fast = self._by_ranks(path)
 
     @staticmethod
@@ -63,16 +67,18 @@ class Tokens:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in set(plain)]
         byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
-        special = {t["content"] for t in spec.get("added_tokens", []) if t.get("special")}
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token not in special}
+        added = {t["content"] for t in spec.get("added_tokens", [])}
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token not in added}
         return tiktoken.Encoding("byte_level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
-        if self.fast is not None:
+        if self.fast is not None and not any(t in text for t in self.added):
             try:
                 return self.fast.encode_ordinary(text)
+            except Exception:
+                pass
             except BaseException as failed:  # a panic of the native regex is no Exception
-                if isinstance(failed, KeyboardInterrupt | SystemExit | MemoryError):
+                if type(failed).__name__ != "PanicException":
                     raise
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
@@ -144,61 +150,121 @@ def fitness(grouping: tuple, length: int) -> tuple[int, float]:
     return -len(grouping[0]), sum((x / length) ** 2 for x in grouping[1]) / max(1, len(grouping[1]))
 
 
-def evolve(sizes: list[int], length: int, seed: int, population: int = POPULATION, generations: int = GENERATIONS) -> tuple:
-    """The best grouping found: (bins of item numbers, their loads)."""
+def random_grouping(sizes: list[int], length: int, rng: np.random.Generator) -> tuple:
+    """A quarter of the items in random order, so that groupings differ; the rest by best-fit decreasing."""
+    bins: list[list[int]] = []
+    loads: list[int] = []
+    order = rng.permutation(len(sizes))
+    for x in order[: len(order) // 4].tolist():
+        fits = [b for b in range(len(bins) - 1, max(-1, len(bins) - 9), -1) if loads[b] + sizes[x] <= length]
+        if fits:
+            b = max(fits, key=loads.__getitem__)
+            bins[b].append(x)
+            loads[b] += sizes[x]
+        else:
+            bins.append([x])
+            loads.append(sizes[x])
+    best_fit(bins, loads, order[len(order) // 4 :].tolist(), sizes, length)
+    return bins, loads
+
+
+def evolve(
+    sizes: list[int], length: int, seed: int, population: int = POPULATION, generations: int = GENERATIONS, start: list[tuple] | None = None
+) -> list[tuple]:
+    """Groupings (bins of item numbers, their loads), best first, after some generations from `start` or from random ones.
+
+    Ends early where a grouping has as few bins as the sizes' sum allows.
+    """
     rng = np.random.default_rng(seed)
-    kept = []
-    for p in range(population):
+    kept = list(start or [])
+    if not kept:
         bins: list[list[int]] = []
         loads: list[int] = []
-        if p:  # part of the items in random order, so that groupings differ; the rest by best-fit decreasing
-            order = rng.permutation(len(sizes))
-            for x in order[: len(order) // 4].tolist():
-                best = [b for b in range(len(bins) - 1, max(-1, len(bins) - 9), -1) if loads[b] + sizes[x] <= length]
-                if best:
-                    b = max(best, key=loads.__getitem__)
-                    bins[b].append(x)
-                    loads[b] += sizes[x]
-                else:
-                    bins.append([x])
-                    loads.append(sizes[x])
-            best_fit(bins, loads, order[len(order) // 4 :].tolist(), sizes, length)
-        else:
-            best_fit(bins, loads, range(len(sizes)), sizes, length)
-        kept.append((bins, loads))
+        best_fit(bins, loads, range(len(sizes)), sizes, length)
+        kept = [(bins, loads)]
     least = -(-sum(sizes) // length)
+    while len(kept) < population and len(kept[0][0]) > least:
+        kept.append(random_grouping(sizes, length, rng))
+    better = lambda g: fitness(g, length)
+    kept.sort(key=better, reverse=True)
     for _ in range(generations):
-        kept.sort(key=lambda g: fitness(g, length), reverse=True)
         if len(kept[0][0]) <= least:
             break
         a, b = rng.choice(len(kept), 2, replace=False)
         child = crossover(kept[a], kept[b], sizes, length, rng)
-        if fitness(child, length) > fitness(kept[-1], length):
+        if better(child) > better(kept[-1]):
             kept[-1] = child
-    return max(kept, key=lambda g: fitness(g, length))
+            kept.sort(key=better, reverse=True)
+    return kept[: max(population, 1)]
+
+
+def encoded(grouping: tuple, n: int) -> bytes:
+    """The bin of each item, as 32-bit numbers."""
+    of = np.empty(n, dtype=np.int32)
+    for b, items in enumerate(grouping[0]):
+        of[items] = b
+    return of.tobytes()
+
+
+def decoded(raw: bytes, sizes: list[int]) -> tuple:
+    of = np.frombuffer(raw, dtype=np.int32).tolist()
+    bins: list[list[int]] = [[] for _ in range(max(of, default=-1) + 1)]
+    for x, b in enumerate(of):
+        bins[b].append(x)
+    return bins, [sum(sizes[x] for x in items) for items in bins]
+
+
+def epoch(islands: DataFrame, length: int, number: int, generations: int) -> DataFrame:
+    """(shard, island, sizes, population) -> the same with evolved populations, best first."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in frames:
+            out = []
+            for shard, island, sizes, population in zip(rows["shard"], rows["island"], rows["sizes"], rows["population"], strict=True):
+                sizes = [int(x) for x in sizes]
+                start = [decoded(raw, sizes) for raw in population]
+                out.append([encoded(g, len(sizes)) for g in evolve(sizes, length, (int(shard) * 64 + int(island)) * 64 + number, generations=generations, start=start)])
+            yield rows.assign(population=out)
+
+    return islands.mapInPandas(run, "shard long, island int, sizes array<long>, population array<binary>")
+
+
+def best_groupings(items: DataFrame, length: int, generations: int) -> DataFrame:
+    """(shard, item, length) -> (shard, items, sizes, grouping): the best of all islands after epochs with elite migration."""
+    shards = items.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("length", "item")), asc=False).alias("rows"))
+    shards = cut(shards.select("shard", F.col("rows.item").alias("items"), F.col("rows.length").alias("sizes")), "shards")
+    no_grouping = F.array().cast("array<binary>")
+    islands = shards.select("shard", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "sizes", no_grouping.alias("population"))
+    for number in range(EPOCHS if generations else 1):
+        if number:
+            elites = islands.select("shard", ((F.col("island") + 1) % ISLANDS).alias("island"), F.slice("population", 1, ELITES).alias("elites"))
+            islands = islands.join(elites, ["shard", "island"]).select("shard", "island", "sizes", F.array_distinct(F.concat("elites", "population")).alias("population"))
+        islands = cut(epoch(islands, length, number, generations), "islands")
+    n_bins = F.size(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("sizes") - 1), lambda i: F.substring(F.col("population")[0], i * 4 + 1, F.lit(4)))))
+    best = islands.groupBy("shard").agg(F.min_by(F.col("population")[0], F.struct(n_bins.alias("n"), "island")).alias("grouping"))
+    return shards.join(best, "shard")
 
 
-def grouped(items: DataFrame, length: int, final: bool, round_no: int) -> DataFrame:
-    """(island, item, length) -> (item, length, bin, offset); bin and offset null for what migrates."""
+def grouped(items: DataFrame, length: int, final: bool, deal: int, generations: int) -> DataFrame:
+    """(shard, item, length) -> (item, length, bin, offset); bin -1 for what is dealt again."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "item"], ascending=False, ignore_index=True)
-        bins, loads = evolve(rows["length"].tolist(), length, int(key[0]) * EPOCHS + round_no)
-        where, offset = np.full(len(rows), -1), np.zeros(len(rows), dtype=np.int64)
-        sizes = rows["length"].to_numpy()
-        for b, (members, load) in enumerate(zip(bins, loads, strict=True)):
-            if final or load >= ELITE * length:
-                where[members] = b
-                offset[members] = np.cumsum(sizes[members]) - sizes[members]
-        names = (np.int64(key[0]) << 32) | (np.int64(round_no) << 24) | where
-        return pd.DataFrame({"item": rows["item"], "length": sizes, "bin": pd.array(np.where(where < 0, -1, names), "Int64"), "offset": offset})
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in frames:
+            for shard, item, sizes, raw in zip(rows["shard"], rows["items"], rows["sizes"], rows["grouping"], strict=True):
+                where, offset = np.full(len(item), -1), np.zeros(len(item), dtype=np.int64)
+                for b, (members, load) in enumerate(zip(*decoded(raw, list(sizes)), strict=True)):
+                    if final or load >= FULL * length:
+                        where[members] = (np.int64(shard) << 32) | (np.int64(deal) << 24) | b
+                        offset[members] = np.cumsum(sizes[members]) - sizes[members]
+                yield pd.DataFrame({"item": item, "length": sizes, "bin": where, "offset": offset})
 
-    return items.groupBy("island").applyInPandas(run, "item long, length long, bin long, offset long")
+    return best_groupings(items, length, generations).mapInPandas(run, "item long, length long, bin long, offset long")
 
 
 def pack(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, tokenizer: str | None = None, with_ids: bool = True
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, tokenizer: str | None = None, with_ids: bool = True,
+    generations: int = GENERATIONS,
+) -> DataFrame:
     """(id_col, piece, start, length, ids_crc32, sequence_id, offset[, ids]), a row for each piece."""
     if tokenizer is None:
         import public_tokenizers
@@ -207,19 +273,17 @@ def pack(
     # a written row number names a piece, whatever the ids are
     all_pieces = cut(pieces(docs, id_col, text_col, tokenizer, length, with_ids).withColumn("__item", F.monotonically_increasing_id()), "pieces")
     left = all_pieces.where(F.col("length") < length).select(F.col("__item").alias("item"), "length")
-    done = all_pieces.where(F.col("length") >= length).select(F.col("__item").alias("item"), F.col("__item").alias("bin"), F.lit(0).cast("long").alias("offset"), F.lit(EPOCHS).alias("round"))
-    for r in range(EPOCHS):
-        n = left.count()
-        islands = max(1, round(n / ISLAND))
-        dealt = left.withColumn("island", F.pmod(F.xxhash64("item", F.lit(r)), F.lit(islands)))
-        found = cut(grouped(dealt, length, r == EPOCHS - 1 or islands == 1, r), "epoch")
-        done = done.unionAll(found.where("bin >= 0").select("item", "bin", "offset", F.lit(r).alias("round")))
+    done = all_pieces.where(F.col("length") >= length).select(F.col("__item").alias("item"), (-1 - F.col("__item")).alias("bin"), F.lit(0).cast("long").alias("offset"))
+    for deal in range(DEALS):
+        shards = max(1, round(left.count() / SHARD))
+        dealt = left.withColumn("shard", F.pmod(F.xxhash64("item", F.lit(deal)), F.lit(shards)).cast("long"))
+        found = cut(grouped(dealt, length, deal == DEALS - 1 or shards == 1, deal, generations), "deal")
+        done = done.unionAll(found.where("bin >= 0").select("item", "bin", "offset"))
         left = found.where("bin < 0").select("item", "length")
-        if islands == 1:
+        if shards == 1:
             break
-    # rounds and islands have their own ranges of numbers; full pieces take negative ones
-    sequence = F.when(F.col("round") == EPOCHS, -1 - F.col("bin")).otherwise(F.col("bin"))
-    placed = done.select(F.col("item").alias("__item"), sequence.alias("sequence_id"), "offset")
+    # deals and shards have their own ranges of numbers; full pieces take negative ones
+    placed = done.select(F.col("item").alias("__item"), F.col("bin").alias("sequence_id"), "offset")
     return all_pieces.join(placed, "__item").drop("__item").select(id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * with_ids)
 
 
