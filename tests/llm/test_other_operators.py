@@ -77,6 +77,23 @@ def test_embedding_dedup(spark, tile):
     assert embedding_dedup.embedding_dedup(vectors.limit(0)).count() == 0
 
 
+def test_embeddings_of_extreme_size_and_at_the_threshold(spark):
+    rng = np.random.default_rng(4)
+    rows = [(0, [1e-200, 2e-200]), (1, [2e-200, 4e-200]), (2, [1e200, 2e200]), (3, [1.0, 2.0]), (4, [5e-324, 1e-323]), (5, [2.0, -1.0]), (6, [1.7e308, 1.7e308])]
+    for i in range(200):  # pairs whose cosine is 0.98 up to rounding
+        a, b = rng.normal(size=(2, 16))
+        a /= np.linalg.norm(a)
+        b -= (a @ b) * a
+        rows += [(10 + 2 * i, a.tolist()), (11 + 2 * i, ((0.98 * a + np.sqrt(1 - 0.98**2) * b / np.linalg.norm(b)) * rng.uniform(0.5, 3)).tolist())]
+    vectors = spark.createDataFrame([(i, v, i // 2 if i > 9 else -1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_dedup(vectors).collect()}
+    assert [got[i] for i in range(7)] == [(4, 0)] * 5 + [(0, 5), (0, 6)]
+    held = dict(rows)
+    for i in range(10, 410, 2):
+        x, y = np.array(held[i]), np.array(held[i + 1])
+        assert got[i][0] == (np.einsum("i,i", x, y) / (np.sqrt(np.einsum("i,i", x, x)) * np.sqrt(np.einsum("i,i", y, y))) >= 0.98)
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_sql_forms(spark, name):
     con = duckdb.connect()
