@@ -6,6 +6,7 @@ very many links is only ever min-aggregated or joined, which Spark pre-aggregate
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +41,19 @@ def components(links: DataFrame) -> DataFrame:
                 after.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct()
             )
         edges = after
+
+
+def smallest_reachable(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For vertices 0 .. n - 1 and links (i, j), the smallest vertex of each component."""
+    root = np.arange(n)
+    while True:
+        least = np.minimum(root[i], root[j])
+        after = root.copy()
+        np.minimum.at(after, i, least)
+        np.minimum.at(after, j, least)
+        np.minimum.at(after, root[i], least)
+        np.minimum.at(after, root[j], least)
+        after = after[after]
+        if (after == root).all():
+            return root
+        root = after

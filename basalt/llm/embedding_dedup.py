@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basalt.llm.common import NO_ID, cut, real_id
-from basalt.llm.components import components
+from basalt.llm.components import components, smallest_reachable
 
 THRESHOLD, TILE, PCA_SAMPLE = 0.98, 512, 4096
 #: Vector sizes that get a rotation, leading coordinates that bound a tile, and tiles of a band.
@@ -73,22 +73,6 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: float, same: bool) -> tuple[
     return rows, columns
 
 
-def smallest_reachable(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For vertices 0 .. n - 1 and links (i, j), the smallest vertex of each component."""
-    root = np.arange(n)
-    while True:
-        least = np.minimum(root[i], root[j])
-        after = root.copy()
-        np.minimum.at(after, i, least)
-        np.minimum.at(after, j, least)
-        np.minimum.at(after, root[i], least)
-        np.minimum.at(after, root[j], least)
-        after = after[after]
-        if (after == root).all():
-            return root
-        root = after
-
-
 def scaled(vectors: np.ndarray) -> np.ndarray:
     """Rows times powers of two that bring their largest component near 1: cosines stay as they are, products neither vanish nor overflow."""
     return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])

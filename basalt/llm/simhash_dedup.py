@@ -5,9 +5,10 @@
 3. A fingerprint is cut into `m` blocks. Two fingerprints within `radius` bits agree on at least m - radius whole blocks,
    so every choice of m - radius blocks names shards in which all links are found. m grows with the number of fingerprints
    so that a shard's expected size stays bounded; every m finds every link.
-4. A shard's fingerprints are cut into trees of at most TREE members. Each tree is a BK-tree (children keyed by integer
-   Hamming distance to the parent); a fingerprint of the shard searches its own tree and those after it, following only edges
-   within the radius. Trees travel to their queries by shuffle: a broadcast of all trees would grow with the corpus.
+4. A shard's fingerprints become BK-trees (children keyed by integer Hamming distance to the parent) of at most TREE members, built
+   once and written. The members of a tree search it and the earlier ones of their shard, following only edges within
+   the radius. Trees are broadcast to their queries while the written trees are at most BROADCAST bytes; a larger corpus joins
+   both by shard instead, since a broadcast would grow with it. Both ways compare the same.
 5. Links between fingerprints feed distributed connected components.
 
 Defined cases: null text is the empty text; texts without words have fingerprint zero and link like any other; repeated rows
@@ -25,11 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basalt.llm.common import NO_ID, cut, keyed_texts, real_id, tag_of
-from basalt.llm.components import components
+from basalt.llm.components import components, smallest_reachable
 
-TREE = 256
+#: Members of a tree, and bytes of trees (26 a member) up to which they are broadcast.
+TREE, BROADCAST = 4096, 32 << 20
 #: Mean shard size above which fingerprints are cut into more blocks.
-SHARD = 64
+SHARD = 1024
 
 
 def fingerprint(text: str, shingle: int, xxh64=None) -> int:
@@ -53,36 +55,54 @@ def fingerprint(text: str, shingle: int, xxh64=None) -> int:
 
 
 class BKTree:
-    """Distinct 64-bit integers under Hamming distance; each node is [value, {distance: node}]."""
-
-    def __init__(self):
-        self.root: list | None = None
-
-    def add(self, value: int) -> None:
-        if self.root is None:
-            self.root = [value, {}]
-            return
-        node = self.root
-        while True:
-            d = (node[0] ^ value).bit_count()
-            if d == 0:
-                return
-            if (child := node[1].get(d)) is None:
-                node[1][d] = [value, {}]
-                return
-            node = child
-
-    def within(self, value: int, radius: int) -> list[int]:
-        found, stack = [], [self.root] if self.root else []
-        while stack:
-            at, children = stack.pop()
-            d = (at ^ value).bit_count()
-            if d <= radius:
-                found.append(at)
-            if children:
-                lo, hi = d - radius, d + radius
-                stack += [c for k, c in children.items() if lo <= k <= hi]
-        return found
+    """Distinct 64-bit integers under Hamming distance: a node's children are keyed by their distance to it.
+
+    Nodes are numbered level by level, so that a node's children are neighbours: those of node i are begin[i] .. begin[i] + many[i] - 1,
+    and edge[j] is the distance of node j to its parent.
+    """
+
+    def __init__(self, values: np.ndarray):
+        n = len(values)
+        self.value, self.edge, self.begin, self.many = values.copy(), np.zeros(n, np.int16), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        made, rest, at = 1, values[1:], np.zeros(max(0, n - 1), np.int64)
+        while len(rest):
+            key = at * 65 + np.bitwise_count(rest ^ self.value[at])
+            order = np.argsort(key, kind="stable")
+            rest, key = rest[order], key[order]
+            head = np.concatenate([[True], key[1:] != key[:-1]])  # the first at each distance becomes a child, the others go on from it
+            child = made + np.cumsum(head) - 1
+            new = slice(made, made + int(head.sum()))
+            self.value[new], self.edge[new] = rest[head], key[head] % 65
+            parent, first, many = np.unique(key[head] // 65, return_index=True, return_counts=True)
+            self.begin[parent], self.many[parent] = made + first, many
+            made, rest, at = new.stop, rest[~head], child[~head]
+
+    def within(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query number, value) of all values at most radius bits from a query; only edges within the radius are followed."""
+        numbers, values = [np.zeros(0, np.int64)], [self.value[:0]]
+        for i in range(0, len(queries), 256):
+            query, node = np.arange(i, min(i + 256, len(queries))), np.zeros(min(256, len(queries) - i), np.int64)
+            while len(query):
+                d = np.bitwise_count(queries[query] ^ self.value[node]).astype(np.int64)
+                hit = d <= radius
+                numbers.append(query[hit])
+                values.append(self.value[node[hit]])
+                many = self.many[node]
+                step = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+                query, d, node = np.repeat(query, many), np.repeat(d, many), np.repeat(self.begin[node], many) + step
+                near = np.abs(self.edge[node] - d) <= radius
+                query, node = query[near], node[near]
+        return np.concatenate(numbers), np.concatenate(values)
+
+    def packed(self) -> bytes:
+        return b"".join(x.tobytes() for x in (self.value, self.edge, self.begin, self.many))
+
+    @classmethod
+    def unpacked(cls, raw: bytes) -> BKTree:
+        tree, n = cls.__new__(cls), len(raw) // 26
+        tree.value, tree.edge = np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.int16, n, 8 * n)
+        tree.begin, tree.many = np.frombuffer(raw, np.int64, n, 10 * n), np.frombuffer(raw, np.int64, n, 18 * n)
+        return tree
 
 
 def blocks_for(n: int, radius: int) -> int:
@@ -113,70 +133,71 @@ def with_fingerprints(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInArrow(run, "id long, tag long, fp long")
 
 
-def fingerprint_links(distinct: DataFrame, radius: int) -> DataFrame:
-    """Distinct (fp) -> links (u, v) between fingerprints at most `radius` bits apart that join all that such links join."""
+def shard_trees(distinct: DataFrame, radius: int, most: int) -> DataFrame:
+    """Distinct (fp) -> (mask, part, number, tree): the trees of each shard, built once; a shard of over `most` members has several."""
     import pyarrow as pa
 
     masks = shard_masks(blocks_for(distinct.count(), radius), radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    sharded = distinct.select(
-        "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("mask", "part")
-    ).select("fp", "mask", "part")
-    # shards larger than a tree: members go to trees by hash; a pair of trees (a <= b) is one unit of work, dealt by its own key
+    sharded = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("mask", "part"))
     sizes = sharded.groupBy("mask", "part").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    sized = sharded.join(sizes, ["mask", "part"]).withColumn("trees", F.ceil(F.col("size") / TREE).cast("int"))
-    tree = F.pmod(F.xxhash64("fp"), F.col("trees")).cast("int")
-    dealt = (
-        sized.withColumn("own", tree)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("trees") - 1)))
-        .select("mask", "part", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "fp")
-    )
+    sized = cut(sharded, "sharded").join(cut(sizes, "sizes"), ["mask", "part"])
+    keys = ["mask", "part", "number"]
+    dealt = sized.withColumn("number", F.pmod(F.xxhash64("fp"), F.ceil(F.col("size") / most)).cast("int")).select(*keys, "fp")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come grouped by keys."""
+        last, held = None, []
+
+        def out(made: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*[(*key, BKTree(np.concatenate(parts)).packed()) for key, parts in made], strict=True)) or [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=[*keys, "tree"])
+
+        for batch in batches:
+            mask, part, number, fp = (batch.column(i).to_numpy() for i in range(4))
+            head = np.flatnonzero(np.concatenate([[True], (mask[1:] != mask[:-1]) | (part[1:] != part[:-1]) | (number[1:] != number[:-1])]))
+            made = []
+            for a, b in zip(head.tolist(), [*head[1:].tolist(), len(fp)], strict=True):
+                key = (int(mask[a]), int(part[a]), int(number[a]))
+                if key != last and held:
+                    made.append((last, held))
+                    held = []
+                last = key
+                held.append(fp[a:b].view(np.uint64))
+            yield out(made)
+        if held:
+            yield out([(last, held)])
+
+    return cut(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(build, "mask int, part long, number int, tree binary"), "trees")
+
+
+def fingerprint_links(distinct: DataFrame, radius: int, most: int = TREE) -> DataFrame:
+    """Distinct (fp) -> links (u, v) between fingerprints at most `radius` bits apart that join all that such links join."""
+    import pyarrow as pa
+
+    trees = shard_trees(distinct, radius, most)
+    # the members of a tree search it and the earlier trees of their shard
+    queries = trees.select("mask", "part", F.col("number").alias("own"), F.expr("substring(tree, 1, int(length(tree) * 8 / 26))").alias("members"))
+    size = trees.agg(F.coalesce(F.sum(F.length("tree")), F.lit(0))).first()[0]
+    sent = F.broadcast(trees) if size <= BROADCAST else trees.hint("merge")
+    units = queries.join(sent, ["mask", "part"]).where("number <= own").select(F.expr("number = own").alias("same"), "members", "tree")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come grouped by (mask, part, a, b), tree a first: build it, then let the group's members search it."""
-
-        def links_of(group: list[tuple[int, int]], a: int, b: int) -> list[tuple[int, int]]:
-            """A spanning forest of the links found, so that a dense group gives no more rows than it has members."""
-            root: dict[int, int] = {}
-
-            def find(x: int) -> int:
-                while (up := root.get(x, x)) != x:
-                    root[x] = root.get(up, up)
-                    x = up
-                return x
-
-            tree, out = BKTree(), []
-            for own, fp in group:
-                if own != a or a == b:
-                    for x in tree.within(fp, radius):
-                        if (r := find(x)) != (t := find(fp)):
-                            root[r] = t
-                            out.append((x, fp))
-                if own == a:
-                    tree.add(fp)
-            return out
-
-        last, group = None, []
         for batch in batches:
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
-            own, fps = batch.column(4).to_pylist(), batch.column(5).to_numpy().view(np.uint64).tolist()
-            found: list[tuple[int, int]] = []
-            for key, o, fp in zip(keys, own, fps, strict=True):
-                if key != last:
-                    if len(group) > 1:
-                        found += links_of(group, *last[2:])
-                    last, group = key, []
-                group.append((o, fp))
-            yield pair_batch(found)
-        if len(group) > 1:
-            yield pair_batch(links_of(group, *last[2:]))
-
-    def pair_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
-        pairs = np.array(found, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
-
-    keys = ["mask", "part", "a", "b"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys, "own").mapInArrow(search, "u long, v long")
+            found = [np.zeros((0, 2), np.int64)]
+            for same, members, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                own = np.frombuffer(members, np.uint64)
+                query, value = BKTree.unpacked(raw).within(own, radius)
+                if same:
+                    query, value = query[value < own[query]], value[value < own[query]]
+                if len(query):  # each member with the smallest that it reaches here: a dense group gives no more rows than members
+                    every, at = np.unique(np.concatenate([own[query], value]), return_inverse=True)
+                    root = smallest_reachable(len(every), at[: len(query)], at[len(query) :])
+                    found.append(np.stack([every, every[root]], axis=1).view(np.int64)[root != np.arange(len(every))])
+            pairs = np.concatenate(found)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+    return units.mapInArrow(search, "u long, v long")
 
 
 def simhash_components(

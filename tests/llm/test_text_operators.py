@@ -77,11 +77,31 @@ def test_shards_find_every_link_whatever_their_number():
         for flips in ((0, 13, 26, 39), (1, 2, 3, 4), (12, 25, 38, 63), (9, 18, 27, 36)):
             change = sum(1 << f for f in flips)
             assert any(change & mask == 0 for mask in masks)
-    tree = simhash_dedup.BKTree()
-    values = [xxhash.xxh64_intdigest(str(i)) & 0xFFFFF for i in range(400)]
-    for v in values:
-        tree.add(v)
-    assert set(tree.within(values[7], 4)) == {v for v in values if (v ^ values[7]).bit_count() <= 4}
+
+
+@pytest.mark.parametrize("bits", [20, 64])
+def test_trees_find_all_within_the_radius(bits):
+    import numpy as np
+
+    values = np.unique(np.array([xxhash.xxh64_intdigest(str(i)) >> (64 - bits) for i in range(900)], np.uint64))
+    np.random.default_rng(0).shuffle(values)
+    tree = simhash_dedup.BKTree.unpacked(simhash_dedup.BKTree(values).packed())
+    assert sorted(tree.value.tolist()) == sorted(values.tolist())
+    query, found = tree.within(values[:300], 4)
+    want = [(i, v) for i in range(300) for v in values.tolist() if (v ^ int(values[i])).bit_count() <= 4]
+    assert sorted(zip(query.tolist(), found.tolist(), strict=True)) == sorted(want)
+
+
+@pytest.mark.parametrize("limit", [0, simhash_dedup.BROADCAST])
+def test_links_do_not_depend_on_the_size_of_trees_or_their_transport(spark, limit, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "BROADCAST", limit)
+    base = [xxhash.xxh64_intdigest(str(i)) for i in range(6)]
+    values = sorted({base[i % 6] ^ (1 << i % 61) ^ (1 << (7 * i) % 64) for i in range(150)})
+    frame = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
+    links = simhash_dedup.fingerprint_links(frame, 4, most=8).collect()
+    group = components(values, lambda a, b: (a ^ b).bit_count() <= 4)
+    joined = components(values, lambda a, b: (a, b) in pairs or (b, a) in pairs) if (pairs := {(r.u % (1 << 64), r.v % (1 << 64)) for r in links}) else None
+    assert len(set(zip(group, joined, strict=True))) == len(set(group)) == len(set(joined)) and all((a ^ b).bit_count() <= 8 * 4 for a, b in pairs)
 
 
 def test_substring_dedup(docs, corpus, empty):
