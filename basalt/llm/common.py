@@ -62,8 +62,8 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
-def chunks(offsets: np.ndarray, most: int = 1 << 20):
-    """Ranges (i, j) of whole documents of about `most` bytes; a longer document stands alone."""
+def chunks(offsets: np.ndarray, most: int = 1 << 18):
+    """Ranges (i, j) of whole documents of about `most` bytes, whose arrays fit a processor's cache; a longer document stands alone."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
@@ -94,9 +94,9 @@ BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * _GOLDEN)
 
 def _reduced(x: np.ndarray) -> np.ndarray:
     """x below 2**62 modulo the prime."""
-    x = (x & _PRIME) + (x >> np.uint64(31))
-    x -= _PRIME * (x >= _PRIME)
-    return x
+    y = x >> np.uint64(31)
+    y += x & _PRIME
+    return np.minimum(y, y - _PRIME, out=y)  # y - prime wraps around where y is the smaller
 
 
 def powers(n: int) -> list[np.ndarray]:
@@ -167,13 +167,28 @@ def words_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, bounds)
 
 
-def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two masks: keys that occur twice or more, and occurrences after the first in array order."""
+def same_bytes(data: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> bool:
+    """Whether all ranges [a, a_end) of data equal the ranges [b, b_end), byte by byte."""
+    n = a_end - a
+    if (n != b_end - b).any():
+        return False
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return bool((data[np.repeat(a, n) + step] == data[np.repeat(b, n) + step]).all())
+
+
+def repeated(keys: np.ndarray, equal=None, exact=None) -> tuple[np.ndarray, np.ndarray]:
+    """Two masks: keys that occur twice or more, and occurrences after the first in array order.
+
+    Where keys are hashes, equal(i, j) tells whether all items i are those of j, and exact() gives keys that are no hashes; they are
+    used if two unlike items have one hash.
+    """
     n = len(keys)
     again, later = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
     if n > 1:
         order = np.argsort(keys, kind="stable")
         same = keys[order][1:] == keys[order][:-1]
+        if equal is not None and same.any() and not equal(order[:-1][same], order[1:][same]):
+            return repeated(exact())
         later[order[1:]] = same
         again[order[1:]] = same
         again[order[:-1]] |= same

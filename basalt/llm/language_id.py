@@ -5,8 +5,9 @@ it is there often enough and not far rarer than in its strongest language. Belon
 slots hold a bit per language, so that the conjunction of an n-gram's slots returns all its languages at once. A text's
 n-grams give a popcount per language, which is corrected for that language's false-positive rate; the largest decides.
 
-The fit reads a bounded sample (SAMPLE documents expected per language, LANGUAGES languages, GRAMS n-grams per language);
-prediction reads every text whole and needs no shuffle.
+The fit reads a bounded sample (SAMPLE documents expected per language) of every language that occurs, and keeps at most GRAMS
+n-grams of each, those in most of its documents; the model grows with the number of languages alone. Prediction reads every
+text whole and needs no shuffle.
 
 Defined cases: a null text and one without letters are `und` with score 0; a text with no known n-gram gets the commonest
 language with score 0; ties go to the language that sorts first; rows with null language or id are predicted but not
@@ -23,9 +24,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basalt.llm.common import mix
+from basalt.llm.common import cut, mix
 
-SAMPLE, LANGUAGES, GRAMS, LEAST_DOCS, RELATIVE = 1500, 256, 20_000, 3, 0.25
+SAMPLE, GRAMS, RELATIVE = 1500, 20_000, 0.25
+#: An n-gram has to be in so many sample documents of a language: one, and one more for each of these numbers of documents that it has.
+LEAST_AT = (30, 100)
+#: Documents by which a language's sample is taken to be larger, so that few documents make no n-gram look certain.
+SHRINK = 5
 SIZES, SLOTS_PER_GRAM, HASHES = (3, 4), 16, 3
 _tables: dict[str, np.ndarray] = {}
 
@@ -131,17 +136,17 @@ class Model:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     import pyarrow as pa
 
+    spark = docs.sparkSession
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
-    counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    totals = cut(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    counted = totals.orderBy(F.desc("n"), "lang").collect()  # a row per language
     if not counted:
         return None
-    n_docs = {r["lang"]: r["n"] for r in counted}
-    languages = sorted(n_docs)
-    share = F.lit(0)
-    for name, n in n_docs.items():
-        share = F.when(F.col("lang") == name, int(min(1.0, SAMPLE / n) * (1 << 30))).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64("id", F.lit(6)), F.lit(1 << 30)) < share)
+    languages = sorted(r["lang"] for r in counted)
+    share = totals.select("lang", (F.least(F.lit(1.0), SAMPLE / F.col("n")) * (1 << 30)).cast("long").alias("share"))
+    draw = F.pmod(F.xxhash64("id", F.lit(6)), F.lit(1 << 30))
+    sample = rows.join(F.broadcast(share), "lang").where(draw < F.col("share"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {x: i for i, x in enumerate(languages)}
@@ -157,11 +162,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     [pa.array(lang[first].astype(np.int32)), pa.array(grams[first].view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "docs"]
                 )
 
-    found = sample.select("text", "lang").mapInArrow(count, "lang int, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs")).where(f"docs >= {LEAST_DOCS}")
-    share_of = F.create_map(*[F.lit(x) for i, l in enumerate(languages) for x in (i, float(min(n_docs[l], SAMPLE)))])
-    rated = found.withColumn("rate", F.col("docs") / share_of[F.col("lang")])
-    rated = rated.withColumn("top", F.max("rate").over(Window.partitionBy("gram"))).where(F.col("rate") >= F.col("top") * RELATIVE)
-    best = rated.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("docs"), "gram"))).where(F.col("place") <= GRAMS)
+    found = sample.select("text", "lang").mapInArrow(count, "lang int, gram long, docs long").groupBy("lang", "gram").agg(F.sum("docs").alias("docs"))
+    sizes = spark.createDataFrame([(languages.index(r["lang"]), float(min(r["n"], SAMPLE))) for r in counted], "lang int, size double")
+    least = sum((F.when(F.col("size") >= n, 1).otherwise(0) for n in LEAST_AT), F.lit(1))
+    rated = found.join(F.broadcast(sizes), "lang").where(F.col("docs") >= least).withColumn("rate", F.col("docs") / (F.col("size") + SHRINK))
+    rated = cut(rated.withColumn("top", F.max("rate").over(Window.partitionBy("gram"))).where(F.col("rate") >= F.col("top") * RELATIVE).select("lang", "gram", "docs"), "rated")
+    # the number of documents that leaves at most GRAMS: a window over a language's few such numbers, not over its n-grams
+    at_most = rated.groupBy("lang", "docs").agg(F.count(F.lit(1)).alias("n")).withColumn("above", F.sum("n").over(Window.partitionBy("lang").orderBy(F.desc("docs"))))
+    bound = at_most.where(F.col("above") <= GRAMS).groupBy("lang").agg(F.min("docs").alias("bound"))
+    best = rated.join(F.broadcast(bound), "lang").where("docs >= bound")
     table = best.select("lang", "gram").toArrow()
     common = languages.index(counted[0]["lang"])
     return Model.build(languages, common, table.column("gram").to_numpy().view(np.uint64), table.column("lang").to_numpy().astype(np.int64))
@@ -175,7 +184,7 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = docs.select(docs[id_col], held_out(docs[id_col]).alias("held_out"), docs[text_col].cast("string").alias("text"))
     if model is None:
         return own.select(id_col, "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    shared = own.sparkSession.sparkContext.broadcast(model)  # bounded: LANGUAGES x GRAMS n-grams
+    shared = own.sparkSession.sparkContext.broadcast(model)  # at most GRAMS n-grams a language
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

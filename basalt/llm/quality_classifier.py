@@ -5,14 +5,15 @@ standardised text statistics minimises the non-negative unbiased risk (Kiryo et
 
     prior * E_pos[loss(+)] + max(0, E_unl[loss(-)] - prior * E_pos[loss(-)])
 
-with the class prior estimated as the share of good rows among the labels. Where the second term turns negative, a step
-raises it again instead of fitting noise.
+Where the second term turns negative, a step raises it again instead of fitting noise. The class prior is estimated from the same
+two samples by best bins (Garg et al., 2021): a logistic model tells positives from unlabelled text on one half, and on the other
+half the least ratio of unlabelled to positive rows above any score bounds the share of positives. No bad label is read.
 
 The fit reads a bounded sample (POSITIVES and UNLABELLED documents expected); scoring reads every text whole, without a shuffle.
 
 Defined cases: null text is empty, and an empty text is scored like any other, from zero counts; a document with conflicting
-labels is no positive; rows with a null id are scored but not learned from; without any positive or unlabelled row all scores
-are the prior (0.5 without labels); repeated rows score alike; an empty table gives an empty result; other columns are not read.
+labels is no positive; rows with a null id are scored but not learned from; of an id that repeats the least text is learned from;
+without any positive or unlabelled row all scores are 0.5; repeated rows score alike; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -84,24 +85,51 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, rate: float = RATE) -> Model:
+def risk_gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float, contrast: bool = False) -> np.ndarray:
+    """The step's direction: the risk's gradient, or, where its second term is negative, that of the term alone turned round.
+
+    contrast: the plain logistic risk of positives against unlabelled rows, each weighing half.
+    """
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    zp, zu = p @ w, u @ w
+    up, down_u = -(p.T @ sigmoid(-zp)) / len(p), u.T @ sigmoid(zu) / len(u)
+    if contrast:
+        return (up + down_u) / 2
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    down = down_u - prior * (p.T @ sigmoid(zp)) / len(p)
+    return prior * up + down if negative >= 0 else -down
+
+
+def fit_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, rate: float = RATE, contrast: bool = False) -> Model:
     """Non-negative unbiased risk with logistic loss, by Adam on the whole sample."""
     mean, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-3
     p, u = (np.hstack([np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))]) for x in (positive, unlabelled))
     w, m, v = np.zeros(p.shape[1]), np.zeros(p.shape[1]), np.zeros(p.shape[1])
     w[-1] = np.log(prior / (1 - prior))
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, steps + 1):
-        zp, zu = p @ w, u @ w
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        down_n = u.T @ sigmoid(zu) / len(u) - prior * (p.T @ sigmoid(zp)) / len(p)
-        grad = -prior * (p.T @ sigmoid(-zp)) / len(p) + down_n if negative >= 0 else -down_n
+        grad = risk_gradient(w, p, u, prior, contrast)
         grad[:-1] += DECAY * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w = w - rate * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return Model(mean, scale, w[:-1], float(w[-1]))
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives in unlabelled rows: the least of (share of unlabelled rows above a score) / (share of positives above it).
+
+    Both shares carry a margin for their sampling error, so that thin tails do not decide.
+    """
+    if len(positive) < 8 or len(unlabelled) < 8:
+        return 0.5
+    model = fit_risk(positive[::2], unlabelled[::2], 0.5, steps=200, contrast=True)
+    p, u = np.sort(model.score(positive[1::2])), np.sort(model.score(unlabelled[1::2]))
+    cuts = np.unique(p)
+    above_p, above_u = 1 - np.searchsorted(p, cuts) / len(p), 1 - np.searchsorted(u, cuts) / len(u)
+    margin = np.sqrt(np.log(20) / (2 * len(p))) + np.sqrt(np.log(20) / (2 * len(u)))
+    best = int(np.argmin((above_u + margin) / above_p))
+    return float(min(0.98, max(0.02, above_u[best] / above_p[best])))
+
+
 def feature_rows(texts: DataFrame) -> DataFrame:
     """(kind, text) -> (kind, x)."""
     import pyarrow as pa
@@ -123,7 +151,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     n_docs = docs.count()
     if not totals["n"] or not n_docs:
         return None, 0.5
-    prior = min(0.98, max(0.02, totals["good"] / totals["n"]))
     part = lambda most, n: F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) < int(min(1.0, most / max(1, n)) * (1 << 30))
     good = taught.where((F.col("low") == 1) & (F.col("high") == 1) & part(POSITIVES, totals["good"])).select("id", F.lit(1).alias("kind"))
     any_label = labels.select(labels[id_col].cast("long").alias("id")).where("id is not null").distinct()
@@ -132,13 +159,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     # the sample's ids are bounded by its two sizes, so their broadcast is as well
     chosen = F.broadcast(good.unionAll(web))
     texts = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    got = feature_rows(texts.join(chosen, "id").select("kind", "text")).toArrow()
+    # one text an id, the least one, so that what is collected is bounded even where an id repeats
+    once = texts.join(chosen, "id").groupBy("id").agg(F.min("kind").alias("kind"), F.min("text").alias("text"))
+    got = feature_rows(once.select("kind", "text")).toArrow()
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), dtype=np.float64).reshape(len(got), -1) if len(got) else np.zeros((0, 1))
     kind = got.column("kind").to_numpy()
     if not (kind == 1).any() or not (kind == 0).any():
-        return None, prior
+        return None, 0.5
     order = np.lexsort(x.T)  # sums do not depend on the order in which rows arrive
     x, kind = x[order], kind[order]
+    prior = estimated_prior(x[kind == 1], x[kind == 0])
     return fit_risk(x[kind == 1], x[kind == 0], prior), prior
 
 

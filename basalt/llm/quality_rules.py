@@ -1,7 +1,8 @@
 """Quality rules by repetition coverage.
 
 Rolling hashes of several n-gram lengths measure which characters of a text lie inside n-grams of words or lines that the
-text repeats. Each length has its own limit: long n-grams rarely repeat in prose, so less of the text may lie in them.
+text repeats; equal hashes are verified on bytes. Each length has its own limit: long n-grams rarely repeat in prose, so less
+of the text may lie in them.
 
 Defined cases: a null or blank text has no words, all counts zero, and fails the base rule; a text is judged by itself
 alone, so ties, repeated rows and other columns do not matter; texts of any length are read whole (memory is in proportion
@@ -16,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import BYTE_VALUE, Rolling, chunks, covered, mix, repeated, text_buffer, words_of
+from basalt.llm.common import BYTE_VALUE, Rolling, chunks, covered, mix, repeated, same_bytes, text_buffer, words_of
 
 #: n-gram length in words -> largest share of the word characters that repeated n-grams of that length may cover.
 COVERAGE = {5: 0.50, 8: 0.45, 12: 0.40}
@@ -57,7 +58,17 @@ def measure(data: np.ndarray, bounds: np.ndarray, coverage: dict[int, float], li
     full = hi > lo
     lo, hi, line_starts, line_ends = lo[full], hi[full], line_starts[full], line_ends[full]
     line_doc = doc[lo]
-    _, later = repeated(rolling.of(line_starts, line_ends) ^ salt[line_doc])
+
+    def numbered(items) -> np.ndarray:
+        seen: dict = {}
+        return np.array([seen.setdefault(x, len(seen)) for x in items], dtype=np.int64)
+
+    raw = memoryview(data)
+    _, later = repeated(
+        rolling.of(line_starts, line_ends) ^ salt[line_doc],
+        lambda i, j: bool((line_doc[i] == line_doc[j]).all()) and same_bytes(data, line_starts[i], line_ends[i], line_starts[j], line_ends[j]),
+        lambda: numbered((d, raw[a:b].tobytes()) for d, a, b in zip(line_doc.tolist(), line_starts.tolist(), line_ends.tolist(), strict=True)),
+    )
     n_dup_lines = np.bincount(line_doc[later], minlength=n_docs)
     in_line = covered(lo[later], hi[later], len(starts))
 
@@ -66,7 +77,11 @@ def measure(data: np.ndarray, bounds: np.ndarray, coverage: dict[int, float], li
     def in_grams(k: int) -> np.ndarray:
         at = np.arange(max(0, len(word) - k + 1))
         at = at[doc[at] == doc[at + k - 1]] if len(at) else at
-        again, _ = repeated(grams.of(at, at + k) ^ salt[doc[at]])
+        again, _ = repeated(
+            grams.of(at, at + k) ^ salt[doc[at]],
+            lambda i, j: bool((doc[at[i]] == doc[at[j]]).all()) and all(same_bytes(data, starts[at[i] + t], ends[at[i] + t], starts[at[j] + t], ends[at[j] + t]) for t in range(k)),
+            lambda: numbered((doc[x], *(raw[a:b].tobytes() for a, b in zip(starts[x : x + k].tolist(), ends[x : x + k].tolist(), strict=True))) for x in at.tolist()),
+        )
         return covered(at[again], at[again] + k, len(word))
 
     repeat_words = per_doc(in_grams(3))

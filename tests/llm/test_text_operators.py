@@ -34,12 +34,45 @@ def test_quality_rules(docs, corpus, empty):
 
     got = quality_rules.quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     assert bag(got) == Counter((r[0], *brute(r[1])) for r in corpus)
+
+    def verdict(text):
+        """Shares of the word characters in lines after their first and in repeated n-grams of each length."""
+        ws, inside = WORD.findall(text or ""), []
+        seen, at = set(), 0
+        for line in (text or "").split("\n"):
+            n = len(WORD.findall(line))
+            if n and line in seen:
+                inside += range(at, at + n)
+            seen.add(line)
+            at += n
+        total = max(1, sum(map(len, ws)))
+        line_share, shares = sum(len(ws[i]) for i in inside) / total, {}
+        for k in quality_rules.COVERAGE:
+            grams = Counter(tuple(ws[i : i + k]) for i in range(len(ws) - k + 1))
+            hit = {j for i in range(len(ws) - k + 1) if grams[tuple(ws[i : i + k])] > 1 for j in range(i, i + k)}
+            shares[k] = sum(len(ws[i]) for i in hit) / total
+        kept = not brute(text)[5] and line_share <= quality_rules.LINE_COVERAGE and all(shares[k] <= v for k, v in quality_rules.COVERAGE.items())
+        return kept, round(line_share, 9), round(max(shares.values()), 9)
+
+    some = [r[1] for r in corpus] + ["\n".join(f"v{i % 70} is line {i % 23} of them" for i in range(k)) for k in (20, 30, 45)] + [" ".join(f"t{i % 61}" for i in range(k)) for k in (70, 85, 100)]
+    judged = quality_rules.quality_rules(docs.sparkSession.createDataFrame(list(enumerate(some)), "doc_id int, text string")).collect()
+    assert {r.doc_id: (r.kept, round(r.line_coverage, 9), round(r.ngram_coverage, 9)) for r in judged} == {i: verdict(t) for i, t in enumerate(some)}
     assert quality_rules.quality_rules(docs).where("kept and base_failed").count() == 0
     kept = quality_rules.kept_documents(docs)
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
     assert quality_rules.quality_rules(empty).count() == 0
 
 
+def test_unlike_items_of_one_hash_are_told_apart():
+    import numpy as np
+
+    from basalt.llm.common import repeated
+
+    items = np.array([3, 5, 3, 7, 5])
+    got = repeated(np.zeros(5, np.uint64), lambda i, j: bool((items[i] == items[j]).all()), lambda: items)
+    assert [m.tolist() for m in got] == [[True, True, True, False, True], [False, False, True, False, True]]
+
+
 def components(items, linked):
     root = list(range(len(items)))
     find = lambda x: x if root[x] == x else find(root[x])
