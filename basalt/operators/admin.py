@@ -80,12 +80,43 @@ def covered(name: Column, patterns: list[str]) -> Column:
 
 
 def pinned(asks: DataFrame, refs: DataFrame, pins: DataFrame) -> DataFrame:
-    """asks(seq, name, sha) applied to pins(name, sha): a pin needs its ref to be there now; the last good ask of a name wins."""
+    """asks(seq, name, sha) applied to pins(name, sha): a pin needs its ref to be there now; the last good ask of a name wins.
+
+    At most MOST_PINS names are pinned: new names are taken in the order of their first good ask while there is room.
+    """
     good = asks.join(refs.select("name", F.col("target").alias("sha")).distinct(), ["name", "sha"], "left_semi")
-    every = pins.select("name", F.lit(None).cast("long").alias("seq"), "sha").unionAll(good.select("name", F.col("seq").cast("long"), "sha"))
+    held = pins.select("name", "sha").groupBy("name").agg(F.min("sha").alias("sha"))
+    fresh = good.join(held, "name", "left_anti").groupBy("name").agg(F.min("seq").alias("seq")).orderBy("seq", "name").limit(MOST_PINS)
+    room = fresh.withColumn("n", F.row_number().over(Window.orderBy("seq", "name"))).join(F.broadcast(held.agg(F.count(F.lit(1)).alias("there")))).where(F.col("n") + F.col("there") <= MOST_PINS)
+    every = held.select("name", F.lit(None).cast("long").alias("seq"), "sha").unionAll(
+        good.join(room.select("name").unionAll(held.select("name")), "name", "left_semi").select("name", F.col("seq").cast("long"), "sha")
+    )
     return every.groupBy("name").agg(F.max(F.struct("seq", "sha")).alias("p")).select("name", "p.sha")
 
 
+def unpinned(pins: DataFrame, names: DataFrame) -> DataFrame:
+    """pins without names(name)."""
+    return pins.join(names.select("name"), "name", "left_anti")
+
+
+def begun_pushes(asks: DataFrame, pushes: DataFrame, packs: DataFrame, most_packs: int, most_open: int = 64) -> DataFrame:
+    """asks(seq, push_id, principal, auth) to begin, judged against pushes(id, state, principal, auth) and packs as they are: `open` for a new push,
+    `again` for an open one of the same owner and credential, else the refusal: `busy` (packs at their cap), `forbidden`, `conflict: <state>`, or
+    `too many open pushes`. The first ask of a push counts; new pushes are admitted in their order while there is room."""
+    first = asks.groupBy("push_id").agg(F.min(F.struct("seq", "principal", "auth")).alias("ask")).select("push_id", "ask.*")
+    have = pushes.select(F.col("id").alias("push_id"), "state", F.col("principal").alias("owner"), F.col("auth").alias("held"))
+    seen = first.join(have, "push_id", "left")
+    counts = pushes.agg(F.count_if(F.col("state") == "open").alias("opened")).join(packs.agg(F.count_if(F.col("state").isin("live", "ingesting")).alias("there")))
+    # only `most_open` new pushes can be admitted: their ranks need no window over all asks
+    ranked = seen.where("state is null").orderBy("seq", "push_id").limit(most_open).select("push_id", F.row_number().over(Window.orderBy("seq", "push_id")).alias("n"))
+    own = (F.col("owner") == F.col("principal")) & F.col("held").eqNullSafe(F.col("auth"))
+    verdict = (
+        F.when((F.col("state") == "open") & own, "again").when(F.col("state") == "open", "forbidden").when(F.col("state").isNotNull(), F.concat(F.lit("conflict: "), F.col("state")))
+        .when(F.col("there") >= most_packs, "busy").when(F.col("n").isNull() | (F.col("n") + F.col("opened") > most_open), "too many open pushes").otherwise("open")
+    )
+    return seen.join(ranked, "push_id", "left").join(F.broadcast(counts)).select("push_id", verdict.alias("verdict"))
+
+
 def first_format(pushes: DataFrame) -> DataFrame:
     """pushes(repo, id, format): the first writer fixes a repository's format; later ones of another are refused."""
     fixed = pushes.groupBy("repo").agg(F.min(F.struct("id", "format")).alias("f")).select("repo", F.col("f.format").alias("fixed"))

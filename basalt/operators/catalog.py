@@ -58,8 +58,8 @@ def rejected_push_packs(packs: DataFrame, pushes: DataFrame) -> DataFrame:
 
 
 def deletable_packs(packs: DataFrame, objects: DataFrame, now: int, grace: int = 3_600_000) -> DataFrame:
-    """Dead packs past their grace that no index row names."""
-    return packs.where((F.col("state") == "dead") & (F.col("created_at") < now - grace)).join(objects.select(F.col("pack_id").alias("id")), "id", "left_anti").select("id")
+    """Packs that died longer ago than the grace and that no index row names."""
+    return packs.where((F.col("state") == "dead") & (F.col("dead_at") < now - grace)).join(objects.select(F.col("pack_id").alias("id")), "id", "left_anti").select("id")
 
 
 def retirable_entries(objects: DataFrame, packs: DataFrame, cohort: DataFrame) -> DataFrame:

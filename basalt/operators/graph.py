@@ -1,7 +1,9 @@
-"""Reachability over links(src, dst) and commit parents(sha, n, parent), by whole-level frontiers.
+"""Reachability over links(src, dst) and commit parents(sha, n, parent), in a number of rounds that grows with the logarithm of depth.
 
-Each round joins the frontier with the links, drops what was seen, and writes the new level; rounds are as many as the graph is
-deep. Levels only, never the whole set, are rewritten.
+Shallow graphs are walked level by level: each round joins the frontier with the links, drops what was seen, and writes the new
+level. What is left after PLAIN rounds is deep, and is reached by doubling: tables of the nodes at distance 1, 2, 4, .. of each node,
+each the join of the last with itself, then every distance as a sum of those. A table has as many rows as there are nodes times
+the nodes at one distance, which is the number of branches side by side, not the history's length.
 """
 
 from __future__ import annotations
@@ -14,20 +16,51 @@ from pyspark.sql import functions as F
 from basalt.functions.staging import staged
 
 
-def levels(roots: DataFrame, links: DataFrame, most: int | None = None, stop: DataFrame | None = None) -> DataFrame:
-    """(sha, depth) of everything reachable from roots(sha), depth 1 first; ids in stop(sha) are not entered."""
-    start = roots.select("sha").distinct()
-    links = staged(links.select("src", "dst"))  # read in every round: derived links would be derived in every round
+PLAIN = 24
+
+
+def jumps(links: DataFrame, nodes: int) -> list[DataFrame]:
+    """Tables (src, dst) of nodes at distance 1, 2, 4, .., up to the longest path or, where links make a cycle, the number of nodes."""
+    tables = [links]
+    while 2 ** len(tables) <= nodes:
+        last = tables[-1]
+        far = staged(last.join(last.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst")).distinct())
+        if far.isEmpty():
+            break
+        tables.append(far)
+    return tables
+
+
+def deep_levels(start: DataFrame, links: DataFrame, most: int | None, keys: list[str]) -> DataFrame:
+    """(*keys, sha, depth) of start and all beyond it, at its least depth; each distance is a sum of powers of two."""
+    nodes = links.select("src").distinct().count() + 1
+    found = start
+    for k, table in reversed(list(enumerate(jumps(links, nodes)))):
+        ahead = found.withColumnRenamed("sha", "src").join(table, "src").select(*keys, F.col("dst").alias("sha"), (F.col("depth") + 2**k).alias("depth"))
+        both = found.select(*keys, "sha", "depth").unionAll(ahead if most is None else ahead.where(F.col("depth") <= most))
+        found = staged(both.groupBy(*keys, "sha").agg(F.min("depth").alias("depth")))
+    return found
+
+
+def levels(roots: DataFrame, links: DataFrame, most: int | None = None, stop: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(*keys, sha, depth) of everything reachable from roots(*keys, sha), depth 1 first; ids in stop(sha) are not entered."""
+    keys = list(keys)
+    start, links = roots.select(*keys, "sha").distinct(), links.select("src", "dst")
     if stop is not None:
-        stop = staged(stop.select("sha"))
-        start = start.join(stop.select("sha"), "sha", "left_anti")
+        stop = staged(stop.select("sha").distinct())
+        start = start.join(stop, "sha", "left_anti").select(*keys, "sha")
+        links = links.join(stop.select(F.col("sha").alias("dst")), "dst", "left_anti").select("src", "dst")
+    links = staged(links)  # read in every round: derived links would be derived in every round
     found, depth = [staged(start.withColumn("depth", F.lit(1)))], 1
     while not found[-1].isEmpty() and (most is None or depth < most):
+        if depth >= PLAIN:
+            beyond = deep_levels(found[-1], links, most, keys)
+            every = reduce(DataFrame.unionAll, [*found[:-1], beyond.select(*found[0].columns)])
+            return every.groupBy(*keys, "sha").agg(F.min("depth").alias("depth"))
         depth += 1
-        new = found[-1].select(F.col("sha").alias("src")).join(links, "src").select(F.col("dst").alias("sha")).distinct()
-        seen = reduce(DataFrame.unionAll, [x.select("sha") for x in [*found, *([stop] if stop is not None else [])]])
-        new = new.join(seen, "sha", "left_anti")
-        found.append(staged(new.withColumn("depth", F.lit(depth))))
+        new = found[-1].withColumnRenamed("sha", "src").join(links, "src").select(*keys, F.col("dst").alias("sha")).distinct()
+        seen = reduce(DataFrame.unionAll, [x.select(*keys, "sha") for x in found])
+        found.append(staged(new.join(seen, [*keys, "sha"], "left_anti").withColumn("depth", F.lit(depth))))
         if len(found) % 8 == 0:  # few large tables in place of many small ones
             found = [staged(reduce(DataFrame.unionAll, found[:-1])), found[-1]]
     return reduce(DataFrame.unionAll, found)
@@ -41,18 +74,16 @@ def reachable(roots: DataFrame, links: DataFrame) -> DataFrame:
     return levels(roots, links).select("sha")
 
 
-def fast_forward(pairs: DataFrame, parents: DataFrame) -> DataFrame:
-    """pairs(old, new) -> is_ff: true if old is an ancestor of new or new itself; null if an unrecorded commit was met; else false."""
-    links, found = staged(parent_links(parents)), []
-    frontier = staged(pairs.select("old", "new", F.col("new").alias("sha")).distinct())
-    while not frontier.isEmpty():
-        found.append(frontier)
-        ahead = frontier.where("sha <> old").join(links, F.col("sha") == F.col("src")).select("old", "new", F.col("dst").alias("sha")).distinct()
-        frontier = staged(ahead.join(reduce(DataFrame.unionAll, found), ["old", "new", "sha"], "left_anti"))
+#: Commits that one fast-forward test may see.
+MOST_SEEN = 200_000
+
+
+def fast_forward(pairs: DataFrame, parents: DataFrame, most: int = MOST_SEEN) -> DataFrame:
+    """pairs(old, new) -> is_ff: true if old is an ancestor of new or new itself; null if an unrecorded commit was met or `most` commits were seen; else false."""
+    seen = levels(pairs.select("old", "new", F.col("new").alias("sha")), parent_links(parents), keys=("old", "new"))
     recorded = parents.where("n = -1").select("sha", F.lit(1).alias("recorded")).distinct()
-    seen = reduce(DataFrame.unionAll, found).join(recorded, "sha", "left") if found else frontier.withColumn("recorded", F.lit(1))
-    hit, gap = F.max(F.col("sha") == F.col("old")), F.max(F.col("recorded").isNull())
-    return seen.groupBy("old", "new").agg(F.when(hit, F.lit(True)).when(~gap, F.lit(False)).alias("is_ff"))
+    hit, gap = F.max(F.col("sha") == F.col("old")), F.max(F.col("recorded").isNull()) | (F.count(F.lit(1)) >= most)
+    return seen.join(recorded, "sha", "left").groupBy("old", "new").agg(F.when(hit, F.lit(True)).when(~gap, F.lit(False)).alias("is_ff"))
 
 
 def garbage(objects: DataFrame, packs: DataFrame, roots: DataFrame, links: DataFrame, before: int) -> DataFrame:
@@ -83,16 +114,18 @@ def time_cut(tips: DataFrame, parents: DataFrame, times: DataFrame, since: int)
 
 
 def generations(parents: DataFrame, commits: DataFrame) -> DataFrame:
-    """gen = 1 + largest parent gen, by peeling commits whose parents all have one."""
-    links = parent_links(parents).join(commits.select(F.col("sha").alias("dst")), "dst", "left_semi")
-    links = staged(links.join(commits.select(F.col("sha").alias("src")), "src", "left_semi").distinct())
-    done = staged(commits.join(links.select(F.col("src").alias("sha")), "sha", "left_anti").select("sha", F.lit(1).alias("gen")))
-    while True:
-        ready = links.join(done.select(F.col("sha").alias("dst"), "gen"), "dst", "left").groupBy("src").agg(F.max("gen").alias("g"), F.count_if(F.col("gen").isNull()).alias("open")).where("open = 0")
-        new = staged(ready.select(F.col("src").alias("sha"), (F.col("g") + 1).alias("gen")).join(done, "sha", "left_anti"))
-        if new.isEmpty():
-            return done
-        done = staged(done.unionAll(new))
+    """gen = 1 + largest parent gen: one more than the longest path to a commit without known parents.
+
+    The longest path's length is read off bit by bit, the highest first: a commit steps 2**k on where some node at its place has one that far away.
+    """
+    known = lambda c: commits.select(F.col("sha").alias(c))
+    links = staged(parent_links(parents).join(known("dst"), "dst", "left_semi").join(known("src"), "src", "left_semi").select("src", "dst").distinct())
+    at = staged(commits.select("sha", F.col("sha").alias("src"), F.lit(1).alias("gen")).distinct())
+    for k, table in reversed(list(enumerate(jumps(links, commits.count())))):
+        ahead = at.join(table, "src").select("sha", F.col("dst").alias("src"), (F.col("gen") + 2**k).alias("gen")).distinct()
+        ahead = staged(ahead)
+        at = staged(ahead.unionAll(at.join(ahead.select("sha").distinct(), "sha", "left_anti").select("sha", "src", "gen")))
+    return at.groupBy("sha").agg(F.max("gen").alias("gen"))
 
 
 def merge_base(a: DataFrame, b: DataFrame, parents: DataFrame) -> DataFrame:

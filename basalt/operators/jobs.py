@@ -19,25 +19,55 @@ def next_alarm(jobs: DataFrame) -> DataFrame:
 
 
 def after_failure(jobs: DataFrame, now: int) -> DataFrame:
-    """Next state and wake-up after one more failure: exponential waits, dead after eight attempts."""
-    wait = F.least(F.lit(FIRST_WAIT) * F.pow(F.lit(2), F.col("attempts")).cast("long"), F.lit(LONGEST_WAIT))
-    dead = F.col("attempts") + 1 >= DEAD_AFTER
-    return jobs.select("id", (F.col("attempts") + 1).alias("attempts"), F.when(dead, "dead").otherwise("queued").alias("state"), F.when(~dead, F.lit(now) + wait).alias("run_at"))
+    """Next state and wake-up after one more failure: exponential waits, the first a minute, dead after eight attempts."""
+    attempt = F.col("attempts") + 1
+    wait = F.least(F.lit(FIRST_WAIT) * F.pow(F.lit(2), F.least(attempt, F.lit(20))).cast("long"), F.lit(LONGEST_WAIT))
+    dead = attempt >= DEAD_AFTER
+    return jobs.select("id", attempt.alias("attempts"), F.when(dead, "dead").otherwise("queued").alias("state"), F.when(~dead, F.lit(now) + wait).alias("run_at"))
 
 
 def repaired(jobs: DataFrame, now: int) -> DataFrame:
-    """Jobs running for longer than a minute go back to the queue, or die after too many times."""
+    """Jobs running for longer than a minute go back to the queue, due now, or die if they already were stranded 64 times."""
     stranded = (F.col("state") == "running") & (F.col("started_at") < now - STRANDED_AFTER)
-    strands = F.when(stranded, F.col("strands") + 1).otherwise(F.col("strands"))
-    return jobs.select("id", F.when(stranded & (strands >= MOST_STRANDS), "dead").when(stranded, "queued").otherwise(F.col("state")).alias("state"), strands.alias("strands"))
+    again = stranded & (F.col("strands") < MOST_STRANDS)
+    state = F.when(again, "queued").when(stranded, "dead").otherwise(F.col("state"))
+    return jobs.select("id", state.alias("state"), F.when(again, F.lit(now)).otherwise(F.col("run_at")).alias("run_at"), (F.col("strands") + again.cast("int")).alias("strands"))
+
+
+def claimed(jobs: DataFrame, claims: DataFrame) -> DataFrame:
+    """claims(id, lease, at): the earliest claim of a queued job gets it and its lease; the others, and claims of other jobs, get nothing."""
+    first = claims.groupBy("id").agg(F.min(F.struct("at", "lease")).alias("first"))
+    got = jobs.where("state = 'queued'").join(first, "id")
+    return got.select("id", F.lit("running").alias("state"), F.col("first.at").alias("started_at"), F.col("first.lease").alias("lease"))
+
+
+def heartbeats(jobs: DataFrame, beats: DataFrame) -> DataFrame:
+    """beats(id, lease, at): a beat counts only under the lease that runs the job; jobs with the time they were last seen, beats that are stale."""
+    held = beats.join(jobs.where("state = 'running'").select("id", "lease", F.lit(True).alias("mine")), ["id", "lease"], "left")
+    return held.select("id", "lease", "at", F.coalesce("mine", F.lit(False)).alias("counts"))
+
+
+def landed(jobs: DataFrame, outcomes: DataFrame, now: int) -> DataFrame:
+    """outcomes(id, lease, kind, run_at) of slices: done removes the job, continue and reschedule queue it with strands cleared, error queues it with backoff
+    or kills it; only under the lease that runs the job, otherwise `stale`. Rows: id, outcome, and the job's next state (null if gone or not touched)."""
+    held = outcomes.join(jobs.where("state = 'running'").select("id", "lease", "attempts"), ["id", "lease"], "left")
+    mine, attempt = F.col("attempts").isNotNull(), F.col("attempts") + 1
+    wait = F.least(F.lit(FIRST_WAIT) * F.pow(F.lit(2), F.least(attempt, F.lit(20))).cast("long"), F.lit(LONGEST_WAIT))
+    error, dead = F.col("kind") == "error", attempt >= DEAD_AFTER
+    outcome = F.when(~mine, "stale").when(error & dead, "dead").when(error, "retry").otherwise(F.col("kind"))
+    state = F.when(~mine | (F.col("kind") == "done"), None).when(error & dead, "dead").otherwise("queued")
+    at = F.when(mine & (F.col("kind") == "continue"), F.lit(now)).when(mine & (F.col("kind") == "reschedule"), F.col("run_at")).when(mine & error & ~dead, F.lit(now) + wait)
+    return held.select("id", outcome.alias("outcome"), state.alias("state"), at.alias("run_at"))
 
 
 def one_per_kind(jobs: DataFrame) -> DataFrame:
     return jobs.where("state = 'queued'").groupBy("kind").agg(F.min("id").alias("id"))
 
 
-def quarantined(strikes: DataFrame, limit: int = 2) -> DataFrame:
-    return strikes.groupBy("id").agg(F.sum("strikes").alias("strikes")).where(F.col("strikes") >= limit)
+def quarantined(strikes: DataFrame, limit: int = 2, live: DataFrame | None = None, most: int = 256) -> DataFrame:
+    """Packs with enough strikes. The list is kept to live(id) packs and to the `most` smallest ids (the bound is the list's own)."""
+    found = strikes.groupBy("id").agg(F.sum("strikes").alias("strikes")).where(F.col("strikes") >= limit)
+    return found if live is None else found.join(live.select("id").distinct(), "id", "left_semi").orderBy("id").limit(most)
 
 
 def rate_refusals(events: DataFrame, limit: int, minute: int = 60_000) -> DataFrame:
@@ -70,10 +100,11 @@ def next_stage(stages: DataFrame) -> DataFrame:
     return open_.where("s.state = 'queued'").select("run", F.col("s.seq").alias("seq"))
 
 
-def tiers(touches: DataFrame, now: int, hot: int, warm: int) -> DataFrame:
-    """touches(key, at, size): hot, warm or cold by the last touch."""
+def tiers(touches: DataFrame, now: int, hot: int, cold: int, hot_most: int, cold_least: int) -> DataFrame:
+    """touches(key, at, size) -> tier: small objects touched lately are hot, large ones not touched for long are cold, all others warm."""
     last = touches.groupBy("key").agg(F.max("at").alias("at"), F.max("size").alias("size"))
-    return last.select("key", F.when(F.col("at") >= now - hot, "hot").when(F.col("at") >= now - warm, "warm").otherwise("cold").alias("tier"))
+    is_hot, is_cold = (F.col("at") >= now - hot) & (F.col("size") <= hot_most), (F.col("at") < now - cold) & (F.col("size") >= cold_least)
+    return last.select("key", F.when(is_hot, "hot").when(is_cold, "cold").otherwise("warm").alias("tier"))
 
 
 def popular(fetches: DataFrame, since: int, k: int = 8) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basalt.functions.folds import running_total, streamed_fold
+
 #: Merge gap and span of a read; tier ladder of compaction.
 GAP, SPAN = 256 << 10, 8 << 20
 TIER_BASE, TIER_STEP, TIERS = 8, 16, 5
@@ -22,25 +24,27 @@ def merged_reads(entries: DataFrame, gap: int = GAP) -> DataFrame:
 
 
 def capped_reads(entries: DataFrame, gap: int = GAP, span: int = SPAN) -> DataFrame:
-    """merged_reads with a limit to a read's span, a greedy fold per pack; longer entries are read in fragments of the span.
-
-    A pack's entries are folded in one row; packs are files of bounded size.
-    """
+    """merged_reads with a limit to a read's span, a greedy fold per pack; longer entries are read in fragments of the span."""
     spread = F.sequence(F.lit(0).cast("long"), F.greatest(F.floor((F.col("len") - 1) / span), F.lit(0)).cast("long"))
     parts = entries.withColumn("k", F.explode(spread)).select(
         "pack_id", (F.col("offset") + F.col("k") * span).alias("lo"), F.least(F.col("offset") + (F.col("k") + 1) * span, F.col("offset") + F.col("len")).alias("hi")
     )
-    lists = parts.groupBy("pack_id").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("parts"))
-    start = F.struct(F.array().cast("array<struct<lo:bigint,hi:bigint>>").alias("done"), F.lit(None).cast("struct<lo:bigint,hi:bigint>").alias("now"))
 
-    def step(s: Column, e: Column) -> Column:
-        now, hi = s["now"], F.greatest(s["now"]["hi"], e["hi"])
-        fits = now.isNotNull() & (e["lo"] - now["hi"] < gap) & (hi - now["lo"] <= span)
-        grown = F.struct(now["lo"].alias("lo"), hi.alias("hi"))
-        return F.struct(F.when(fits | now.isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(now))).alias("done"), F.when(fits, grown).otherwise(e).alias("now"))
+    def reads():
+        now: list = []
+
+        def step(e):
+            if now and e.lo - now[2] < gap and max(now[2], e.hi) - now[1] <= span:
+                now[2] = max(now[2], e.hi)
+                return []
+            done = [tuple(now)] if now else []
+            now[:] = [e.pack_id, e.lo, e.hi]
+            return done
 
-    folded = lists.select("pack_id", F.aggregate("parts", start, step, lambda s: F.concat(s["done"], F.array(s["now"]))).alias("reads"))
-    return folded.select("pack_id", F.explode("reads").alias("r")).select("pack_id", "r.lo", "r.hi")
+        step.end = lambda: [tuple(now)] if now else []
+        return step
+
+    return streamed_fold(parts, "pack_id", ["lo", "hi"], reads, "pack_id long, lo long, hi long")
 
 
 def adaptive_reads(entries: DataFrame, gap: int = GAP, span: int = SPAN) -> DataFrame:
@@ -52,9 +56,10 @@ def adaptive_reads(entries: DataFrame, gap: int = GAP, span: int = SPAN) -> Data
 
 
 def tier_of(count: Column) -> Column:
+    """Tiers by object count: [1, 8), [8, 128), [128, 2048), [2048, 32768) and beyond."""
     tier = F.lit(TIERS - 1)
     for i in range(TIERS - 2, -1, -1):
-        tier = F.when(count <= TIER_BASE * TIER_STEP**i, i).otherwise(tier)
+        tier = F.when(count < TIER_BASE * TIER_STEP**i, i).otherwise(tier)
     return tier
 
 
@@ -88,20 +93,26 @@ def next_wake(packs: DataFrame, trigger: int = 8, min_age: int = 0) -> DataFrame
 
 
 def consolidated(objects: DataFrame, candidates: DataFrame, marked: DataFrame) -> DataFrame:
-    """Marked entries of candidate packs, one new pack per source pack group: (sha, pack_id, idx, new_offset) within its source pack."""
-    kept = objects.join(candidates.select(F.col("id").alias("pack_id")), "pack_id", "left_semi").join(marked.select("sha"), "sha", "left_semi")
+    """Marked entries of candidate packs in the order of (pack, idx), with their offset in the one new pack.
+
+    Nothing is repacked unless there are two candidates or one of them has an unmarked entry: a single full pack stays as it is.
+    """
+    mine = objects.join(candidates.select(F.col("id").alias("pack_id")), "pack_id", "left_semi").join(marked.select("sha", F.lit(1).alias("mark")).distinct(), "sha", "left")
+    worth = mine.agg(F.min("pack_id").alias("a"), F.max("pack_id").alias("b"), F.count_if(F.col("mark").isNull()).alias("unmarked")).where("a < b or unmarked > 0").select(F.lit(1).alias("go"))
+    kept = mine.where("mark is not null").join(F.broadcast(worth)).drop("go")
     before = F.sum("len").over(Window.partitionBy("pack_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1))
-    base = kept.groupBy("pack_id").agg(F.sum("len").alias("kept"))
-    bases = base.select("pack_id", F.coalesce(F.sum("kept").over(Window.orderBy("pack_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    return kept.join(bases, "pack_id").select("sha", "pack_id", "idx", (F.col("base") + F.coalesce(before, F.lit(0))).alias("new_offset"))
+    bases = running_total(kept.groupBy("pack_id").agg(F.sum("len").alias("kept")), "pack_id", "kept").select("pack_id", "before")
+    return kept.join(bases, "pack_id").select("sha", "pack_id", "idx", (F.col("before") + F.coalesce(before, F.lit(0))).alias("new_offset"))
 
 
 def swap_stats(objects: DataFrame, built: DataFrame) -> DataFrame:
-    """Per pack, whether every entry is among built(sha), and the totals of those that retire."""
+    """Per pack, whether every entry is among built(sha); the totals of those that retire and of those that stay, and how many stay with entries missing from
+    the new pack (lossy: retiring them would lose objects)."""
     has = built.select("sha").distinct().withColumn("built", F.lit(1))
     per = objects.join(has, "sha", "left").groupBy("pack_id").agg(F.count(F.lit(1)).alias("entries"), F.count("built").alias("built"), F.sum("len").alias("bytes"))
     full = F.col("entries") == F.col("built")
-    return per.agg(F.count_if(full).alias("retired"), F.count_if(~full).alias("kept"), F.coalesce(F.sum(F.when(full, F.col("bytes"))), F.lit(0)).alias("retired_bytes"))
+    return per.agg(F.count_if(full).alias("retired"), F.count_if(~full).alias("kept"), F.coalesce(F.sum(F.when(full, F.col("bytes"))), F.lit(0)).alias("retired_bytes"),
+        F.coalesce(F.sum(F.when(~full, F.col("bytes"))), F.lit(0)).alias("kept_bytes"), F.count_if(~full & (F.col("built") > 0)).alias("lossy"))
 
 
 def next_starts(entries: DataFrame) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basalt.functions.folds import running_total, streamed_fold
+
 
 def has_prefix(name: Column, prefixes: list[str]) -> Column:
     """True if name starts with any prefix; no prefixes match all."""
@@ -52,16 +56,20 @@ def ref_candidates(names: DataFrame, refs: DataFrame) -> DataFrame:
 def cas_fold(commands: DataFrame) -> DataFrame:
     """commands(seq, name, old, new) -> each with `accepted`: in order per name, accepted iff old equals the current target.
 
-    Null is absence: creation needs absence, deletion gives it. Each name is one ordered fold in native expressions.
+    Null is absence: creation needs absence, deletion gives it. A name's commands stream through one fold.
     """
-    log = commands.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("seq", "old", "new"))).alias("log"))
-    start = F.struct(F.lit(None).cast("string").alias("now"), F.array().cast("array<struct<seq:bigint,accepted:boolean>>").alias("out"))
 
-    def step(s: Column, c: Column) -> Column:
-        ok = s["now"].eqNullSafe(c["old"])
-        return F.struct(F.when(ok, c["new"]).otherwise(s["now"]).alias("now"), F.concat(s["out"], F.array(F.struct(c["seq"].alias("seq"), ok.alias("accepted")))).alias("out"))
+    def target():
+        now = [None]
+
+        def step(c):
+            ok = now[0] == c.old
+            now[0] = c.new if ok else now[0]
+            return [(c.name, c.seq, ok)]
+
+        return step
 
-    return log.select("name", F.explode(F.aggregate("log", start, step)["out"]).alias("o")).select("name", "o.seq", "o.accepted")
+    return streamed_fold(commands.select("name", "seq", "old", "new"), "name", ["seq"], target, "name string, seq long, accepted boolean")
 
 
 def refusal(
@@ -117,24 +125,31 @@ def monotonic(reflog: DataFrame) -> DataFrame:
 
 
 def hash_chain(reflog: DataFrame) -> DataFrame:
-    """Per name, entry hash = sha256(id | new | previous hash), as one ordered fold."""
-    log = reflog.groupBy("name").agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("new", F.lit("")).alias("new")))).alias("log"))
-    start = F.array().cast("array<struct<id:bigint,hash:string>>")
+    """Per name, entry hash = sha256(id | new | previous hash); a name's entries stream through one fold."""
+
+    def chain():
+        last = [""]
+
+        def step(e):
+            last[0] = sha256(f"{e.id}|{e.new or ''}|{last[0]}".encode()).hexdigest()
+            return [(e.name, e.id, last[0])]
+
+        return step
+
+    return streamed_fold(reflog.select("name", "id", "new"), "name", ["id"], chain, "name string, id long, hash string")
 
-    def step(out: Column, e: Column) -> Column:
-        last = F.coalesce(F.try_element_at(out, F.lit(-1))["hash"], F.lit(""))
-        return F.concat(out, F.array(F.struct(e["id"].alias("id"), F.sha2(F.concat_ws("|", e["id"].cast("string"), e["new"], last), 256).alias("hash"))))
 
-    return log.select("name", F.explode(F.aggregate("log", start, step)).alias("e")).select("name", "e.id", "e.hash")
+def chain_breaks(chain: DataFrame) -> DataFrame:
+    """chain(name, id, new, hash) -> entries whose hash does not follow from the one before: changed, removed or put in later."""
+    before = F.coalesce(F.lag("hash").over(Window.partitionBy("name").orderBy("id")), F.lit(""))
+    want = F.sha2(F.concat_ws("|", F.col("id").cast("string"), F.coalesce("new", F.lit("")), before), 256)
+    return chain.withColumn("want", want).where(~F.col("want").eqNullSafe(F.col("hash"))).select("name", "id")
 
 
 def version_bumps(outcomes: DataFrame) -> DataFrame:
-    """outcomes(push_id, any_ok): refs_version after each push. Sums per block first, so that no window holds every push."""
-    steps = outcomes.withColumn("block", F.floor(F.col("push_id") / 4096)).withColumn("up", F.col("any_ok").cast("long"))
-    blocks = steps.groupBy("block").agg(F.sum("up").alias("n"))
-    before = blocks.select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    inner = F.sum("up").over(Window.partitionBy("block").orderBy("push_id").rowsBetween(Window.unboundedPreceding, 0))
-    return steps.join(before, "block").select("push_id", (F.col("base") + inner).alias("refs_version"))
+    """outcomes(push_id, any_ok, went_live): refs_version after each push. It rises if a ref landed or if a pack went live without one."""
+    steps = outcomes.withColumn("up", (F.col("any_ok") | F.col("went_live")).cast("long"))
+    return running_total(steps, "push_id", "up").select("push_id", (F.col("before") + F.col("up")).alias("refs_version"))
 
 
 def last_writer(ops: DataFrame) -> DataFrame:

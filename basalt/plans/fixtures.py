@@ -20,7 +20,7 @@ VIEWS = {
           l_extendedprice, l_shipdate) - 1 AS BIGINT) AS idx FROM {lineitem}) t""",
     "g_packs": """
         SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'live' WHEN 'F' THEN 'dead' ELSE 'ingesting' END AS state, o_custkey AS push_id,
-          @ms(o_orderdate) AS created_at, coalesce(n, 0) AS count, coalesce(b, 0) AS bytes
+          @ms(o_orderdate) AS created_at, CASE WHEN o_orderstatus = 'F' THEN CASE o_orderkey % 3 WHEN 0 THEN 946684799000 WHEN 1 THEN 946681199999 ELSE @ms(o_orderdate) END END AS dead_at, coalesce(n, 0) AS count, coalesce(b, 0) AS bytes
         FROM {orders} LEFT JOIN (SELECT l_orderkey, count(*) AS n, CAST(sum(CAST(100 * l_quantity AS BIGINT)) AS BIGINT) AS b FROM {lineitem} GROUP BY l_orderkey) t
           ON o_orderkey = l_orderkey""",
     "g_commit_parents": """
@@ -47,9 +47,9 @@ VIEWS = {
         SELECT event_id AS id, event_type AS kind, @ms(ts) AS run_at, CAST(event_id % 10 AS INT) AS attempts,
           CASE event_id % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'dead' ELSE 'done' END AS state, @ms(ts) + (event_id % 120) * 1000 AS started_at,
           CAST(event_id % 66 AS INT) AS strands FROM {events}""",
-    "g_tree_a": "SELECT concat(source, '/', lang, '/', CAST(doc_id div 2 AS STRING)) AS path, sha1(text) AS oid FROM {documents} WHERE doc_id % 2 = 0 AND doc_id % 7 <> 0",
-    "g_tree_b": "SELECT concat(source, '/', lang, '/', CAST((doc_id div 2) AS STRING)) AS path, sha1(CASE WHEN doc_id % 5 = 0 THEN concat(text, 'b') ELSE text END) AS oid FROM {documents} WHERE doc_id % 2 = 0 AND doc_id % 11 <> 0",
-    "g_tree_base": "SELECT concat(source, '/', lang, '/', CAST((doc_id div 2) AS STRING)) AS path, sha1(CASE WHEN doc_id % 3 = 0 THEN concat(text, 'a') ELSE text END) AS oid FROM {documents} WHERE doc_id % 2 = 0 AND doc_id % 13 <> 0",
+    "g_tree_a": "SELECT concat(source, '/', lang, '/', CAST(doc_id AS STRING)) AS path, sha1(text) AS oid FROM {documents} WHERE doc_id % 7 <> 0",
+    "g_tree_b": "SELECT concat(source, '/', lang, '/', CAST(doc_id AS STRING)) AS path, sha1(CASE WHEN doc_id % 5 = 0 THEN concat(text, 'b') ELSE text END) AS oid FROM {documents} WHERE doc_id % 11 <> 0",
+    "g_tree_base": "SELECT concat(source, '/', lang, '/', CAST(doc_id AS STRING)) AS path, sha1(CASE WHEN doc_id % 3 = 0 THEN concat(text, 'a') ELSE text END) AS oid FROM {documents} WHERE doc_id % 13 <> 0",
     "g_deltas": """
         SELECT CAST(o_orderkey AS STRING) AS id, CASE WHEN o_orderkey % 8 = 0 THEN NULL WHEN o_orderkey % 101 = 0 THEN CAST(o_orderkey AS STRING) ELSE CAST(o_orderkey div 2 AS STRING) END AS base
         FROM {orders}""",

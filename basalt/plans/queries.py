@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.operators import catalog, content, graph, jobs, packs, refs
+from basalt.operators import admin, bitmaps, catalog, content, graph, jobs, packs, refs
 from basalt.plans.fixtures import duck, view
 
 NOW = 946_684_800_000
@@ -53,11 +53,18 @@ def _ids_of(v: Views, keys: list[int]) -> DataFrame:
 
 
 def _touches(v: Views) -> DataFrame:
-    return v.g_reflog.select(F.col("name").alias("key"), "at", F.lit(1).alias("size"))
+    return v.g_reflog.select(F.col("name").alias("key"), "at", (F.substring("name", 13, 20).cast("long") % 5 * 100).alias("size"))
 
 
 _NAMES = "(SELECT concat(CASE user_id % 6 WHEN 0 THEN 'refs/heads/' WHEN 1 THEN 'refs/tags/' WHEN 2 THEN 'heads/' WHEN 3 THEN 'refs/heads/a..' WHEN 4 THEN 'refs//' ELSE 'refs/a b' END, CAST(user_id AS STRING)) AS name FROM {events})"
 
+_CLAIMS = "(SELECT event_id AS id, sha1(concat('a', CAST(event_id AS STRING))) AS lease, event_id % 5 AS at FROM {events} UNION ALL SELECT event_id, sha1(concat('b', CAST(event_id AS STRING))), event_id % 3 FROM {events})"
+_BEATS = "(SELECT event_id AS id, sha1(CAST(event_id - event_id % 3 AS STRING)) AS lease, event_id * 10 AS at FROM {events})"
+_OUTCOMES = """(SELECT event_id AS id, sha1(CASE WHEN event_id % 5 = 0 THEN 'other' ELSE CAST(event_id AS STRING) END) AS lease, CASE event_id % 7 WHEN 0 THEN 'done' WHEN 1 THEN 'continue' WHEN 2 THEN 'reschedule' ELSE 'error' END AS kind,
+  event_id * 100 AS run_at FROM {events})"""
+_BEGIN_ASKS = "(SELECT o_orderkey AS seq, (o_orderkey * 7) % 400 AS push_id, concat('p', CAST(o_orderkey % 3 AS STRING)) AS principal, CAST(o_orderkey % 2 AS STRING) AS auth FROM {orders})"
+_BEGIN_HELD = "(SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'committed' WHEN 1 THEN 'rejected' ELSE 'open' END AS state, concat('p', CAST(c_custkey % 3 AS STRING)) AS principal, CAST(c_custkey % 2 AS STRING) AS auth FROM {customer})"
+
 QUERIES: dict[str, tuple[Callable[[Views], DataFrame], str]] = {
     "live_lookup": (
         lambda v: catalog.live_lookup(v.ids, v.g_objects, v.g_packs),
@@ -97,7 +104,7 @@ QUERIES: dict[str, tuple[Callable[[Views], DataFrame], str]] = {
     ),
     "deletable_packs": (
         lambda v: catalog.deletable_packs(v.g_packs, v.g_objects, NOW),
-        f"SELECT id FROM {{g_packs}} WHERE state = 'dead' AND created_at < {NOW} - 3600000 AND id NOT IN (SELECT pack_id FROM {{g_objects}})",
+        f"SELECT id FROM {{g_packs}} WHERE state = 'dead' AND dead_at < {NOW} - 3600000 AND id NOT IN (SELECT pack_id FROM {{g_objects}})",
     ),
     "retirable_entries": (
         lambda v: catalog.retirable_entries(v.g_objects, v.g_packs, v.cohort),
@@ -210,7 +217,7 @@ QUERIES: dict[str, tuple[Callable[[Views], DataFrame], str]] = {
     ),
     "cohort_select": (
         lambda v: packs.cohort(packs.eligible(v.g_packs, NOW), 8, 60, 150_000),
-        f"""WITH t AS (SELECT id, created_at, count, bytes, CASE WHEN count <= 8 THEN 0 WHEN count <= 128 THEN 1 WHEN count <= 2048 THEN 2 WHEN count <= 32768 THEN 3 ELSE 4 END AS tier
+        f"""WITH t AS (SELECT id, created_at, count, bytes, CASE WHEN count < 8 THEN 0 WHEN count < 128 THEN 1 WHEN count < 2048 THEN 2 WHEN count < 32768 THEN 3 ELSE 4 END AS tier
               FROM {{g_packs}} WHERE state = 'live' AND count BETWEEN 1 AND 50000 AND bytes < 67108864 AND created_at <= {NOW}),
             best AS (SELECT tier FROM t GROUP BY tier HAVING count(*) >= 8 ORDER BY count(*) DESC, tier LIMIT 1),
             r AS (SELECT t.*, row_number() OVER w AS n, sum(count) OVER w AS c, sum(bytes) OVER w AS b FROM t JOIN best USING (tier) WINDOW w AS (ORDER BY created_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
@@ -218,7 +225,7 @@ QUERIES: dict[str, tuple[Callable[[Views], DataFrame], str]] = {
     ),
     "next_wake": (
         lambda v: packs.next_wake(packs.eligible(v.g_packs, NOW), 8, 1000),
-        f"""SELECT min(created_at) + 1000 AS wake_at FROM (SELECT created_at, row_number() OVER (PARTITION BY CASE WHEN count <= 8 THEN 0 ELSE 1 END ORDER BY created_at, id) AS n
+        f"""SELECT min(created_at) + 1000 AS wake_at FROM (SELECT created_at, row_number() OVER (PARTITION BY CASE WHEN count < 8 THEN 0 WHEN count < 128 THEN 1 WHEN count < 2048 THEN 2 WHEN count < 32768 THEN 3 ELSE 4 END ORDER BY created_at, id) AS n
             FROM {{g_packs}} WHERE state = 'live' AND count BETWEEN 1 AND 50000 AND bytes < 67108864 AND created_at <= {NOW}) t WHERE n = 8""",
     ),
     "consolidate_plan": (
@@ -228,7 +235,8 @@ QUERIES: dict[str, tuple[Callable[[Views], DataFrame], str]] = {
     ),
     "retire_swap": (
         lambda v: packs.swap_stats(v.g_objects, v.g_objects.where("pack_id % 2 = 0").select("sha")),
-        """SELECT count(*) FILTER (WHERE n = b) AS retired, count(*) FILTER (WHERE n <> b) AS kept, CAST(coalesce(sum(s) FILTER (WHERE n = b), 0) AS BIGINT) AS retired_bytes FROM (SELECT pack_id, count(*) AS n,
+        """SELECT count(*) FILTER (WHERE n = b) AS retired, count(*) FILTER (WHERE n <> b) AS kept, CAST(coalesce(sum(s) FILTER (WHERE n = b), 0) AS BIGINT) AS retired_bytes,
+           CAST(coalesce(sum(s) FILTER (WHERE n <> b), 0) AS BIGINT) AS kept_bytes, count(*) FILTER (WHERE n <> b AND b > 0) AS lossy FROM (SELECT pack_id, count(*) AS n,
            count(*) FILTER (WHERE sha IN (SELECT sha FROM {g_objects} WHERE pack_id % 2 = 0)) AS b, sum(len) AS s FROM {g_objects} GROUP BY pack_id) t""",
     ),
     "next_start": (
@@ -268,9 +276,9 @@ QUERIES: dict[str, tuple[Callable[[Views], DataFrame], str]] = {
         f"WITH RECURSIVE {_CLOSURE.replace('{links}', '{g_links}')} SELECT sha FROM reach WHERE sha NOT IN (SELECT sha FROM {{g_objects}} WHERE pack_id % 2 = 0)",
     ),
     "generation_numbers": (
-        lambda v: graph.generations(v.g_commit_parents, v.sql("SELECT CAST(o_orderkey AS STRING) AS sha FROM {orders} WHERE o_orderkey < 1000")),
-        f"""WITH RECURSIVE g AS (SELECT CAST(0 AS BIGINT) AS k, 1 AS gen UNION SELECT o.o_orderkey, g.gen + 1 FROM g JOIN {{orders}} o ON o.o_orderkey < 1000 AND o.o_orderkey > 0
-            AND (o.o_orderkey div 2 = g.k OR (o.o_orderkey % 5 = 0 AND o.o_orderkey > 2 AND o.o_orderkey div 3 = g.k))) SELECT CAST(k AS STRING) AS sha, max(gen) AS gen FROM g GROUP BY k""",
+        lambda v: graph.generations(v.g_commit_parents, v.sql("SELECT CAST(o_orderkey AS STRING) AS sha FROM {orders}")),
+        """WITH RECURSIVE g AS (SELECT CAST(0 AS BIGINT) AS k, 1 AS gen UNION SELECT o.o_orderkey, g.gen + 1 FROM g JOIN (SELECT o_orderkey, o_orderkey div 2 AS p FROM {orders} WHERE o_orderkey > 0
+            UNION ALL SELECT o_orderkey, o_orderkey div 3 FROM {orders} WHERE o_orderkey % 5 = 0 AND o_orderkey > 2) o ON o.p = g.k) SELECT CAST(k AS STRING) AS sha, max(gen) AS gen FROM g GROUP BY k""",
     ),
     "merge_base": (
         lambda v: graph.merge_base(_ids_of(v, [1440]), _ids_of(v, [1296]), v.g_commit_parents),
@@ -325,8 +333,8 @@ QUERIES: dict[str, tuple[Callable[[Views], DataFrame], str]] = {
            FROM (SELECT push_id, seq, min(CAST(seq % 37 > 0 AS INT)) OVER (PARTITION BY push_id) = 1 AS ok FROM {g_commands}) t""",
     ),
     "refs_version": (
-        lambda v: refs.version_bumps(v.g_commands.groupBy("push_id").agg((F.max(F.col("seq") % 11) == 10).alias("any_ok"))),
-        """SELECT push_id, CAST(sum(CASE WHEN m = 10 THEN 1 ELSE 0 END) OVER (ORDER BY push_id) AS BIGINT) AS refs_version FROM (SELECT push_id, max(seq % 11) AS m FROM {g_commands} GROUP BY push_id) t""",
+        lambda v: refs.version_bumps(v.g_commands.groupBy("push_id").agg((F.max(F.col("seq") % 11) == 10).alias("any_ok"), (F.max("push_id") % 4 == 0).alias("went_live"))),
+        """SELECT push_id, CAST(sum(CASE WHEN m = 10 OR push_id % 4 = 0 THEN 1 ELSE 0 END) OVER (ORDER BY push_id) AS BIGINT) AS refs_version FROM (SELECT push_id, max(seq % 11) AS m FROM {g_commands} GROUP BY push_id) t""",
     ),
     "as_of_refs": (
         lambda v: refs.as_of(v.g_reflog, 1_705_000_000_000),
@@ -359,17 +367,18 @@ QUERIES: dict[str, tuple[Callable[[Views], DataFrame], str]] = {
     "job_backoff": (
         lambda v: jobs.after_failure(v.g_jobs, NOW),
         f"""SELECT id, attempts + 1 AS attempts, CASE WHEN attempts + 1 >= 8 THEN 'dead' ELSE 'queued' END AS state,
-            CASE WHEN attempts + 1 < 8 THEN {NOW} + least(30000 * CAST(pow(2, attempts) AS BIGINT), 3600000) END AS run_at FROM {{g_jobs}}""",
+            CASE WHEN attempts + 1 < 8 THEN {NOW} + least(30000 * CAST(pow(2, attempts + 1) AS BIGINT), 3600000) END AS run_at FROM {{g_jobs}}""",
     ),
     "stranded_repair": (
         lambda v: jobs.repaired(v.g_jobs, 1_705_000_000_000),
-        """SELECT id, CASE WHEN s AND strands + 1 >= 64 THEN 'dead' WHEN s THEN 'queued' ELSE state END AS state, CASE WHEN s THEN strands + 1 ELSE strands END AS strands
-           FROM (SELECT *, state = 'running' AND started_at < 1705000000000 - 60000 AS s FROM {g_jobs}) t""",
+        """SELECT id, CASE WHEN s AND strands >= 64 THEN 'dead' WHEN s THEN 'queued' ELSE state END AS state, CASE WHEN s AND strands < 64 THEN 1705000000000 ELSE run_at END AS run_at,
+           CASE WHEN s AND strands < 64 THEN strands + 1 ELSE strands END AS strands FROM (SELECT *, state = 'running' AND started_at < 1705000000000 - 60000 AS s FROM {g_jobs}) t""",
     ),
     "enqueue_dedup": (lambda v: jobs.one_per_kind(v.g_jobs), "SELECT kind, min(id) AS id FROM {g_jobs} WHERE state = 'queued' GROUP BY kind"),
     "quarantine_strikes": (
-        lambda v: jobs.quarantined(v.g_reflog.select((F.col("id") % 700).alias("id"), (F.col("id") % 3).alias("strikes"))),
-        "SELECT id % 700 AS id, CAST(sum(id % 3) AS BIGINT) AS strikes FROM {g_reflog} GROUP BY id % 700 HAVING sum(id % 3) >= 2",
+        lambda v: jobs.quarantined(v.g_reflog.select((F.col("id") % 700).alias("id"), (F.col("id") % 3).alias("strikes")), live=v.g_packs.where("state = 'live'")),
+        """SELECT id % 700 AS id, CAST(sum(id % 3) AS BIGINT) AS strikes FROM {g_reflog} WHERE id % 700 IN (SELECT id FROM {g_packs} WHERE state = 'live') GROUP BY id % 700
+           HAVING sum(id % 3) >= 2 ORDER BY id LIMIT 256""",
     ),
     "rate_window": (
         lambda v: jobs.rate_refusals(v.g_reflog.select((F.col("id") % 3).alias("bucket"), "id", "at"), 3, 3_600_000),
@@ -390,8 +399,9 @@ QUERIES: dict[str, tuple[Callable[[Views], DataFrame], str]] = {
         "SELECT conv_id AS run, min(turn) AS seq FROM {conversations} WHERE (turn + conv_id) % 3 <> 0 GROUP BY conv_id",
     ),
     "storage_tiers": (
-        lambda v: jobs.tiers(_touches(v), 1_706_000_000_000, 86_400_000, 864_000_000),
-        "SELECT name AS key, CASE WHEN max(at) >= 1706000000000 - 86400000 THEN 'hot' WHEN max(at) >= 1706000000000 - 864000000 THEN 'warm' ELSE 'cold' END AS tier FROM {g_reflog} GROUP BY name",
+        lambda v: jobs.tiers(_touches(v), 1_706_000_000_000, 86_400_000, 864_000_000, 200, 200),
+        """SELECT name AS key, CASE WHEN max(at) >= 1706000000000 - 86400000 AND s <= 200 THEN 'hot' WHEN max(at) < 1706000000000 - 864000000 AND s >= 200 THEN 'cold' ELSE 'warm' END AS tier
+           FROM (SELECT *, CAST(substring(name, 13) AS BIGINT) % 5 * 100 AS s FROM {g_reflog}) t GROUP BY name, s""",
     ),
     "popularity_top8": (
         lambda v: jobs.popular(_touches(v), 1_704_500_000_000),
@@ -415,6 +425,53 @@ QUERIES: dict[str, tuple[Callable[[Views], DataFrame], str]] = {
         lambda v: content.nearest(v.embeddings, [float(i % 7 - 3) for i in range(64)], 10),
         "SELECT vec_id AS id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), list_transform(range(64), lambda i: CAST(i % 7 - 3 AS DOUBLE))), 9) AS score FROM {embeddings} ORDER BY score DESC, id LIMIT 10",
     ),
+    "job_claim": (
+        lambda v: jobs.claimed(v.g_jobs, v.sql(f"SELECT * FROM {_CLAIMS} t")),
+        f"""SELECT id, 'running' AS state, at AS started_at, lease FROM (SELECT c.*, row_number() OVER (PARTITION BY c.id ORDER BY at, lease) AS n FROM {_CLAIMS} c JOIN {{g_jobs}} j ON j.id = c.id
+            WHERE j.state = 'queued') t WHERE n = 1""",
+    ),
+    "job_heartbeat": (
+        lambda v: jobs.heartbeats(v.g_jobs.withColumn("lease", F.sha1(F.col("id").cast("string"))), v.sql(f"SELECT * FROM {_BEATS} t")),
+        f"SELECT b.id, b.lease, b.at, coalesce(j.state = 'running' AND b.lease = sha1(CAST(j.id AS STRING)), false) AS counts FROM {_BEATS} b LEFT JOIN {{g_jobs}} j ON j.id = b.id",
+    ),
+    "job_outcomes": (
+        lambda v: jobs.landed(v.g_jobs.withColumn("lease", F.sha1(F.col("id").cast("string"))), v.sql(f"SELECT * FROM {_OUTCOMES} t"), NOW),
+        f"""SELECT id, CASE WHEN NOT mine THEN 'stale' WHEN kind = 'error' AND attempts + 1 >= 8 THEN 'dead' WHEN kind = 'error' THEN 'retry' ELSE kind END AS outcome,
+            CASE WHEN NOT mine OR kind = 'done' THEN NULL WHEN kind = 'error' AND attempts + 1 >= 8 THEN 'dead' ELSE 'queued' END AS state,
+            CASE WHEN NOT mine THEN NULL WHEN kind = 'continue' THEN {NOW} WHEN kind = 'reschedule' THEN at
+                 WHEN kind = 'error' AND attempts + 1 < 8 THEN {NOW} + least(3600000, 60000 * CAST(pow(2, attempts) AS BIGINT)) END AS run_at
+            FROM (SELECT o.id, o.kind, o.run_at AS at, j.attempts, j.state = 'running' AND o.lease = sha1(CAST(j.id AS STRING)) AS mine FROM {_OUTCOMES} o JOIN {{g_jobs}} j ON j.id = o.id) t""",
+    ),
+    "mark_bitmaps": (
+        lambda v: bitmaps.bitmaps(v.g_packs.where("count > 0"), v.sql("SELECT pack_id AS id, idx FROM {g_objects} WHERE size % 3 > 0")).select("id", F.lower(F.hex("bitmap")).alias("bitmap")),
+        """SELECT id, string_agg(lpad(lower(to_hex(b)), 2, '0'), '' ORDER BY byte) AS bitmap FROM (SELECT pack_id AS id, idx div 8 AS byte,
+           CAST(sum(CASE WHEN size % 3 > 0 THEN CAST(pow(2, idx % 8) AS BIGINT) ELSE 0 END) AS BIGINT) AS b FROM {g_objects} GROUP BY ALL) t GROUP BY id""",
+    ),
+    "bitmap_entries": (
+        lambda v: bitmaps.entries(bitmaps.bitmaps(v.g_packs.where("count > 0"), v.sql("SELECT pack_id AS id, idx FROM {g_objects} WHERE size % 3 > 0"))),
+        "SELECT pack_id AS id, idx FROM {g_objects} WHERE size % 3 > 0",
+    ),
+    "bitmap_compare": (
+        lambda v: bitmaps.compared(v.g_packs.where("count > 0"), v.sql("SELECT pack_id AS id, idx FROM {g_objects} WHERE size % 3 > 0"), v.sql("SELECT pack_id AS id, idx FROM {g_objects} WHERE size % 7 > 0")),
+        """SELECT pack_id AS id, count(*) FILTER (WHERE size % 3 > 0) AS marked, count(*) FILTER (WHERE size % 7 > 0) AS built, count(*) FILTER (WHERE size % 3 = 0) = 0 AS all_set,
+           count(*) FILTER (WHERE size % 3 > 0 AND size % 7 = 0) = 0 AS subset, count(*) FILTER (WHERE size % 3 > 0 AND size % 7 = 0) > 0 AS lossy FROM {g_objects} GROUP BY pack_id""",
+    ),
+    "chain_verify": (
+        lambda v: refs.chain_breaks(refs.hash_chain(v.g_reflog).join(v.g_reflog.select("name", "id", F.when(F.col("id") % 211 == 5, "forged").otherwise(F.col("new")).alias("new")), ["name", "id"])),
+        "SELECT name, id FROM {g_reflog} WHERE id % 211 = 5",
+    ),
+    "push_begin": (
+        lambda v: admin.begun_pushes(v.sql(f"SELECT * FROM {_BEGIN_ASKS} t"), v.sql(f"SELECT * FROM {_BEGIN_HELD} t"), v.g_packs.where("id < 0"), 100, 10_000_000),
+        f"""SELECT a.push_id, CASE WHEN h.id IS NULL THEN 'open' WHEN h.state = 'open' AND h.principal = a.principal AND h.auth = a.auth THEN 'again' WHEN h.state = 'open' THEN 'forbidden'
+            ELSE concat('conflict: ', h.state) END AS verdict FROM (SELECT *, row_number() OVER (PARTITION BY push_id ORDER BY seq) AS n FROM {_BEGIN_ASKS} t) a LEFT JOIN {_BEGIN_HELD} h ON h.id = a.push_id WHERE n = 1""",
+    ),
+    "push_admission": (
+        lambda v: admin.begun_pushes(v.sql(f"SELECT * FROM {_BEGIN_ASKS} t"), v.sql(f"SELECT * FROM {_BEGIN_HELD} t WHERE id < 40"), v.g_packs, 1_000_000_000, 30),
+        f"""WITH a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY push_id ORDER BY seq) AS n FROM {_BEGIN_ASKS} t) x WHERE n = 1), h AS (SELECT * FROM {_BEGIN_HELD} t WHERE id < 40),
+            r AS (SELECT push_id, row_number() OVER (ORDER BY seq, push_id) AS place FROM a WHERE push_id NOT IN (SELECT id FROM h))
+            SELECT a.push_id, CASE WHEN h.state = 'open' AND h.principal = a.principal AND h.auth = a.auth THEN 'again' WHEN h.state = 'open' THEN 'forbidden' WHEN h.id IS NOT NULL THEN concat('conflict: ', h.state)
+            WHEN place + (SELECT count(*) FROM h WHERE state = 'open') > 30 THEN 'too many open pushes' ELSE 'open' END AS verdict FROM a LEFT JOIN h ON h.id = a.push_id LEFT JOIN r ON r.push_id = a.push_id""",
+    ),
     "review_sequence": (
         lambda v: content.numbered(v.conversations.select("conv_id", "turn", "role"), "conv_id", ["turn", "role"]).select("conv_id", "turn", "seq"),
         "SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS INT) AS seq FROM {conversations}",
