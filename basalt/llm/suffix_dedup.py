@@ -25,7 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basalt.llm.common import BYTE_VALUE, Rolling, cut, keyed_texts, mix, real_id, text_buffer
@@ -36,6 +36,8 @@ LENGTH, SEED = 100, 32
 COLLECTION = 1 << 16
 #: Classes of a seed beyond which it is deepened: about 1 MB of segments.
 MOST = 6000
+#: Symbols of 9 bits that a 64-bit word holds beside the number of a string.
+PACKED = 6
 _PLACE = 40  # bits of a place in `when`
 
 
@@ -58,7 +60,8 @@ class RunLengthIndex:
         text[inside] = data.astype(np.uint64) + np.uint64(1)
         string = np.repeat(np.arange(m), sizes + 1)
         self.left = self.ends[string] - np.arange(n)
-        self.order = self._sort(text, string)
+        self.order, self.ranks = self._sort(text, string)
+        self.text = text
         # the symbol before each suffix; string starts have their own terminator before them, equal to no other
         before = np.where(self.order > 0, text[self.order - 1].astype(np.int64), 0)
         first = np.zeros(n, dtype=bool)
@@ -68,46 +71,49 @@ class RunLengthIndex:
         self.run_symbols = before[self.heads]
         self.head_samples = self.order[self.heads]
         self.end_samples = self.order[np.append(self.heads[1:], n) - 1]
-        values = np.zeros(n, dtype=np.uint64)
-        values[inside] = BYTE_VALUE[data]
-        self.rolling = Rolling(values)
         self.n = n
 
-    def _sort(self, text: np.ndarray, string: np.ndarray) -> np.ndarray:
-        """Suffix order by prefix doubling from packed prefixes of 7 symbols."""
-        n, h = len(text), 7
+    def _sort(self, text: np.ndarray, string: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Suffix order by prefix doubling from packed prefixes, and each place's rank by its first 6, 12, 24, .. symbols."""
+        n, h = len(text), PACKED
         packed = np.zeros(n, dtype=np.uint64)
         for i in range(h):
             shifted = np.zeros(n, dtype=np.uint64)
             shifted[: n - i] = text[i:]
             shifted[self.left < i] = 0
             packed = (packed << np.uint64(9)) | shifted
-        tie = np.where(self.left < h, string, -1)
-        order = np.lexsort((tie, packed))
+        packed <<= np.uint64(10)
+        short = self.left < h  # such a prefix holds its terminator, so that the low bits are free for that one's number
+        packed[short] |= string[short].astype(np.uint64) + np.uint64(1)
+        order = np.argsort(packed)
+        fresh = np.concatenate([[True], packed[order[1:]] != packed[order[:-1]]])
+        rank, ranks = np.empty(n, dtype=np.int64), []
+        rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
         while True:
-            if h == 7:
-                step = (packed[order][1:] != packed[order][:-1]) | (tie[order][1:] != tie[order][:-1])
-            else:
-                step = key[order][1:] != key[order][:-1]
-            rank = np.zeros(n, dtype=np.int64)
-            rank[order[1:]] = np.cumsum(step)
-            if rank[order[-1]] == n - 1:
-                return order
-            second = rank[np.minimum(np.arange(n) + h, n - 1)]
-            key = rank * n + second
-            order = np.argsort(key)
+            ranks.append(rank)
+            tied = np.flatnonzero(~fresh | ~np.append(fresh[1:], True))
+            if not len(tied):
+                return order, ranks
+            key = rank[order[tied]] * n + rank[order[tied] + h]  # tied places hold no terminator in their first h symbols
+            by = np.argsort(key)
+            order[tied], key = order[tied][by], key[by]
+            head = np.concatenate([[True], key[1:] != key[:-1]])
+            rank = rank.copy()
+            rank[order[tied]] = np.maximum.accumulate(np.where(head, tied, 0))
+            fresh[tied] = head
             h *= 2
 
     def matching_statistics(self) -> np.ndarray:
         """For each text place, the length of its match with the suffix just before it in suffix order."""
         a, b = self.head_samples[1:], self.end_samples[:-1]
-        lo, hi = np.zeros(len(a), dtype=np.int64), np.minimum(self.left[a], self.left[b])
-        while (lo < hi).any():
-            mid = (lo + hi + 1) // 2
-            same = self.rolling.of(a, a + mid) == self.rolling.of(b, b + mid)
-            lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
+        match = np.zeros(len(a), dtype=np.int64)
+        for k in range(len(self.ranks) - 2, -1, -1):
+            match += (self.ranks[k][a + match] == self.ranks[k][b + match]) * (PACKED << k)
+        for _ in range(PACKED - 1):
+            here = self.text[a + match]
+            match += (here == self.text[b + match]) & (here > 0)
         known, at = np.zeros(self.n, dtype=np.int64), np.zeros(self.n, dtype=np.int64)
-        known[a] = lo
+        known[a] = match
         at[a] = a
         at[self.head_samples[0]] = self.head_samples[0]
         at = np.maximum.accumulate(at)
@@ -130,6 +136,21 @@ class RunLengthIndex:
         return string[whole], place[whole], least[whole]
 
 
+def packed(first, windows, inset, size):
+    """One number for a segment: its first byte, its windows, how far its seed lies behind the first byte, the seed's size; ordered by the first.
+
+    Columns or arrays; lengths are below 4096.
+    """
+    return ((first * 4096 + windows) * 4096 + inset) * 4096 + size
+
+
+def unpacked(segment):
+    """(first, windows, inset, size) of packed columns or arrays."""
+    shift = (lambda x, n: F.shiftright(x, n)) if isinstance(segment, Column) else (lambda x, n: x >> n)
+    low = (lambda x: x.bitwiseAND(F.lit(4095).cast("long"))) if isinstance(segment, Column) else (lambda x: x & 4095)
+    return shift(segment, 36), low(shift(segment, 24)), low(shift(segment, 12)), low(segment)
+
+
 def span_columns(batch) -> tuple[np.ndarray, list[np.ndarray]]:
     """(row of each span, the spans' fields) of the list column of a batch."""
     at, fields = list_column(batch, 3)
@@ -137,14 +158,15 @@ def span_columns(batch) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def segment_texts(found: DataFrame, length: int) -> DataFrame:
-    """(id, tag, text, spans of key, segment, first, windows) -> (key, segment, id, first, bytes), a row for each span."""
+    """(id, tag, text, spans of key, segment, at) -> (key, segment, id, first, bytes), a row for each span."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column(2))
             raw = memoryview(data)
-            doc, (key, segment, first, windows) = span_columns(batch)
+            doc, (key, segment, at) = span_columns(batch)
+            first, windows, _, _ = unpacked(at)
             start = offsets[doc] + first
             end = start + windows + (length - 1)
             for i in range(0, len(doc), 20_000):
@@ -157,53 +179,62 @@ def segment_texts(found: DataFrame, length: int) -> DataFrame:
 
 
 def deepened(found: DataFrame, length: int) -> DataFrame:
-    """(id, tag, text, spans of key, place, first, windows, size) -> the spans' two halves under longer seeds."""
+    """(id, tag, text, spans of key, at) -> the spans' two halves under longer seeds."""
     import pyarrow as pa
 
-    names = ["key", "segment", "id", "tag", "place", "first", "windows", "size"]
+    names = ["key", "segment", "id", "tag", "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column(2))
             rolling = Rolling(BYTE_VALUE[data])
             ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            doc, (key, place, first, windows, size) = span_columns(batch)
+            doc, (key, at) = span_columns(batch)
+            first, windows, inset, size = unpacked(at)
+            place = first + inset
             stop, spare = first + windows, length - size
             reach = (spare + 1) // 2  # windows from `turn` on hold that many bytes behind the seed, the others more than the rest before it
             turn = np.clip(place + size + reach - length, first, stop)
             for begin, end, seed_at, seed_size in ((turn, stop, place, size + reach), (first, turn, place - (spare - reach + 1), size + spare - reach + 1)):
                 some = np.flatnonzero(end > begin)
-                base, at, n = offsets[doc[some]], seed_at[some], seed_size[some]
+                base, seed, n = offsets[doc[some]], seed_at[some], seed_size[some]
                 left = key[some].view(np.uint64) ^ mix(n.astype(np.uint64))
-                made = mix(left ^ rolling.of(base + at, base + at + n))
-                whole = mix(rolling.of(base + begin[some], base + end[some] + (length - 1)) ^ mix((at - begin[some]).astype(np.uint64)))
-                columns = [made, whole, ids[doc[some]], tags[doc[some]], at, begin[some], (end - begin)[some].astype(np.int32), n.astype(np.int32)]
+                made = mix(left ^ rolling.of(base + seed, base + seed + n))
+                whole = mix(rolling.of(base + begin[some], base + end[some] + (length - 1)) ^ mix((seed - begin[some]).astype(np.uint64)))
+                columns = [made, whole, ids[doc[some]], tags[doc[some]], packed(begin[some], (end - begin)[some], seed - begin[some], n)]
                 yield pa.RecordBatch.from_arrays([signed(c) for c in columns], names=names)
 
-    return found.mapInArrow(run, "key long, segment long, id long, tag long, place long, first long, windows int, size int")
+    return found.mapInArrow(run, "key long, segment long, id long, tag long, at long")
 
 
 def with_texts(texts: DataFrame, spans: DataFrame, *fields: str) -> DataFrame:
-    """(id, tag, text, spans): each document's spans, as a set, since rows may repeat."""
-    per_text = spans.groupBy("id", "tag").agg(F.collect_set(F.struct(*fields)).alias("spans"))
+    """(id, tag, text, spans): each document's spans, as a set, since rows may repeat.
+
+    They are written first: where few documents have any, their table's size lets Spark broadcast it in place of shuffling all texts.
+    """
+    per_text = cut(spans.groupBy("id", "tag").agg(F.collect_set(F.struct(*fields)).alias("spans")), "wanted")
     return texts.join(per_text, ["id", "tag"]).select("id", "tag", "text", "spans")
 
 
 def routed(texts: DataFrame, length: int, seed: int, most: int) -> tuple[DataFrame, DataFrame]:
-    """Places (key, segment, id, tag, first, windows) of all segments whose seed occurs twice, and their classes with the earliest place."""
-    found = seeds(texts, "byte", length, seed).withColumn("size", F.lit(seed))
+    """Places (key, segment, id, tag, at) of all segments whose seed occurs twice, and their classes with the earliest place."""
+    found = seeds(texts, "byte", length, seed)
+    found = found.select("key", "segment", "id", "tag", packed(F.col("first"), F.col("windows"), F.col("place") - F.col("first"), F.lit(seed)).alias("at"))
     places = classes = None
     while True:
         shared = cut(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared")
-        # written tables on both sides of a join let Spark split a seed that very many documents share
-        mine = cut(found.join(shared, "key", "left_semi"), "segments")
-        kinds = cut(mine.groupBy("key", "segment").agg(F.min(F.struct("id", "first", "tag", "windows")).alias("lead")).select("key", "segment", "lead.*"), "classes")
+        # written tables on both sides of a merge join let Spark split a seed that very many documents share
+        mine = cut(found.join(shared.hint("merge"), "key", "left_semi"), "segments")
+        kinds = cut(mine.groupBy("key", "segment").agg(F.min(F.struct("id", "at", "tag")).alias("lead")).select("key", "segment", "lead.*"), "classes")
         crowded = cut(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("key"), "crowded")
-        here, own = mine.join(crowded, "key", "left_anti"), kinds.join(crowded, "key", "left_anti")
+        if crowded.isEmpty():
+            here, own = mine, kinds
+        else:
+            here, own = mine.join(crowded, "key", "left_anti"), kinds.join(crowded, "key", "left_anti")
         places, classes = (here, own) if places is None else (places.unionByName(here), classes.unionByName(own))
         if crowded.isEmpty():
             return places, classes
-        found = deepened(with_texts(texts, mine.join(crowded, "key", "left_semi"), "key", "place", "first", "windows", "size"), length)
+        found = deepened(with_texts(texts, mine.join(crowded, "key", "left_semi"), "key", "at"), length)
 
 
 def indexed(parts: DataFrame, length: int) -> DataFrame:
@@ -256,11 +287,11 @@ def indexed(parts: DataFrame, length: int) -> DataFrame:
 def repeats(texts: DataFrame, length: int = LENGTH, seed: int = SEED, most: int = MOST) -> DataFrame:
     """(id, tag, first, until): ranges of bytes that start earlier, found by the indexes."""
     places, classes = routed(texts, length, seed, most)
-    parts = segment_texts(with_texts(texts, classes, "key", "segment", "first", "windows"), length)
+    parts = segment_texts(with_texts(texts, classes, "key", "segment", "at"), length)
     earliest = cut(indexed(parts, length), "indexed")
-    first = F.col("first") + F.col("offset")
+    first = unpacked(F.col("at"))[0] + F.col("offset")
     late = F.struct("early_id", "early") < F.struct(F.col("id").alias("early_id"), first.alias("early"))
-    return places.join(earliest, ["key", "segment"]).where(late).select("id", "tag", first.alias("first"), (first + F.col("n") + (length - 1)).alias("until"))
+    return places.join(earliest.hint("merge"), ["key", "segment"]).where(late).select("id", "tag", first.alias("first"), (first + F.col("n") + (length - 1)).alias("until"))
 
 
 def suffix_dedup(
