@@ -98,7 +98,8 @@ def blocks_of(texts: DataFrame, wanted: DataFrame, block: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int64()), pa.array(held, pa.binary()).cast(pa.string())], names=names)
 
     numbers = wanted.groupBy(F.col("origin").alias("id"), F.col("origin_tag").alias("tag")).agg(F.collect_set("block").alias("numbers"))
-    found = texts.join(numbers, ["id", "tag"]).select("id", "tag", "text", "numbers").mapInArrow(run, "origin long, origin_tag long, block long, words string")
+    # written first: where few origins are left, the table's size lets Spark broadcast it in place of shuffling all texts
+    found = texts.join(cut(numbers, "origins"), ["id", "tag"]).select("id", "tag", "text", "numbers").mapInArrow(run, "origin long, origin_tag long, block long, words string")
     return found.dropDuplicates(["origin", "origin_tag", "block"])  # rows may repeat
 
 
@@ -141,45 +142,63 @@ def extended(texts: DataFrame, diagonals: DataFrame, length: int, block: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                own, tag = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                found = extend(own, batch.column(2)[i].as_py().encode().split(), batch.column(3)[i].values, batch.column(4)[i].as_py() or [])
-                if found:
-                    key, place, first, windows, until = zip(*found, strict=True)
-                    columns = [key, [own] * len(key), [tag] * len(key), place, first, windows, until]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
-
-    def extend(own: int, words: list[bytes], mine: pa.StructArray, pieces: list[dict]) -> list[tuple]:
+            out: list[list] = [[] for _ in kinds]
+            texts = batch.column(2).to_pylist()
+            pieces = piece_groups(batch.column(4))
+            groups, group_at = batch.column(3).values, batch.column(3).offsets.to_numpy()
+            origin, origin_tag, shift = (groups.field(i).to_numpy() for i in range(3))
+            anchors, anchor_at = groups.field(3).values, groups.field(3).offsets.to_numpy()
+            first, windows, place, keys = (anchors.field(i).to_numpy() for i in range(4))
+            ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for i, text in enumerate(texts):
+                words, found = text.encode().split(), []
+                for g in range(group_at[i], group_at[i + 1]):
+                    s = slice(anchor_at[g], anchor_at[g + 1])
+                    held = pieces.get((i, origin[g], origin_tag[g], shift[g]), [])
+                    found += extend(words, held, first[s], windows[s], place[s], keys[s], bool(origin[g] < ids[i]))
+                for row in set(found):
+                    for column, value in zip(out, (row[0], ids[i], tags[i], *row[1:]), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds.values(), strict=True)], names=list(kinds))
+
+    def piece_groups(column: pa.ListArray) -> dict[tuple, list[tuple[int, bytes]]]:
+        at, flat = np.diff(column.offsets.to_numpy()), column.values
+        row = np.repeat(np.arange(len(at)), at).tolist()
+        fields = [flat.field(k).to_pylist() for k in range(5)]
         held: dict[tuple, list] = {}
-        for p in pieces:
-            held.setdefault((p["origin"], p["origin_tag"], p["shift"]), []).append((p["at"], p["words"].encode()))
-        out: set[tuple] = set()
-        for k in range(len(mine)):
-            at = tuple(mine.field(i)[k].as_py() for i in range(3))
-            starts, ends = equal_runs(words, held.get(at, []))
-            first, windows, place, keys = (mine.field(3)[k].values.field(i).to_numpy() for i in range(4))
-            stop = first + windows + (length - 1)
-            run = np.searchsorted(starts, place, "right") - 1
-            inside = (run >= 0) & (ends[run] > place) if len(starts) else np.zeros(len(place), bool)
-            left = np.where(inside, np.maximum(starts[run] if len(starts) else 0, first), place)
-            right = np.where(inside, np.minimum(ends[run] if len(starts) else 0, stop), place)
-            long = right - left >= length
-            if at[0] < own:
-                out.update((None, None, a, None, b) for a, b in zip(left[long].tolist(), right[long].tolist(), strict=True))
-            for j in np.flatnonzero(inside & ((left > first) | (right < stop))).tolist():
-                a, b, f, n, p = int(left[j]), int(right[j]), int(first[j]), int(windows[j]), int(place[j])
-                if a > f:  # windows that hold the word on which the match breaks off to the left
-                    out.add((longer_key(int(keys[j]), False, p - a, words[a - 1]), p, f, min(a, f + n) - f, None))
-                begin = max(a, b - length + 1)
-                if begin < f + n:  # the others that hold the word on which it breaks off to the right
-                    out.add((longer_key(int(keys[j]), True, b - p, words[b]), p, begin, f + n - begin, None))
-        return list(out)
+        for r, origin, origin_tag, shift, place, words in zip(row, *fields, strict=True):
+            held.setdefault((r, origin, origin_tag, shift), []).append((place, words.encode()))
+        return held
+
+    def extend(words: list[bytes], pieces: list, first, windows, place, keys, remove: bool) -> list[tuple]:
+        """Rows (key, place, first, windows, until) of one document and origin on a diagonal."""
+        starts, ends = equal_runs(words, pieces)
+        if not len(starts):
+            return []
+        stop = first + windows + (length - 1)
+        run = np.searchsorted(starts, place, "right") - 1
+        inside = (run >= 0) & (ends[run] > place)
+        left, right = np.where(inside, np.maximum(starts[run], first), place), np.where(inside, np.minimum(ends[run], stop), place)
+        out: list[tuple] = []
+        if remove and (long := right - left >= length).any():
+            a, b = left[long], right[long]  # matches of neighbouring anchors overlap: one range for each that they make
+            reach = np.maximum.accumulate(b)
+            head = np.flatnonzero(np.concatenate([[True], a[1:] > reach[:-1]]))
+            out += [(None, None, x, None, y) for x, y in zip(a[head].tolist(), reach[np.append(head[1:], len(a)) - 1].tolist(), strict=True)]
+        for j in np.flatnonzero(inside & ((left > first) | (right < stop))).tolist():
+            a, b, f, n, p = int(left[j]), int(right[j]), int(first[j]), int(windows[j]), int(place[j])
+            if a > f:  # windows that hold the word on which the match breaks off to the left
+                out.append((longer_key(int(keys[j]), False, p - a, words[a - 1]), p, f, min(a, f + n) - f, None))
+            begin = max(a, b - length + 1)
+            if begin < f + n:  # the others that hold the word on which it breaks off to the right
+                out.append((longer_key(int(keys[j]), True, b - p, words[b]), p, begin, f + n - begin, None))
+        return out
 
     return both.mapInArrow(run, ", ".join(f"{n} {'int' if t == pa.int32() else 'long'}" for n, t in kinds.items()))
 
 
 def repeats(texts: DataFrame, length: int = LENGTH, seed: int = SEED, block: int = BLOCK) -> DataFrame:
-    """(id, tag, first, until): maximal repeats, each found from one anchor, of a document of smaller id."""
+    """(id, tag, first, until): maximal repeats of a document of smaller id."""
     anchors, found = seeds(texts, "word", length, seed).drop("segment"), None
     while True:
         got = cut(extended(texts, met_anchors(anchors), length, block), "extended")
