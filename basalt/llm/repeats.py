@@ -14,10 +14,13 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from basalt.llm.common import BYTE_VALUE, Rolling, chunks, mix, text_buffer, words_of
 
 _LOW = np.uint64(0xFFFFFFFF)
+#: Copies of a row that one task writes; the result of a row of more copies is dealt out in blocks of so many.
+COPIES = 1000
 
 
 def sliding_min(values: np.ndarray, w: int) -> np.ndarray:
@@ -103,7 +106,7 @@ def list_column(batch, i: int) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def without_spans(texts: DataFrame, spans: DataFrame, unit: str, with_text: bool) -> DataFrame:
-    """(id, tag, n_symbols, n_removed, n_spans, kept_sha256[, kept_text]) for every document.
+    """(id, tag, n_symbols, n_removed, n_spans, kept_sha256[, kept_text]), `copies` times for each filed text.
 
     What stays is joined by one space where the unit is a word, by nothing where it is a byte; kept_text replaces bytes that
     no longer form a character by U+FFFD.
@@ -112,7 +115,7 @@ def without_spans(texts: DataFrame, spans: DataFrame, unit: str, with_text: bool
 
     import pyarrow as pa
 
-    names = ["id", "tag", "n_symbols", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text]
+    names = ["id", "tag", "copies", "n_symbols", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * with_text]
     gap = b" " if unit == "word" else b""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +127,7 @@ def without_spans(texts: DataFrame, spans: DataFrame, unit: str, with_text: bool
         data, offsets = text_buffer(batch.column(2))
         column = batch.column(3)
         spans_at, (first_of, until_of) = list_column(batch, 3) if column.null_count < len(column) else (np.zeros(batch.num_rows + 1, np.int64), (np.zeros(0, np.int64),) * 2)
-        out: list[list] = [[] for _ in names[2:]]
+        out: list[list] = [[] for _ in names[3:]]
         for i in range(batch.num_rows):
             text, lo, hi = data[offsets[i] : offsets[i + 1]].tobytes(), spans_at[i], spans_at[i + 1]
             parts = text.split() if unit == "word" else text
@@ -141,7 +144,12 @@ def without_spans(texts: DataFrame, spans: DataFrame, unit: str, with_text: bool
             for o, v in zip(out, [n, gone, runs, sha256(kept).hexdigest(), *[kept.decode("utf-8", "replace")] * with_text], strict=True):
                 o.append(v)
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(o, t) for o, t in zip(out, types, strict=False)]], names=names)
-
-    schema = "id long, tag long, n_symbols long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
-    return texts.join(spans, ["id", "tag"], "left").select("id", "tag", "text", "spans").mapInArrow(run, schema)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), *[pa.array(o, t) for o, t in zip(out, types, strict=False)]], names=names)
+
+    schema = "id long, tag long, copies long, n_symbols long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
+    both = texts.join(spans, ["id", "tag"], "left").select("id", "tag", "text", "spans", "copies")
+    copies = F.col("copies")
+    few = both.where(copies <= COPIES).mapInArrow(run, schema).withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+    many = both.where(copies > COPIES).mapInArrow(run, schema).withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((copies - 1) / COPIES))))
+    many = many.repartition("id", "tag", "block").withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.lit(COPIES), copies - F.col("block") * COPIES))))
+    return few.unionByName(many.drop("block")).drop("copies", "copy")

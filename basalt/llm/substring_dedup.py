@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import NO_ID, cut, keyed_texts, real_id, tag_of
+from basalt.llm.common import NO_ID, cut, filed, keyed_texts, real_id, tag_of
 from basalt.llm.repeats import seeds, without_spans
 
 #: Words of a window, of a seed, and of a block in which an origin's words travel.
@@ -98,9 +98,8 @@ def blocks_of(texts: DataFrame, wanted: DataFrame, block: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers, pa.int64()), pa.array(held, pa.binary()).cast(pa.string())], names=names)
 
     numbers = wanted.groupBy(F.col("origin").alias("id"), F.col("origin_tag").alias("tag")).agg(F.collect_set("block").alias("numbers"))
-    # written first: where few origins are left, the table's size lets Spark broadcast it in place of shuffling all texts
-    found = texts.join(cut(numbers, "origins"), ["id", "tag"]).select("id", "tag", "text", "numbers").mapInArrow(run, "origin long, origin_tag long, block long, words string")
-    return found.dropDuplicates(["origin", "origin_tag", "block"])  # rows may repeat
+    # texts are filed: the numbers alone move
+    return texts.join(numbers, ["id", "tag"]).select("id", "tag", "text", "numbers").mapInArrow(run, "origin long, origin_tag long, block long, words string")
 
 
 def equal_runs(words: list[bytes], pieces: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
@@ -213,7 +212,7 @@ def substring_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED, with_text: bool = True
 ) -> DataFrame:
     """(id, tag, n_symbols, n_removed, n_spans, kept_sha256[, kept_text]), one row per document; words joined by one space."""
-    texts = keyed_texts(docs, id_col, text_col)
+    texts = filed(keyed_texts(docs, id_col, text_col))
     spans = repeats(texts, length, seed).groupBy("id", "tag").agg(F.collect_set(F.struct("first", "until")).alias("spans"))
     return without_spans(texts, cut(spans, "spans"), "word", with_text)
 

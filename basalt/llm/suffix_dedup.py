@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import BYTE_VALUE, Rolling, cut, keyed_texts, mix, real_id, text_buffer
+from basalt.llm.common import BYTE_VALUE, Rolling, cut, filed, keyed_texts, mix, real_id, text_buffer
 from basalt.llm.repeats import list_column, seeds, signed, without_spans
 
 LENGTH, SEED = 100, 32
@@ -208,11 +208,8 @@ def deepened(found: DataFrame, length: int) -> DataFrame:
 
 
 def with_texts(texts: DataFrame, spans: DataFrame, *fields: str) -> DataFrame:
-    """(id, tag, text, spans): each document's spans, as a set, since rows may repeat.
-
-    They are written first: where few documents have any, their table's size lets Spark broadcast it in place of shuffling all texts.
-    """
-    per_text = cut(spans.groupBy("id", "tag").agg(F.collect_set(F.struct(*fields)).alias("spans")), "wanted")
+    """(id, tag, text, spans): each document's spans. Where texts are filed, the spans alone move."""
+    per_text = spans.groupBy("id", "tag").agg(F.collect_set(F.struct(*fields)).alias("spans"))
     return texts.join(per_text, ["id", "tag"]).select("id", "tag", "text", "spans")
 
 
@@ -298,7 +295,7 @@ def suffix_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, seed: int = SEED, with_text: bool = True, most: int = MOST
 ) -> DataFrame:
     """(id, tag, n_symbols, n_removed, n_spans, kept_sha256[, kept_text]), one row per document; symbols are bytes."""
-    texts = keyed_texts(docs, id_col, text_col)
+    texts = filed(keyed_texts(docs, id_col, text_col))
     spans = repeats(texts, length, seed, most).groupBy("id", "tag").agg(F.collect_set(F.struct("first", "until")).alias("spans"))
     return without_spans(texts, cut(spans, "spans"), "byte", with_text)
 

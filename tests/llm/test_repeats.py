@@ -80,3 +80,13 @@ def test_indexes_decide_every_removal(spark, docs):
             by.setdefault((r.id, r.tag), set()).update(range(r.first, r.until))
         got = {(r.id, r.tag): r.n_removed for r in suffix_dedup.suffix_dedup(docs, with_text=False, most=most).where("n_removed > 0").collect()}
         assert {k: len(v) for k, v in by.items()} == got and Counter(got)
+
+
+def test_rows_of_many_copies_come_back_as_often(spark, monkeypatch):
+    """Copies are counted when texts are filed; the results of rows with more copies than a block are dealt out in blocks."""
+    monkeypatch.setattr("basalt.llm.repeats.COPIES", 2)
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text)] + [(2, text)] * 5 + [(3, "a b")] * 2 + [(None, None)] * 3, "doc_id long, text string")
+    for dedup, n in ((substring_dedup.substring_dedup, 60), (suffix_dedup.suffix_dedup, len(text))):
+        rows = dedup(docs).collect()
+        assert Counter(r.n_removed for r in rows) == {0: 6, n: 5} and Counter(r.n_symbols for r in rows)[0] == 3
