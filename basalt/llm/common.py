@@ -77,7 +77,7 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
-def chunks(offsets: np.ndarray, most: int = 1 << 18):
+def chunks(offsets: np.ndarray, most: int = 1 << 16):
     """Ranges (i, j) of whole documents of about `most` bytes, whose arrays fit a processor's cache; a longer document stands alone."""
     i, n = 0, len(offsets) - 1
     while i < n:

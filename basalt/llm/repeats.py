@@ -72,10 +72,11 @@ def signed(x: np.ndarray):
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x)
 
 
-def seeds(texts: DataFrame, unit: str, length: int, seed: int) -> DataFrame:
+def seeds(texts: DataFrame, unit: str, length: int, seed: int, keys_only: bool = False) -> DataFrame:
     """(id, tag, text) -> (key, segment, id, tag, place, first, windows): a row per segment, with the hashes of its seed and of itself.
 
     The seed is at `place`, the first of the `windows` windows that chose it at `first`, counted in the document's own symbols.
+    keys_only: the column `key` alone, which is all that counting takes.
     """
     import pyarrow as pa
 
@@ -89,12 +90,15 @@ def seeds(texts: DataFrame, unit: str, length: int, seed: int) -> DataFrame:
                 values, bounds, _, _ = symbols(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], unit)
                 rolling = Rolling(values)
                 doc, place, first, windows, hashed = segments(rolling, bounds, length, seed)
+                if keys_only:
+                    yield pa.RecordBatch.from_arrays([signed(hashed)], names=["key"])
+                    continue
                 whole = mix(rolling.of(first, first + windows + (length - 1)) ^ mix((place - first).astype(np.uint64)))
                 base = bounds[doc]
                 columns = [hashed, whole, ids[i:j][doc], tags[i:j][doc], place - base, first - base, windows.astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([signed(c) for c in columns], names=names)
 
-    return texts.mapInArrow(run, "key long, segment long, id long, tag long, place long, first long, windows int")
+    return texts.mapInArrow(run, "key long" if keys_only else "key long, segment long, id long, tag long, place long, first long, windows int")
 
 
 def list_column(batch, i: int) -> tuple[np.ndarray, list[np.ndarray]]:

@@ -217,9 +217,10 @@ def routed(texts: DataFrame, length: int, seed: int, most: int) -> tuple[DataFra
     """Places (key, segment, id, tag, at) of all segments whose seed occurs twice, and their classes with the earliest place."""
     found = seeds(texts, "byte", length, seed)
     found = found.select("key", "segment", "id", "tag", packed(F.col("first"), F.col("windows"), F.col("place") - F.col("first"), F.lit(seed)).alias("at"))
+    keys = seeds(texts, "byte", length, seed, keys_only=True)
     places = classes = None
     while True:
-        shared = cut(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared")
+        shared = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared")
         # written tables on both sides of a merge join let Spark split a seed that very many documents share
         mine = cut(found.join(shared.hint("merge"), "key", "left_semi"), "segments")
         kinds = cut(mine.groupBy("key", "segment").agg(F.min(F.struct("id", "at", "tag")).alias("lead")).select("key", "segment", "lead.*"), "classes")
@@ -231,7 +232,7 @@ def routed(texts: DataFrame, length: int, seed: int, most: int) -> tuple[DataFra
         places, classes = (here, own) if places is None else (places.unionByName(here), classes.unionByName(own))
         if crowded.isEmpty():
             return places, classes
-        found = deepened(with_texts(texts, mine.join(crowded, "key", "left_semi"), "key", "at"), length)
+        keys = found = deepened(with_texts(texts, mine.join(crowded, "key", "left_semi"), "key", "at"), length)
 
 
 def indexed(parts: DataFrame, length: int) -> DataFrame:
