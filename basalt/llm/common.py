@@ -46,14 +46,12 @@ def keyed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def filed(texts: DataFrame) -> DataFrame:
-    """(id, tag, text) -> (id, tag, text, copies): a row per id and text, written in buckets of id and tag.
+def in_buckets(once: DataFrame) -> DataFrame:
+    """Rows of unique (id, tag), written in buckets of id and tag; joins on them then move the other side alone.
 
-    Joins on id and tag then move the other side alone, however often the texts are read. The number of buckets is that of
-    the session's shuffle partitions; rows that repeat are counted before they are shuffled.
+    The number of buckets is that of the session's shuffle partitions.
     """
-    spark = texts.sparkSession
-    once = texts.groupBy("id", "tag").agg(F.min("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    spark = once.sparkSession
     name, buckets = f"texts_{uuid.uuid4().hex}", min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
     once.write.format("parquet").bucketBy(buckets, "id", "tag").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     table = spark.table(name)
@@ -61,6 +59,11 @@ def filed(texts: DataFrame) -> DataFrame:
     return table
 
 
+def filed(texts: DataFrame) -> DataFrame:
+    """(id, tag, text) -> (id, tag, text, copies): a row per id and text, in buckets; rows that repeat are counted before they are shuffled."""
+    return in_buckets(texts.groupBy("id", "tag").agg(F.min("text").alias("text"), F.count(F.lit(1)).alias("copies")))
+
+
 def real_id(name: str = "id"):
     return F.when(F.col(name) != NO_ID, F.col(name))
 
