@@ -2,15 +2,20 @@
 
 Rows are first written in buckets of id and text hash, one of each; what follows moves keys, shingle sets and links, never texts.
 
-1. Each text gets a key of its shingle set and BANDS bucket keys, each of ROWS MinHash values. Two sets of similarity s share a bucket
-   with probability 1 - (1 - s**ROWS)**BANDS: 0.99994 at 0.8, 0.999999 at 0.85.
-2. Texts with equal sets collapse into one class; buckets of one class go.
-3. Pairs of a bucket are verified by the exact similarity of the shingle sets; only verified pairs are links. First each class meets
+1. Each text gets a key of its shingle set and a SimHash of 128 bits: a bit is 1 if it is set in over half of the shingles' hashes.
+   At a similarity of 0.8 a bit differs with probability acos(8 / 9) / pi = 0.151, so 19 of 128 bits do, with a deviation of 4.
+2. Texts with equal sets collapse into one class. Classes are dealt into shards, in each of several tables by other bits of the
+   SimHash, so that a shard holds SHARD classes or fewer in the mean. There are as many tables as it takes for a pair of
+   similarity 0.8 to miss all of them with a probability of MISS; more similar pairs miss them less.
+3. A shard's fingerprints become BK-trees (of the first 64 bits, children keyed by Hamming distance), which its members search within
+   NEAR bits; what is more than RADIUS bits apart over all 128 goes. What so hangs together in a tree is a bucket of candidates; a bucket found
+   in several tables counts once.
+4. Pairs of a bucket are verified by the exact similarity of the shingle sets; only verified pairs are links. First each class meets
    the smallest class of its buckets; then, in buckets that still hold several groups, all classes of different groups are compared,
    block by block, as products of shingle incidence matrices. Pairs become rows only if they link.
-4. Links feed distributed connected components; one row of each component stays.
+5. Links feed distributed connected components; one row of each component stays.
 
-A radius of 14 to 16 bits on SimHash fingerprints, which would reach similarity 0.8, leaves pigeonhole blocks of 4 bits: every
+op5's radius of 4 bits and its pigeonhole blocks would not do here: a radius that reaches similarity 0.8 leaves blocks of 4 bits, and every
 fingerprint would meet a constant share of all others.
 
 Defined cases: null text is the empty text; texts without words are copies of each other; a text of fewer than five words is one
@@ -20,6 +25,7 @@ shingle; null ids come after every id and are separate documents.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,14 +33,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basalt.llm.common import BYTE_VALUE, NO_ID, Rolling, chunks, cut, in_buckets, mix, tag_of, text_buffer, words_of
-from basalt.llm.components import components
+from basalt.llm.components import components, smallest_reachable
+from basalt.llm.simhash_dedup import BKTree
 
 SHINGLE = 5
-BANDS, ROWS = 32, 6
+#: Bits up to which fingerprints are candidates: over all 128, and over the first 64, which BK-trees hold. Sets of few shingles differ in more bits than large ones.
+RADIUS, NEAR = 38, 22
+#: Mean size of a shard, members of a tree, and the share of pairs of similarity 0.8 that may share no shard.
+SHARD, TREE, MISS = 512, 1024, 1e-4
 #: Members of a bucket that are compared at once.
 BLOCK = 512
-_draws = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32)
-FACTOR, SHIFT = (_draws[: BANDS * ROWS] | np.uint32(1))[:, None], _draws[BANDS * ROWS :][:, None]
+_salts = mix(np.arange(1, 3, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -51,32 +60,133 @@ def shingle_sets(column) -> Iterator[np.ndarray]:
             yield np.unique(every[a : b - SHINGLE + 1] if b - a >= SHINGLE else words.of(np.array([a]), np.array([b]))) if b > a else every[:0]
 
 
-def bucket_keys(shingles: np.ndarray) -> np.ndarray:
-    """BANDS keys of a non-empty set, distinct between bands."""
-    low = np.full(BANDS * ROWS, 2**32 - 1, dtype=np.uint32)
-    high = (shingles >> np.uint64(32)).astype(np.uint32)
-    for i in range(0, len(high), 1024):
-        np.minimum(low, (high[None, i : i + 1024] * FACTOR + SHIFT).min(axis=1), out=low)
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in low.reshape(BANDS, ROWS).T:
-        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + column)
-    return keys
+def simhash(shingles: np.ndarray) -> np.ndarray:
+    """The two words of a non-empty set's fingerprint."""
+    n, ones = len(shingles), np.zeros(128, dtype=np.int64)
+    for i in range(0, n, 255):  # counts of 255 rows fit a byte
+        bits = np.unpackbits(mix(shingles[i : i + 255, None] + _salts).view(np.uint8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > n, bitorder="little").view(np.uint64)
+
+
+def shard_masks(n: int) -> np.ndarray:
+    """The bits by which each table deals n fingerprints, as two words a table."""
+    bits = min(48, max(0, math.ceil(math.log2(max(1, n) / SHARD))))
+    alike = (1 - math.acos(8 / 9) / math.pi) ** bits
+    tables = math.ceil(math.log(MISS) / math.log(1 - alike)) if bits else 1
+    rng = np.random.default_rng(42)
+    order = np.concatenate([rng.permutation(128) for _ in range(-(-tables * bits // 128) or 1)])
+    chosen = np.zeros((tables, 128), dtype=np.uint8)
+    for t in range(tables):
+        chosen[t, order[t * bits : (t + 1) * bits]] = 1
+    return np.packbits(chosen, axis=1, bitorder="little").view(np.uint64)
 
 
 def set_prints(texts: DataFrame) -> DataFrame:
-    """(id, tag, text) -> (id, tag, k, buckets): key of the shingle set, and its bucket keys."""
+    """(id, tag, text) -> (id, tag, k, f0, f1): key of the shingle set, and its fingerprint (null for the empty set)."""
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, buckets = [], []
-            for s in shingle_sets(batch.column(2)):
+            keys, prints = [], np.zeros((batch.num_rows, 2), np.uint64)
+            none = np.zeros(batch.num_rows, dtype=bool)
+            for i, s in enumerate(shingle_sets(batch.column(2))):
                 keys.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True))
-                buckets.append(bucket_keys(s).view(np.int64) if len(s) else np.zeros(0, np.int64))
-            arrays = [pa.array(keys, pa.int64()), pa.array(buckets, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["id", "tag", "k", "buckets"])
+                none[i] = not len(s)
+                if len(s):
+                    prints[i] = simhash(s)
+            words = [pa.array(prints[:, j].view(np.int64) if batch.num_rows else [], pa.int64(), mask=none) for j in range(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), *words], names=["id", "tag", "k", "f0", "f1"])
+
+    return texts.mapInArrow(run, "id long, tag long, k long, f0 long, f1 long")
+
+
+def sharded(classes: DataFrame, masks: np.ndarray) -> DataFrame:
+    """(k, f0, f1) -> (shard, k, f0, f1), a row for each table."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f0, f1 = (batch.column(i).to_numpy().view(np.uint64) for i in (1, 2))
+            for t, (m0, m1) in enumerate(masks):
+                shard = mix(mix((f0 & m0) + np.uint64(t)) + (f1 & m1))
+                yield pa.RecordBatch.from_arrays([pa.array(shard.view(np.int64)), *batch.columns], names=["shard", "k", "f0", "f1"])
+
+    return classes.mapInArrow(run, "shard long, k long, f0 long, f1 long")
+
 
-    return texts.mapInArrow(run, "id long, tag long, k long, buckets array<long>")
+def near_prints(f0: np.ndarray, f1: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i of left, j of right) of fingerprints at most RADIUS bits apart, by a BK-tree of those on the right."""
+    right = right[np.argsort(f0[right], kind="stable")]
+    values, begin, many = np.unique(f0[right], return_index=True, return_counts=True)
+    query, value = BKTree(values).within(f0[left], NEAR)
+    at = np.searchsorted(values, value)
+    step = np.arange(int(many[at].sum())) - np.repeat(np.cumsum(many[at]) - many[at], many[at])
+    i, j = left[np.repeat(query, many[at])], right[np.repeat(begin[at], many[at]) + step]
+    near = np.bitwise_count(f0[i] ^ f0[j]).astype(np.int64) + np.bitwise_count(f1[i] ^ f1[j]) <= RADIUS
+    near &= i != j
+    return i[near], j[near]
+
+
+def candidates(prints: DataFrame) -> DataFrame:
+    """(key, k, center): buckets of fingerprints that hang together within RADIUS bits in a shard, each with its smallest class.
+
+    A shard of over TREE members is cut into blocks by hash; two blocks are one unit of work, dealt by its own key.
+    """
+    import pyarrow as pa
+
+    classes = cut(prints.where("f0 is not null").select("k", "f0", "f1").distinct(), "classes")
+    rows = sharded(classes, shard_masks(classes.count()))
+    large = cut(rows.groupBy("shard").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > TREE).select("shard", F.ceil(F.col("size") / TREE).cast("int").alias("blocks")), "large")
+    block = rows.join(large, "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    dealt = block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("shard", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "k", "f0", "f1")
+
+    def found(unit: list[np.ndarray]) -> np.ndarray:
+        shard, a, b, block, k, f0, f1 = (np.concatenate(x) for x in zip(*unit, strict=True))
+        none = np.zeros((0, 3), np.int64)
+        if len(k) < 2:
+            return none
+        every = np.arange(len(k))
+        i, j = near_prints(f0.view(np.uint64), f1.view(np.uint64), every[block == a[0]], every[block == b[0]])
+        if not len(i):
+            return none
+        order = np.argsort(k, kind="stable")
+        place = np.empty_like(order)
+        place[order] = every
+        root = smallest_reachable(len(k), place[i], place[j])
+        k, many = k[order], np.bincount(root, minlength=len(k))
+        key = np.zeros(len(k), np.uint64)
+        np.add.at(key, root, mix(k.view(np.uint64)))  # the same members give the same key in every table
+        held = many[root] > 1
+        return np.stack([mix(key[root]).view(np.int64), k, k[root]], axis=1)[held]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come grouped by unit."""
+        last, unit = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(i).to_numpy() for i in range(7)]
+            head = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)]))
+            out = []
+            for i, j in zip(head.tolist(), [*head[1:].tolist(), batch.num_rows], strict=True):
+                key = tuple(int(c[i]) for c in columns[:3])
+                if key != last and unit:
+                    out.append(found(unit))
+                    unit = []
+                last = key
+                unit.append([c[i:j].copy() for c in columns])
+            yield rows_of(out)
+        if unit:
+            yield rows_of([found(unit)])
+
+    def rows_of(out: list[np.ndarray]) -> pa.RecordBatch:
+        made = np.concatenate([np.zeros((0, 3), np.int64), *out])
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(made[:, i])) for i in range(3)], names=["key", "k", "center"])
+
+    units = dealt.repartition("shard", "a", "b").sortWithinPartitions("shard", "a", "b")
+    return cut(units.mapInArrow(run, "key long, k long, center long").distinct(), "members")
 
 
 def sets_of(texts: DataFrame) -> DataFrame:
@@ -185,9 +295,7 @@ def bucket_links(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 def set_links(texts: DataFrame, prints: DataFrame) -> DataFrame:
     """Links (u, v) between set keys that join all that the verified pairs of any bucket join."""
-    placed = prints.select("k", F.explode("buckets").alias("key"))
-    shared = cut(placed.groupBy("key").agg(F.min("k").alias("center"), F.max("k").alias("last")).where("center <> last").select("key", "center"), "shared")
-    members = cut(placed.join(shared, "key").select("key", "k", "center").distinct(), "members")
+    members = candidates(prints)
     lead = prints.join(cut(members.select("k").distinct(), "sharing"), "k", "left_semi").groupBy("k").agg(F.min(F.struct("id", "tag")).alias("at"))
     lead = cut(lead.select("k", "at.*"), "lead")
     sets = cut(sets_of(texts.join(lead, ["id", "tag"]).select("k", "text")), "sets")

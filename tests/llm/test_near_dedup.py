@@ -92,3 +92,24 @@ def test_blocks_of_a_bucket_find_every_link_whatever_their_size(spark, rows, mon
     monkeypatch.setattr(near_dedup, "BLOCK", 2)
     docs = spark.createDataFrame(rows, SCHEMA)
     assert near_dedup.one_of_each(docs).count() == len(groups(rows))
+
+
+def test_candidates_come_from_simhash_and_bk_trees(spark, rows, monkeypatch):
+    """Without BK-trees there are no candidates; shards, blocks of shards and copies of a fingerprint lose no link."""
+    import numpy as np
+
+    monkeypatch.setattr(near_dedup, "SHARD", 4)
+    assert len(near_dedup.shard_masks(200)) > 10
+    monkeypatch.setattr(near_dedup, "TREE", 8)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert near_dedup.one_of_each(docs).count() == len(groups(rows))
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 500, dtype=np.uint64)
+    others = np.concatenate([base[:450], rng.integers(0, 2**63, 50, dtype=np.uint64)])  # similarity 450 / 550
+    far = np.bitwise_count(near_dedup.simhash(base) ^ near_dedup.simhash(others)).sum()
+    assert 5 < far <= near_dedup.RADIUS
+    f0 = rng.integers(0, 2**63, 64, dtype=np.uint64)
+    f0[40:44], f1 = f0[3], np.zeros(64, np.uint64)
+    i, j = near_dedup.near_prints(f0, f1, np.arange(64), np.arange(64))
+    want = {(a, b) for a in range(64) for b in range(64) if a != b and int(f0[a] ^ f0[b]).bit_count() <= near_dedup.NEAR}
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
