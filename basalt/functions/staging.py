@@ -25,3 +25,18 @@ def staged(df: DataFrame) -> DataFrame:
     path = f"{staging_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bytes_of(df: DataFrame) -> int:
+    """The planner's size of what df reads and makes: that of its files, where it only reads."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def filed_by(df: DataFrame, key: str) -> DataFrame:
+    """Write df in buckets of a key under the staging folder; joins and groups on the key then do not move it. The table has no name in the catalog."""
+    spark = df.sparkSession
+    name, buckets = f"links_{uuid.uuid4().hex}", min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", f"{staging_folder(spark)}/{name}").saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table

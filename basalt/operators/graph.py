@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.functions.staging import staged
+from basalt.functions.staging import filed_by, staged
 
 
 PLAIN = 24
@@ -113,14 +113,32 @@ def time_cut(tips: DataFrame, parents: DataFrame, times: DataFrame, since: int)
     return levels(tips, parent_links(parents), stop=walls).select("sha")
 
 
+#: Rounds in which generations() goes from parents to children before it doubles distances.
+LAYERS = 40
+
+
 def generations(parents: DataFrame, commits: DataFrame) -> DataFrame:
     """gen = 1 + largest parent gen: one more than the longest path to a commit without known parents.
 
-    The longest path's length is read off bit by bit, the highest first: a commit steps 2**k on where some node at its place has one that far away.
+    Layer n holds the ends of paths of n commits, so a commit's generation is its last layer; a round reads the links once and writes its layer
+    alone. Links are filed by parent, so that a round moves its layer and not the links. Histories of over LAYERS generations are numbered by doubling.
     """
-    known = lambda c: commits.select(F.col("sha").alias(c))
-    links = staged(parent_links(parents).join(known("dst"), "dst", "left_semi").join(known("src"), "src", "left_semi").select("src", "dst").distinct())
-    at = staged(commits.select("sha", F.col("sha").alias("src"), F.lit(1).alias("gen")).distinct())
+    sha, links = commits.select("sha").distinct(), parent_links(parents).distinct()
+    links = links.join(sha.withColumnRenamed("sha", "dst"), "dst", "left_semi").join(sha.withColumnRenamed("sha", "src"), "src", "left_semi")
+    links = filed_by(links.select("src", "dst"), "dst")
+    roots = sha.join(links.select(F.col("src").alias("sha")), "sha", "left_anti")
+    found = [staged(roots.withColumn("gen", F.lit(1)))]
+    while not found[-1].isEmpty():
+        if len(found) >= LAYERS:
+            return deep_generations(links, sha)
+        ahead = found[-1].select(F.col("sha").alias("dst")).join(links, "dst").select(F.col("src").alias("sha")).distinct()
+        found.append(staged(ahead.withColumn("gen", F.lit(len(found) + 1))))
+    return reduce(DataFrame.unionAll, found).groupBy("sha").agg(F.max("gen").alias("gen"))
+
+
+def deep_generations(links: DataFrame, commits: DataFrame) -> DataFrame:
+    """The longest path's length is read off bit by bit, the highest first: a commit steps 2**k on where some node at its place has one that far away."""
+    at = staged(commits.select("sha", F.col("sha").alias("src"), F.lit(1).alias("gen")))
     for k, table in reversed(list(enumerate(jumps(links, commits.count())))):
         ahead = at.join(table, "src").select("sha", F.col("dst").alias("src"), (F.col("gen") + 2**k).alias("gen")).distinct()
         ahead = staged(ahead)

@@ -50,3 +50,23 @@ def test_cycles_end_and_empty_roots(spark):
     links = frame(spark, [("a", "b"), ("b", "a")], "src string, dst string")
     assert {r.sha for r in graph.reachable(ids(spark, "a"), links).collect()} == {"a", "b"}
     assert graph.reachable(frame(spark, [], "sha string"), links).count() == 0
+
+
+def test_shallow_histories_are_numbered_layer_by_layer_and_deep_ones_by_doubling(spark, monkeypatch):
+    import random
+
+    rng, edges = random.Random(3), []
+    for k in range(1, 300):
+        edges += [(str(k), n, str(p)) for n, p in enumerate({rng.randrange(k // 2, k) if k < 12 else rng.randrange(k // 3, k // 2 + 1) for _ in range(2)})]
+    edges += [("7", 2, "unknown"), ("8", 3, "7"), ("8", 4, "7")]
+    parents, commits = frame(spark, edges, "sha string, n int, parent string"), frame(spark, [(str(k),) for k in [*range(300), 5, 5]], "sha string")
+    want = {}
+    for k in range(300):
+        want[str(k)] = 1 + max((want[p] for s, _, p in edges if s == str(k) and p in want), default=0)
+    real = graph.jumps
+    monkeypatch.setattr(graph, "jumps", lambda *_: pytest.fail("a shallow history was doubled"))
+    assert {r.sha: r.gen for r in graph.generations(parents, commits).collect()} == want and 8 < max(want.values()) < 40
+    monkeypatch.setattr(graph, "jumps", real)
+    monkeypatch.setattr(graph, "LAYERS", 3)
+    got = graph.generations(parents, commits).collect()
+    assert len(got) == 300 and {r.sha: r.gen for r in got} == want
