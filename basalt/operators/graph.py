@@ -1,7 +1,7 @@
 """Reachability over links(src, dst) and commit parents(sha, n, parent), in a number of rounds that grows with the logarithm of depth.
 
-Shallow graphs are walked level by level: each round joins the frontier with the links, drops what was seen, and writes the new
-level. What is left after PLAIN rounds is deep, and is reached by doubling: tables of the nodes at distance 1, 2, 4, .. of each node,
+Shallow graphs are walked level by level: each round takes the frontier's links, drops what was seen, and writes the new
+level; while a frontier is small, it is sent to the links and to what was seen, neither of which moves. What is left after PLAIN rounds is deep, and is reached by doubling: tables of the nodes at distance 1, 2, 4, .. of each node,
 each the join of the last with itself, then every distance as a sum of those. A table has as many rows as there are nodes times
 the nodes at one distance, which is the number of branches side by side, not the history's length.
 """
@@ -17,6 +17,8 @@ from basalt.functions.staging import filed_by, staged
 
 
 PLAIN = 24
+#: Rows of a frontier that is sent to the links in place of moving them.
+SMALL = 100_000
 
 
 def jumps(links: DataFrame, nodes: int) -> list[DataFrame]:
@@ -42,6 +44,44 @@ def deep_levels(start: DataFrame, links: DataFrame, most: int | None, keys: list
     return found
 
 
+class Steps:
+    """links(src, dst), one step at a time: a small frontier picks its links where they are derived, so that only these move; the first
+    large one that leads on has the links filed by source, once."""
+
+    def __init__(self, links: DataFrame):
+        self.links, self.filed, self.sources = links, None, None
+
+    def leading(self, frontier: DataFrame, n: int) -> tuple[DataFrame, int]:
+        """The rows of a frontier of n rows that are the source of a link, if it is large; a leaf needs no join with the links."""
+        if n <= SMALL or self.filed is not None:
+            return frontier, n
+        if self.sources is None:
+            self.sources = staged(self.links.select(F.col("src").alias("sha")).distinct())
+        frontier = staged(frontier.join(self.sources, "sha", "left_semi"))
+        return frontier, frontier.count()
+
+    def beyond(self, frontier: DataFrame, n: int, keys: list[str]) -> DataFrame:
+        """(*keys, sha) one link beyond a frontier(*keys, sha) of n rows."""
+        frontier, n = self.leading(frontier.select(*keys, "sha"), n)
+        if n > SMALL and self.filed is None:
+            self.filed = filed_by(self.links, "src")
+        links, at = self.filed or self.links, frontier.withColumnRenamed("sha", "src")
+        if n <= SMALL:
+            links = links.join(F.broadcast(at.select("src").distinct()), "src", "left_semi")
+            at = F.broadcast(at)
+        found = at.join(links, "src") if keys else links if n <= SMALL else links.join(at, "src", "left_semi")
+        return found.select(*keys, F.col("dst").alias("sha")).distinct()
+
+
+def fresh(new: DataFrame, seen: DataFrame, on: list[str]) -> DataFrame:
+    """Written rows of new that seen does not have; the many rows of seen stay where they are while new is small."""
+    new = staged(new)
+    if new.count() > SMALL:
+        return staged(new.join(seen, on, "left_anti"))
+    again = seen.select(*on).join(F.broadcast(new.select(*on)), on, "left_semi").distinct()
+    return staged(new.join(again, on, "left_anti"))
+
+
 def levels(roots: DataFrame, links: DataFrame, most: int | None = None, stop: DataFrame | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """(*keys, sha, depth) of everything reachable from roots(*keys, sha), depth 1 first; ids in stop(sha) are not entered."""
     keys = list(keys)
@@ -49,18 +89,20 @@ def levels(roots: DataFrame, links: DataFrame, most: int | None = None, stop: Da
     if stop is not None:
         stop = staged(stop.select("sha").distinct())
         start = start.join(stop, "sha", "left_anti").select(*keys, "sha")
-        links = links.join(stop.select(F.col("sha").alias("dst")), "dst", "left_anti").select("src", "dst")
-    links = staged(links)  # read in every round: derived links would be derived in every round
+    steps = Steps(links)
     found, depth = [staged(start.withColumn("depth", F.lit(1)))], 1
-    while not found[-1].isEmpty() and (most is None or depth < most):
+    while (n := found[-1].count()) and (most is None or depth < most):
         if depth >= PLAIN:
-            beyond = deep_levels(found[-1], links, most, keys)
+            deep = links if stop is None else links.join(stop.select(F.col("sha").alias("dst")), "dst", "left_anti").select("src", "dst")
+            beyond = deep_levels(found[-1], staged(deep), most, keys)
             every = reduce(DataFrame.unionAll, [*found[:-1], beyond.select(*found[0].columns)])
             return every.groupBy(*keys, "sha").agg(F.min("depth").alias("depth"))
         depth += 1
-        new = found[-1].withColumnRenamed("sha", "src").join(links, "src").select(*keys, F.col("dst").alias("sha")).distinct()
+        new = steps.beyond(found[-1], n, keys)
+        if stop is not None:
+            new = fresh(new, stop, ["sha"]).select(*keys, "sha")
         seen = reduce(DataFrame.unionAll, [x.select(*keys, "sha") for x in found])
-        found.append(staged(new.join(seen, [*keys, "sha"], "left_anti").withColumn("depth", F.lit(depth))))
+        found.append(fresh(new, seen, [*keys, "sha"]).select(*keys, "sha").withColumn("depth", F.lit(depth)))
         if len(found) % 8 == 0:  # few large tables in place of many small ones
             found = [staged(reduce(DataFrame.unionAll, found[:-1])), found[-1]]
     return reduce(DataFrame.unionAll, found)
@@ -89,9 +131,10 @@ def fast_forward(pairs: DataFrame, parents: DataFrame, most: int = MOST_SEEN) ->
 def garbage(objects: DataFrame, packs: DataFrame, roots: DataFrame, links: DataFrame, before: int) -> DataFrame:
     """Entries of live packs older than `before` that nothing reaches, younger live packs' objects being roots too."""
     live = objects.join(packs.where("state = 'live'").select(F.col("id").alias("pack_id"), "created_at"), "pack_id")
-    young = live.where((F.col("created_at") >= before) & (F.col("kind") != 3)).select("sha")
+    live = staged(live.select("sha", "pack_id", "idx", (F.col("created_at") >= before).alias("young"), (F.col("kind") != 3).alias("root")))
+    young = live.where("young and root").select("sha").distinct()
     held = reachable(roots.select("sha").unionAll(young), links)
-    return live.where(F.col("created_at") < before).join(held, "sha", "left_anti").select("sha", "pack_id", "idx")
+    return live.where("not young").join(held, "sha", "left_anti").select("sha", "pack_id", "idx")
 
 
 def send_set(wants: DataFrame, haves: DataFrame, links: DataFrame) -> DataFrame:

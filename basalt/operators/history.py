@@ -100,8 +100,10 @@ def horizon(tips: DataFrame, parents: DataFrame, times: DataFrame, since: int) -
 
 def unmarked(objects: DataFrame, packs: DataFrame, cohort: DataFrame, marked: DataFrame, roots: DataFrame, frontier: DataFrame, links: DataFrame) -> DataFrame:
     """Reachable ids whose every live copy is an unmarked entry of the cohort and which the frontier does not reach: a marking that loses nothing has none."""
-    live = objects.join(packs.where("state = 'live'").select(F.col("id").alias("pack_id")), "pack_id", "left_semi")
-    mine, marks = cohort.select(F.col("id").alias("pack_id"), F.lit(True).alias("mine")).distinct(), _marks(marked, "marked")
+    # what is reached is mostly far less than all objects: the rest is dropped before anything is moved
+    reached = staged(reachable(roots, links).join(reachable(frontier, links), "sha", "left_anti"))
+    wanted = staged(objects.select("sha", "pack_id").join(reached, "sha", "left_semi"))
+    live = wanted.join(packs.where("state = 'live'").select(F.col("id").alias("pack_id")), "pack_id", "left_semi")
+    mine, marks = cohort.select(F.col("id").alias("pack_id"), F.lit(True).alias("mine")).distinct(), _marks(marked.join(reached, "sha", "left_semi"), "marked")
     open_ = live.join(mine, "pack_id", "left").join(marks, "sha", "left").groupBy("sha").agg(F.bool_and(F.col("mine").isNotNull() & F.col("marked").isNull()).alias("open"))
-    lost = open_.where("open").join(reachable(roots, links), "sha", "left_semi")
-    return lost.join(reachable(frontier, links), "sha", "left_anti").select("sha")
+    return open_.where("open").select("sha")

@@ -70,3 +70,34 @@ def test_shallow_histories_are_numbered_layer_by_layer_and_deep_ones_by_doubling
     monkeypatch.setattr(graph, "LAYERS", 3)
     got = graph.generations(parents, commits).collect()
     assert len(got) == 300 and {r.sha: r.gen for r in got} == want
+
+
+def test_walks_are_the_same_with_small_and_large_frontiers(spark, monkeypatch):
+    """Frontiers that are sent to the links and links filed by source find what a plain walk finds, with keys, stops and cycles."""
+    import random
+
+    rng = random.Random(8)
+    edges = list({(rng.randrange(120), rng.randrange(160)) for _ in range(150)}) + [(118, 118)]
+    links = frame(spark, [(str(a), str(b)) for a, b in edges], "src string, dst string")
+
+    def plain(root, stop):
+        depth, at = {}, {root} - stop
+        while at:
+            depth |= {x: len(depth) and 1 + max(depth.values()) or 1 for x in at}
+            at = {b for a, b in edges if a in at} - depth.keys() - stop
+        return depth
+
+    roots = frame(spark, [("a", "1"), ("a", "1"), ("b", "2"), ("c", "150"), ("d", "118")], "key string, sha string")
+    for small in (100_000, 3, 0):
+        monkeypatch.setattr(graph, "SMALL", small)
+        for stop in ({5, 40, 41, 118}, set()):
+            got = graph.levels(roots, links, stop=frame(spark, [(str(x),) for x in stop], "sha string") if stop else None, keys=("key",)).collect()
+            want = {(k, str(x), d) for k, r in (("a", 1), ("b", 2), ("c", 150), ("d", 118)) for x, d in plain(r, stop).items()}
+            assert len(got) == len(want) and {(r.key, r.sha, r.depth) for r in got} == want
+
+
+def test_small_frontiers_do_not_write_the_links(spark, monkeypatch):
+    sizes, real = [], graph.staged
+    monkeypatch.setattr(graph, "staged", lambda df: (lambda out: sizes.append(out.count()) or out)(real(df)))
+    links = spark.range(5000).selectExpr("cast(id as string) as src", "cast(id div 2 as string) as dst")
+    assert graph.reachable(ids(spark, "9"), links).count() == 5 and max(sizes) < 10
