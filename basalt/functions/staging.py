@@ -32,6 +32,16 @@ def bytes_of(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+#: Bytes of input, as the planner sees it, for one task of an operator whose memory would else grow with the table.
+PART = 8 << 20
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by its keys over as many partitions as its size asks for, where the session has fewer; a task then sorts a bounded part."""
+    parts = min(100_000, -(-bytes_of(df) // PART))
+    return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def filed_by(df: DataFrame, key: str) -> DataFrame:
     """Write df in buckets of a key under the staging folder; joins and groups on the key then do not move it. The table has no name in the catalog."""
     spark = df.sparkSession

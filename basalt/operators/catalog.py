@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from basalt.functions.staging import spread
+
 
 def live_objects(objects: DataFrame, packs: DataFrame) -> DataFrame:
     """Objects of live packs. The pack filter runs before the join; Spark broadcasts the pack ids only where they are small."""
@@ -14,15 +16,16 @@ def live_objects(objects: DataFrame, packs: DataFrame) -> DataFrame:
 def live_lookup(ids: DataFrame, objects: DataFrame, packs: DataFrame) -> DataFrame:
     """Each id of ids(sha) with one live location (the copy of smallest pack, then idx) or nulls."""
     place = F.min(F.struct("pack_id", "idx", "offset", "len")).alias("at")
-    found = live_objects(objects.join(ids.select("sha").distinct(), "sha", "left_semi"), packs).groupBy("sha").agg(place)
+    live = live_objects(objects, packs).select("sha", "pack_id", "idx", "offset", "len")
+    found = spread(live, "sha").join(ids.select("sha").distinct(), "sha", "left_semi").groupBy("sha").agg(place)
     return ids.join(found, "sha", "left").select("sha", "at.pack_id", "at.idx", "at.offset", "at.len")
 
 
 def lookup_in_pack(ids: DataFrame, objects: DataFrame, packs: DataFrame, pack_id: int) -> DataFrame:
     """As live_lookup, falling back to a named pack that need not be live: (sha, pack_id)."""
     own = objects.where(F.col("pack_id") == pack_id).select("sha", F.col("pack_id").alias("own")).distinct()
-    live = live_lookup(ids, objects, packs).select("sha", "pack_id")
-    return live.join(own, "sha", "left").select("sha", F.coalesce("pack_id", "own").alias("pack_id"))
+    held = spread(live_objects(objects, packs).select("sha", "pack_id"), "sha").groupBy("sha").agg(F.min("pack_id").alias("pack_id"))
+    return ids.select("sha").join(held, "sha", "left").join(own, "sha", "left").select("sha", F.coalesce("pack_id", "own").alias("pack_id"))
 
 
 def missing_links(links: DataFrame, objects: DataFrame, packs: DataFrame, own: DataFrame) -> DataFrame:

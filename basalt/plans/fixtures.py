@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from basalt.functions.staging import spread
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 VIEWS = {
@@ -56,12 +58,13 @@ VIEWS = {
 }
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view, or a table, as a DataFrame; nothing is registered in the session."""
+def view(spark: SparkSession, sf_dir: str, name: str, **dealt: str) -> DataFrame:
+    """A view, or a table, as a DataFrame; nothing is registered in the session. dealt: tables that are spread by a column before the view reads them."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = re.sub(r"@ms\((\w+)\)", r"timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(\1 AS TIMESTAMP_NTZ))", VIEWS[name])
     used = {n: view(spark, sf_dir, n) for n in sorted(set(re.findall(r"\{(\w+)\}", text)))}
+    used |= {n: spread(used[n], column) for n, column in dealt.items()}
     return spark.sql(text, **used)
 
 

@@ -36,6 +36,10 @@ class Views:
         text = re.sub(r"@ms\((\w+)\)", r"timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(\1 AS TIMESTAMP_NTZ))", text)
         return self._spark.sql(text, **{n: view(self._spark, self._dir, n) for n in set(re.findall(r"\{(\w+)\}", text))})
 
+    def objects_by_pack(self) -> DataFrame:
+        """g_objects, whose window over packs then sorts a bounded part in each task."""
+        return view(self._spark, self._dir, "g_objects", lineitem="l_orderkey")
+
     def __getattr__(self, name: str) -> DataFrame:
         return self.sql(f"SELECT * FROM {_EXTRA[name]} t") if name in _EXTRA else view(self._spark, self._dir, name)
 
@@ -67,7 +71,7 @@ _BEGIN_HELD = "(SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'committe
 
 QUERIES: dict[str, tuple[Callable[[Views], DataFrame], str]] = {
     "live_lookup": (
-        lambda v: catalog.live_lookup(v.ids, v.g_objects, v.g_packs),
+        lambda v: catalog.live_lookup(v.ids, v.objects_by_pack(), v.g_packs),
         f"""SELECT i.sha, l.pack_id, l.idx, l.offset, l.len FROM {_IDS} i LEFT JOIN (SELECT * FROM (SELECT o.*, row_number() OVER (PARTITION BY sha ORDER BY pack_id, idx) AS r
             FROM {_LIVE} o) t WHERE r = 1) l ON l.sha = i.sha""",
     ),
@@ -229,7 +233,7 @@ QUERIES: dict[str, tuple[Callable[[Views], DataFrame], str]] = {
             FROM {{g_packs}} WHERE state = 'live' AND count BETWEEN 1 AND 50000 AND bytes < 67108864 AND created_at <= {NOW}) t WHERE n = 8""",
     ),
     "consolidate_plan": (
-        lambda v: packs.consolidated(v.g_objects, v.cohort, v.g_objects.where("size % 2 = 0").select("sha").distinct()),
+        lambda v: packs.consolidated(v.objects_by_pack(), v.cohort, v.g_objects.where("size % 2 = 0").select("sha").distinct()),
         f"""SELECT sha, pack_id, idx, CAST(coalesce(sum(len) OVER (ORDER BY pack_id, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS new_offset FROM {{g_objects}}
             WHERE pack_id IN (SELECT id FROM {_COHORT} c) AND sha IN (SELECT sha FROM {{g_objects}} WHERE size % 2 = 0)""",
     ),
