@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basalt.functions.folds import running_total, streamed_fold
+from basalt.functions.staging import staged
 
 #: Merge gap and span of a read; tier ladder of compaction.
 GAP, SPAN = 256 << 10, 8 << 20
@@ -97,7 +98,8 @@ def consolidated(objects: DataFrame, candidates: DataFrame, marked: DataFrame) -
 
     Nothing is repacked unless there are two candidates or one of them has an unmarked entry: a single full pack stays as it is.
     """
-    mine = objects.join(candidates.select(F.col("id").alias("pack_id")), "pack_id", "left_semi").join(marked.select("sha", F.lit(1).alias("mark")).distinct(), "sha", "left")
+    mine = objects.join(candidates.select(F.col("id").alias("pack_id")), "pack_id", "left_semi").select("sha", "pack_id", "idx", "len")
+    mine = staged(mine.join(marked.select("sha", F.lit(1).alias("mark")).distinct(), "sha", "left"))  # three passes follow
     worth = mine.agg(F.min("pack_id").alias("a"), F.max("pack_id").alias("b"), F.count_if(F.col("mark").isNull()).alias("unmarked")).where("a < b or unmarked > 0").select(F.lit(1).alias("go"))
     kept = mine.where("mark is not null").join(F.broadcast(worth)).drop("go")
     before = F.sum("len").over(Window.partitionBy("pack_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1))
