@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,11 +26,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _fallback.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="basalt-"))
 
 
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query that runs inside go when it ends; else they stay until the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet under the shared folder and read it back: lineage ends there and a lost executor costs nothing."""
+    """Write df as Parquet under the shared folder and read it back: lineage and shuffle files end there and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with freed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,7 +68,8 @@ def in_buckets(once: DataFrame) -> DataFrame:
     """
     spark = once.sparkSession
     name, buckets = f"texts_{uuid.uuid4().hex}", min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    once.write.format("parquet").bucketBy(buckets, "id", "tag").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    with freed(spark):
+        once.write.format("parquet").bucketBy(buckets, "id", "tag").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # the name alone: the files are external
     return table

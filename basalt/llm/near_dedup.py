@@ -1,12 +1,14 @@
 """Near copies: documents whose sets of lower-cased five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Rows are first written in buckets of id and text hash, one of each; what follows moves keys, shingle sets and links, never texts.
+Rows are first written in buckets of id and text hash, one of each; what follows moves keys and links, and texts of candidates alone:
+a text is smaller than the hashes of its shingles, which are made anew where texts meet.
 
 1. Each text gets a key of its shingle set and a SimHash of 128 bits: a bit is 1 if it is set in over half of the shingles' hashes.
    At a similarity of 0.8 a bit differs with probability acos(8 / 9) / pi = 0.151, so 19 of 128 bits do, with a deviation of 4.
 2. Texts with equal sets collapse into one class. Classes are dealt into shards, in each of several tables by other bits of the
    SimHash, so that a shard holds SHARD classes or fewer in the mean. There are as many tables as it takes for a pair of
-   similarity 0.8 to miss all of them with a probability of MISS; more similar pairs miss them less.
+   similarity 0.8 to miss all of them with a probability of MISS; more similar pairs miss them less. TABLES of them are dealt at
+   once, so that the disk they take grows no faster than the texts, though the number of tables grows with them.
 3. A shard's fingerprints become BK-trees (of the first 64 bits, children keyed by Hamming distance), which its members search within
    NEAR bits; what is more than RADIUS bits apart over all 128 goes. What so hangs together in a tree is a bucket of candidates; a bucket found
    in several tables counts once.
@@ -27,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -41,6 +44,8 @@ SHINGLE = 5
 RADIUS, NEAR = 38, 22
 #: Mean size of a shard, members of a tree, and the share of pairs of similarity 0.8 that may share no shard.
 SHARD, TREE, MISS = 512, 1024, 1e-4
+#: Tables that are dealt into shards at once.
+TABLES = 12
 #: Members of a bucket that are compared at once.
 BLOCK = 512
 _salts = mix(np.arange(1, 3, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -129,14 +134,21 @@ def near_prints(f0: np.ndarray, f1: np.ndarray, left: np.ndarray, right: np.ndar
 
 
 def candidates(prints: DataFrame) -> DataFrame:
-    """(key, k, center): buckets of fingerprints that hang together within RADIUS bits in a shard, each with its smallest class.
+    """(key, k, center): buckets of fingerprints that hang together within RADIUS bits in a shard, each with its smallest class."""
+    classes = cut(prints.where("f0 is not null").select("k", "f0", "f1").distinct(), "classes")
+    masks = shard_masks(classes.count())
+    parts = [in_shards(classes, some) for some in np.array_split(masks, -(-len(masks) // TABLES))]
+    return cut(reduce(DataFrame.unionAll, parts).distinct(), "members") if len(parts) > 1 else parts[0]
+
+
+def in_shards(classes: DataFrame, masks: np.ndarray) -> DataFrame:
+    """The buckets (key, k, center) of a few tables.
 
     A shard of over TREE members is cut into blocks by hash; two blocks are one unit of work, dealt by its own key.
     """
     import pyarrow as pa
 
-    classes = cut(prints.where("f0 is not null").select("k", "f0", "f1").distinct(), "classes")
-    rows = sharded(classes, shard_masks(classes.count()))
+    rows = sharded(classes, masks)
     large = cut(rows.groupBy("shard").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > TREE).select("shard", F.ceil(F.col("size") / TREE).cast("int").alias("blocks")), "large")
     block = rows.join(large, "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
     dealt = block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -189,24 +201,27 @@ def candidates(prints: DataFrame) -> DataFrame:
     return cut(units.mapInArrow(run, "key long, k long, center long").distinct(), "members")
 
 
-def sets_of(texts: DataFrame) -> DataFrame:
-    """(k, text) -> (k, shingles)."""
+def near_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v, u_id, u_tag, v_id, v_tag) -> the pairs (u, v) of a Jaccard similarity of 0.8 or more.
+
+    Texts stay in their buckets but those of u, which move to v: each v is in one pair, and of a u that many pairs share only numbers gather.
+    """
     import pyarrow as pa
 
+    def near(a: np.ndarray, b: np.ndarray) -> bool:
+        if 5 * len(a) < 4 * len(b) or 5 * len(b) < 4 * len(a):
+            return False
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return 5 * both >= 4 * (len(a) + len(b) - both)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([s.view(np.int64) for s in shingle_sets(batch.column(1))], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["k", "shingles"])
-
-    return texts.mapInArrow(run, "k long, shingles array<long>")
-
+            held = [near(a, b) for a, b in zip(shingle_sets(batch.column(2)), shingle_sets(batch.column(3)), strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(held, pa.bool_()))
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (u, v) of a Jaccard similarity of 0.8 or more; each v is in one pair, so that its set moves once."""
-    side = lambda c: sets.select(F.col("k").alias(c), F.col("shingles").alias(f"of_{c}"))
-    a, b, both = F.size("of_u"), F.size("of_v"), F.size(F.array_intersect("of_u", "of_v"))
-    near = F.when((5 * a < 4 * b) | (5 * b < 4 * a), F.lit(False)).otherwise(5 * both >= 4 * (a + b - both))
-    return cut(pairs.join(side("v"), "v"), "halves").join(side("u"), "u").where(near).select("u", "v")
+    side = lambda c: texts.select(F.col("id").alias(f"{c}_id"), F.col("tag").alias(f"{c}_tag"), F.col("text").alias(f"of_{c}"))
+    both = pairs.join(side("u"), ["u_id", "u_tag"]).join(side("v"), ["v_id", "v_tag"])
+    return both.select("u", "v", "of_u", "of_v").mapInArrow(run, "u long, v long")
 
 
 def open_members(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -250,8 +265,8 @@ def near_groups(own: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right
     return out
 
 
-def bucket_links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (u, v) that join all groups which the similar pairs of a bucket join; members (key, k, own, blocks).
+def bucket_links(members: DataFrame, lead: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (u, v) that join all groups which the similar pairs of a bucket join; members (key, k, own, blocks), lead (k, id, tag).
 
     A bucket is cut into blocks by hash; two blocks are one unit of work, dealt by its own key.
     """
@@ -259,7 +274,8 @@ def bucket_links(members: DataFrame, sets: DataFrame) -> DataFrame:
 
     block = members.withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
     dealt = block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = cut(dealt.select("key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "k", "own"), "dealt")
+    dealt = dealt.select("key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "k", "own")
+    dealt = cut(dealt.join(lead, "k"), "dealt")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, unit = None, []
@@ -279,17 +295,16 @@ def bucket_links(members: DataFrame, sets: DataFrame) -> DataFrame:
 
         for batch in batches:
             rows = zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True)
-            offsets, values = batch.column(6).offsets.to_numpy(), batch.column(6).values.to_numpy()
             found = []
-            for n, (key, a, b, block, k, own) in enumerate(rows):
+            for (key, a, b, block, k, own), held in zip(rows, shingle_sets(batch.column(6)), strict=True):
                 if (key, a, b) != last:
                     found += links()
                     last, unit = (key, a, b), []
-                unit.append((block, k, own, values[offsets[n] : offsets[n + 1]].copy()))
+                unit.append((block, k, own, held))
             yield batch_of(found)
         yield batch_of(links())
 
-    rows = dealt.join(sets, "k").select("key", "a", "b", "block", "k", "own", "shingles")
+    rows = dealt.join(texts, ["id", "tag"]).select("key", "a", "b", "block", "k", "own", "text")
     return rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(run, "u long, v long")
 
 
@@ -298,11 +313,11 @@ def set_links(texts: DataFrame, prints: DataFrame) -> DataFrame:
     members = candidates(prints)
     lead = prints.join(cut(members.select("k").distinct(), "sharing"), "k", "left_semi").groupBy("k").agg(F.min(F.struct("id", "tag")).alias("at"))
     lead = cut(lead.select("k", "at.*"), "lead")
-    sets = cut(sets_of(texts.join(lead, ["id", "tag"]).select("k", "text")), "sets")
 
-    tried = cut(members.where("k <> center").groupBy("k").agg(F.min("center").alias("u")).select("u", F.col("k").alias("v")), "pairs")
-    links = cut(verified(tried, sets), "near")
-    return links.unionAll(bucket_links(open_members(members, links), sets))
+    tried = members.where("k <> center").groupBy("k").agg(F.min("center").alias("u")).select("u", F.col("k").alias("v"))
+    side = lambda c: lead.select(F.col("k").alias(c), F.col("id").alias(f"{c}_id"), F.col("tag").alias(f"{c}_tag"))
+    links = cut(near_pairs(cut(tried.join(side("v"), "v").join(side("u"), "u"), "pairs"), texts), "near")
+    return links.unionAll(bucket_links(open_members(members, links), lead, texts))
 
 
 def filed_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

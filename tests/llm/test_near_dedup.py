@@ -2,11 +2,12 @@
 
 import random
 import re
+import time
 
 import pytest
 
 import corpus_pipeline
-from basalt.llm import near_dedup
+from basalt.llm import common, near_dedup
 from basalt.llm.common import NO_ID
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -113,3 +114,42 @@ def test_candidates_come_from_simhash_and_bk_trees(spark, rows, monkeypatch):
     i, j = near_dedup.near_prints(f0, f1, np.arange(64), np.arange(64))
     want = {(a, b) for a in range(64) for b in range(64) if a != b and int(f0[a] ^ f0[b]).bit_count() <= near_dedup.NEAR}
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
+
+
+def shuffle_files(spark):
+    files, names = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator(), set()
+    while files.hasNext():
+        names.add(files.next().getName())
+    return {n for n in names if n.startswith("shuffle_")}
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    key, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", shuffle_files(spark)
+    was, df = spark.conf.get(key), spark.range(1000).selectExpr("id", "id AS tag", "id % 7 AS x").repartition(3, "x")
+    written = [common.cut(df, "moved"), common.in_buckets(df)]
+    for _ in range(20):
+        if not (left := {n for n in shuffle_files(spark) - before if n.endswith(".data")}):
+            break
+        time.sleep(0.25)
+    assert not left and spark.conf.get(key) == was
+    assert [t.count() for t in written] == [1000, 1000]
+
+
+def test_stage_tables_are_small_beside_the_filed_rows(spark, monkeypatch, tmp_path):
+    """Candidates, linked or not, add numbers to the disk, but neither their texts nor the hashes of their shingles."""
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    rng, texts = random.Random(4), []
+    for k in range(60):
+        base = words(rng, 1500)
+        texts += [" ".join(base), " ".join(changed(rng, base, (15, 90)[k % 2]))]  # similarity 0.9 and 0.6
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    assert near_dedup.one_of_each(docs).count() == 90
+    size = lambda of: sum(f.stat().st_size for f in tmp_path.rglob("*.parquet") if f.relative_to(tmp_path).parts[0].startswith("texts_") == of)
+    assert 0 < size(False) < size(True) / 2
+
+
+def test_tables_that_are_dealt_apart_find_the_same(spark, rows, monkeypatch):
+    monkeypatch.setattr(near_dedup, "SHARD", 16)
+    monkeypatch.setattr(near_dedup, "TABLES", 5)
+    assert len(near_dedup.shard_masks(150)) > 5
+    assert near_dedup.one_of_each(spark.createDataFrame(rows, SCHEMA)).count() == len(groups(rows))
