@@ -36,6 +36,8 @@ LENGTH, SEED = 100, 32
 COLLECTION = 1 << 16
 #: Classes of a seed beyond which it is deepened: about 1 MB of segments.
 MOST = 6000
+#: Spans of which a task hashes the bytes at a time when seeds are deepened; their arrays fit a processor's cache.
+SPANS = 500
 #: Symbols of 9 bits that a 64-bit word holds beside the number of a string.
 PACKED = 6
 _PLACE = 40  # bits of a place in `when`
@@ -45,7 +47,7 @@ class RunLengthIndex:
     """Run-length BWT of a collection of byte strings, each with its own terminator, in the order given.
 
     data, bounds: string i is data[bounds[i]:bounds[i + 1]]; in the text it is followed by terminator i, which is smaller than
-    every byte and than later terminators.
+    every byte and than later terminators. Places and ranks take 32 bits, since ranks of six lengths are held at once.
     """
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray):
@@ -54,16 +56,18 @@ class RunLengthIndex:
         self.starts = bounds[:-1] + np.arange(m)
         self.ends = self.starts + sizes
         n = len(data) + m
-        text = np.zeros(n, dtype=np.uint64)
+        if n >= 1 << 31:
+            raise ValueError("a collection has under 2 GB")
+        text = np.zeros(n, dtype=np.uint16)
         inside = np.ones(n, dtype=bool)
         inside[self.ends] = False
-        text[inside] = data.astype(np.uint64) + np.uint64(1)
-        string = np.repeat(np.arange(m), sizes + 1)
-        self.left = self.ends[string] - np.arange(n)
+        text[inside] = data.astype(np.uint16) + np.uint16(1)
+        string = np.repeat(np.arange(m, dtype=np.int32), sizes + 1)
+        self.left = np.repeat(self.ends.astype(np.int32), sizes + 1) - np.arange(n, dtype=np.int32)
         self.order, self.ranks = self._sort(text, string)
         self.text = text
         # the symbol before each suffix; string starts have their own terminator before them, equal to no other
-        before = np.where(self.order > 0, text[self.order - 1].astype(np.int64), 0)
+        before = np.where(self.order > 0, text[self.order - 1], np.uint16(0))
         first = np.zeros(n, dtype=bool)
         first[self.starts] = True
         own = first[self.order] | ~inside[self.order]
@@ -78,62 +82,71 @@ class RunLengthIndex:
         n, h = len(text), PACKED
         packed = np.zeros(n, dtype=np.uint64)
         for i in range(h):
-            shifted = np.zeros(n, dtype=np.uint64)
+            shifted = np.zeros(n, dtype=np.uint16)
             shifted[: n - i] = text[i:]
             shifted[self.left < i] = 0
-            packed = (packed << np.uint64(9)) | shifted
+            packed <<= np.uint64(9)
+            packed |= shifted
         packed <<= np.uint64(10)
         short = self.left < h  # such a prefix holds its terminator, so that the low bits are free for that one's number
         packed[short] |= string[short].astype(np.uint64) + np.uint64(1)
-        order = np.argsort(packed)
-        fresh = np.concatenate([[True], packed[order[1:]] != packed[order[:-1]]])
-        rank, ranks = np.empty(n, dtype=np.int64), []
-        rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+        order = np.argsort(packed).astype(np.int32)
+        packed = packed[order]
+        fresh = np.concatenate([[True], packed[1:] != packed[:-1]])
+        del packed, shifted, short
+        rank, ranks = np.empty(n, dtype=np.int32), []
+        rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n, dtype=np.int32), np.int32(0)))
         while True:
             ranks.append(rank)
-            tied = np.flatnonzero(~fresh | ~np.append(fresh[1:], True))
+            tied = np.flatnonzero(~fresh | ~np.append(fresh[1:], True)).astype(np.int32)
             if not len(tied):
                 return order, ranks
-            key = rank[order[tied]] * n + rank[order[tied] + h]  # tied places hold no terminator in their first h symbols
+            at = order[tied]
+            key = rank[at].astype(np.int64)
+            key *= n
+            key += rank[at + h]  # tied places hold no terminator in their first h symbols
             by = np.argsort(key)
-            order[tied], key = order[tied][by], key[by]
+            order[tied], key = at[by], key[by]
             head = np.concatenate([[True], key[1:] != key[:-1]])
             rank = rank.copy()
-            rank[order[tied]] = np.maximum.accumulate(np.where(head, tied, 0))
+            rank[order[tied]] = np.maximum.accumulate(np.where(head, tied, np.int32(0)))
             fresh[tied] = head
             h *= 2
 
     def matching_statistics(self) -> np.ndarray:
         """For each text place, the length of its match with the suffix just before it in suffix order."""
         a, b = self.head_samples[1:], self.end_samples[:-1]
-        match = np.zeros(len(a), dtype=np.int64)
+        match = np.zeros(len(a), dtype=np.int32)
         for k in range(len(self.ranks) - 2, -1, -1):
-            match += (self.ranks[k][a + match] == self.ranks[k][b + match]) * (PACKED << k)
+            match += (self.ranks[k][a + match] == self.ranks[k][b + match]) * np.int32(PACKED << k)
         for _ in range(PACKED - 1):
             here = self.text[a + match]
             match += (here == self.text[b + match]) & (here > 0)
-        known, at = np.zeros(self.n, dtype=np.int64), np.zeros(self.n, dtype=np.int64)
+        known, at = np.zeros(self.n, dtype=np.int32), np.zeros(self.n, dtype=np.int32)
         known[a] = match
         at[a] = a
         at[self.head_samples[0]] = self.head_samples[0]
         at = np.maximum.accumulate(at)
-        return np.maximum(known[at] - (np.arange(self.n) - at), 0)
+        return np.maximum(known[at] - (np.arange(self.n, dtype=np.int32) - at), 0)
 
     def earliest(self, length: int, when: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(string, place in it, earliest `when` of the string of `length` bytes there) for every such place.
 
         when: for each string, the order of its first byte among all places; the following bytes count on from it.
         """
-        string = np.repeat(np.arange(len(self.starts)), self.ends - self.starts + 1)
-        place = np.arange(self.n) - self.starts[string]
-        order_of = (when[string] + place)[self.order]
         long = self.matching_statistics()[self.order] >= length
         long[0] = False
         heads = np.flatnonzero(~long)
-        least = np.empty(self.n, dtype=np.int64)
-        least[self.order] = np.repeat(np.minimum.reduceat(order_of, heads), np.diff(np.append(heads, self.n)))
+        sizes = self.ends - self.starts + 1
+        string = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        place = np.arange(self.n, dtype=np.int32) - np.repeat(self.starts.astype(np.int32), sizes)
+        order_of = np.repeat(when, sizes)
+        order_of += place
+        earliest = np.minimum.reduceat(order_of[self.order], heads)
+        least = order_of
+        least[self.order] = np.repeat(earliest, np.diff(np.append(heads, self.n)))
         whole = np.flatnonzero(self.left >= length)
-        return string[whole], place[whole], least[whole]
+        return string[whole], place[whole].astype(np.int64), least[whole]
 
 
 def packed(first, windows, inset, size):
@@ -166,14 +179,13 @@ def segment_texts(found: DataFrame, length: int) -> DataFrame:
             data, offsets = text_buffer(batch.column(2))
             raw = memoryview(data)
             doc, (key, segment, at) = span_columns(batch)
-            first, windows, _, _ = unpacked(at)
-            start = offsets[doc] + first
-            end = start + windows + (length - 1)
             for i in range(0, len(doc), 20_000):
                 s = slice(i, i + 20_000)
-                parts = pa.array([raw[a:b].tobytes() for a, b in zip(start[s].tolist(), end[s].tolist(), strict=True)], pa.binary())
+                first, windows, _, _ = unpacked(at[s])
+                start = offsets[doc[s]] + first
+                parts = pa.array([raw[a:b].tobytes() for a, b in zip(start.tolist(), (start + windows + (length - 1)).tolist(), strict=True)], pa.binary())
                 own = batch.column(0).take(pa.array(doc[s]))
-                yield pa.RecordBatch.from_arrays([pa.array(key[s]), pa.array(segment[s]), own, pa.array(first[s]), parts], names=["key", "segment", "id", "first", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[s]), pa.array(segment[s]), own, pa.array(first), parts], names=["key", "segment", "id", "first", "bytes"])
 
     return found.mapInArrow(run, "key long, segment long, id long, first long, bytes binary")
 
@@ -187,22 +199,31 @@ def deepened(found: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column(2))
-            rolling = Rolling(BYTE_VALUE[data])
             ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             doc, (key, at) = span_columns(batch)
-            first, windows, inset, size = unpacked(at)
-            place = first + inset
-            stop, spare = first + windows, length - size
-            reach = (spare + 1) // 2  # windows from `turn` on hold that many bytes behind the seed, the others more than the rest before it
-            turn = np.clip(place + size + reach - length, first, stop)
-            for begin, end, seed_at, seed_size in ((turn, stop, place, size + reach), (first, turn, place - (spare - reach + 1), size + spare - reach + 1)):
-                some = np.flatnonzero(end > begin)
-                base, seed, n = offsets[doc[some]], seed_at[some], seed_size[some]
-                left = key[some].view(np.uint64) ^ mix(n.astype(np.uint64))
-                made = mix(left ^ rolling.of(base + seed, base + seed + n))
-                whole = mix(rolling.of(base + begin[some], base + end[some] + (length - 1)) ^ mix((seed - begin[some]).astype(np.uint64)))
-                columns = [made, whole, ids[doc[some]], tags[doc[some]], packed(begin[some], (end - begin)[some], seed - begin[some], n)]
-                yield pa.RecordBatch.from_arrays([signed(c) for c in columns], names=names)
+            for i in range(0, len(doc), SPANS):
+                own = doc[i : i + SPANS]
+                yield from halves(data, offsets[own], key[i : i + SPANS], at[i : i + SPANS], ids[own], tags[own])
+
+    def halves(data, base, key, at, ids, tags) -> Iterator[pa.RecordBatch]:
+        """base: where in data each span's text begins. The spans' bytes alone are hashed, since a batch holds thousands of whole texts."""
+        first, windows, inset, size = unpacked(at)
+        n = windows + (length - 1)
+        bounds = np.concatenate([[0], np.cumsum(n)])
+        rolling = Rolling(BYTE_VALUE[data[np.arange(bounds[-1]) + np.repeat(base + first - bounds[:-1], n)]])
+        base = bounds[:-1] - first
+        place = first + inset
+        stop, spare = first + windows, length - size
+        reach = (spare + 1) // 2  # windows from `turn` on hold that many bytes behind the seed, the others more than the rest before it
+        turn = np.clip(place + size + reach - length, first, stop)
+        for begin, end, seed_at, seed_size in ((turn, stop, place, size + reach), (first, turn, place - (spare - reach + 1), size + spare - reach + 1)):
+            some = np.flatnonzero(end > begin)
+            at, seed, n = base[some], seed_at[some], seed_size[some]
+            left = key[some].view(np.uint64) ^ mix(n.astype(np.uint64))
+            made = mix(left ^ rolling.of(at + seed, at + seed + n))
+            whole = mix(rolling.of(at + begin[some], at + end[some] + (length - 1)) ^ mix((seed - begin[some]).astype(np.uint64)))
+            columns = [made, whole, ids[some], tags[some], packed(begin[some], (end - begin)[some], seed - begin[some], n)]
+            yield pa.RecordBatch.from_arrays([signed(c) for c in columns], names=names)
 
     return found.mapInArrow(run, "key long, segment long, id long, tag long, at long")
 

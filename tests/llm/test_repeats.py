@@ -90,3 +90,53 @@ def test_rows_of_many_copies_come_back_as_often(spark, monkeypatch):
     for dedup, n in ((substring_dedup.substring_dedup, 60), (suffix_dedup.suffix_dedup, len(text))):
         rows = dedup(docs).collect()
         assert Counter(r.n_removed for r in rows) == {0: 6, n: 5} and Counter(r.n_symbols for r in rows)[0] == 3
+
+
+def peak(work):
+    """What work() returns, and how many bytes it held at most."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_deepening_holds_the_spans_of_a_batch_and_not_its_texts():
+    import pyarrow as pa
+
+    class Batches:
+        def mapInArrow(self, run, schema):
+            return run
+
+    rng = random.Random(5)
+    n, size = 2000, 2000
+    text = "".join(rng.choice("abcdef") for _ in range(3 * size))
+    texts = [text[i : i + size] for i in (rng.randrange(2 * size) for _ in range(n))]
+    spans = []
+    for _ in range(n):
+        first, windows = rng.randrange(size - 168), rng.randint(1, 69)
+        spans.append([{"key": rng.randrange(2**62), "at": suffix_dedup.packed(first, windows, rng.randint(windows - 1, 68), 32)}])
+    kind = pa.list_(pa.struct([("key", pa.int64()), ("at", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), pa.array(texts), pa.array(spans, kind)], names=["id", "tag", "text", "spans"])
+    run = suffix_dedup.deepened(Batches(), 100)
+    rows = lambda made: sorted(r for b in made for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    whole, most = peak(lambda: list(run([batch])))
+    assert most < 5 * n * size  # arrays over the texts' bytes took 100 times the texts
+    one_by_one = rows(b for i in range(n) for b in run([batch.slice(i, 1)]))
+    assert rows(whole) == one_by_one and len(one_by_one) > n
+
+
+def test_index_of_the_largest_seed_is_small():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    m, seed = 3000, rng.integers(97, 123, 32)
+    parts = [np.concatenate([rng.integers(97, 100, 68), seed, rng.integers(97, 100, 68)]).astype(np.uint8) for _ in range(m)]
+    parts[1::9] = parts[::9]
+    data, bounds = np.concatenate(parts), np.arange(m + 1) * 168
+    (string, place, least), most = peak(lambda: suffix_dedup.RunLengthIndex(data, bounds).earliest(100, np.arange(m) << 40))
+    assert len(string) == m * 69 and least.dtype == place.dtype == np.int64
+    assert ((least >> 40) == np.where(string % 9 == 1, string - 1, string)).all() and ((least & (1 << 40) - 1) == place).all()
+    assert most < 120 * (len(data) + m)  # with 64-bit places and ranks, over 150 bytes a symbol
